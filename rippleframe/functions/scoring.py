@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rippleframe.functions.vectors import col, mean, var_pop
+from rippleframe.functions.vectors import col, let, mean, var_pop
 
 # Presence and motion weights, thresholds and component scales.
 PRESENCE_THRESHOLD = 0.35
@@ -37,9 +37,12 @@ def clamp01(x: Column | str) -> Column:
 
 def clamp01_or_zero(x: Column | str) -> Column:
     """Clamp to [0, 1]; NaN and infinities become 0."""
-    x = col(x)
-    bad = F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+    def clamp(v):
+        bad = F.isnan(v) | (F.abs(v) == float("inf"))
+        return F.when(bad, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+
+    return let(col(x).cast("double"), clamp)
 
 
 def relative_increase(
@@ -93,11 +96,14 @@ def presence_state(presence: Column, motion: Column) -> Column:
 
 
 def confidence_status(confidence: Column | str) -> Column:
-    value = clamp01_or_zero(confidence)
-    out = None
-    for floor, label in CONFIDENCE_LADDER:
-        out = F.when(value >= floor, label) if out is None else out.when(value >= floor, label)
-    return out.otherwise("unavailable")
+
+    def ladder(value):
+        out = None
+        for floor, label in CONFIDENCE_LADDER:
+            out = F.when(value >= floor, label) if out is None else out.when(value >= floor, label)
+        return out.otherwise("unavailable")
+
+    return let(clamp01_or_zero(confidence), ladder)
 
 
 def amplitude_quality(cv: Column, fill: Column | None = None) -> Column:

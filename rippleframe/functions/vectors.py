@@ -14,6 +14,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Without this the optimizer copies a shared sub-expression into every use, and
+    deep formulas grow exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def total(v: Column | str) -> Column:
     return F.aggregate(col(v), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -24,8 +33,10 @@ def mean(v: Column | str) -> Column:
 
 def var_pop(v: Column | str) -> Column:
     v = col(v)
-    centre = mean(v)
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - centre) * (x - centre)) / F.size(v)
+    squares = let(
+        mean(v), lambda m: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
+    )
+    return squares / F.size(v)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -38,8 +49,11 @@ def norm(v: Column | str) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 when either vector is (nearly) zero."""
-    na, nb = norm(a), norm(b)
-    return F.when((na <= TINY) | (nb <= TINY), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+    parts = F.struct(norm(a).alias("a"), norm(b).alias("b"), dot(a, b).alias("d"))
+    return let(
+        parts,
+        lambda p: F.when((p["a"] <= TINY) | (p["b"] <= TINY), F.lit(0.0)).otherwise(p["d"] / (p["a"] * p["b"])),
+    )
 
 
 def scale(v: Column | str, factor: Column) -> Column:
@@ -49,33 +63,32 @@ def scale(v: Column | str, factor: Column) -> Column:
 def min_max_normalize(v: Column | str) -> Column:
     """(x - min) / (max - min); a constant vector gives zeros."""
     v = col(v)
-    low, high = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
+    ends = F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    unit = lambda x, e: F.when(e["hi"] > e["lo"], (x - e["lo"]) / (e["hi"] - e["lo"])).otherwise(F.lit(0.0))
+    return let(ends, lambda e: F.transform(v, lambda x: unit(x, e)))
 
 
 def zscore_normalize(v: Column | str) -> Column:
     v = col(v)
-    centre, spread = mean(v), F.sqrt(var_pop(v))
-    return F.transform(v, lambda x: F.when(spread > TINY, (x - centre) / spread).otherwise(F.lit(0.0)))
+    moments = F.struct(mean(v).alias("m"), F.sqrt(var_pop(v)).alias("s"))
+    z = lambda x, k: F.when(k["s"] > TINY, (x - k["m"]) / k["s"]).otherwise(F.lit(0.0))
+    return let(moments, lambda k: F.transform(v, lambda x: z(x, k)))
 
 
 def l2_normalize(v: Column | str, eps: float = TINY) -> Column:
-    length = F.greatest(norm(v), F.lit(eps))
-    return F.transform(col(v), lambda x: x / length)
+    return let(F.greatest(norm(v), F.lit(eps)), lambda n: F.transform(col(v), lambda x: x / n))
 
 
 def normalize_weights(w: Column | str) -> Column:
     """Weights summing to one; all-zero weights become uniform."""
     w = col(w)
-    s = total(w)
-    return F.transform(w, lambda x: F.when(s > 0, x / s).otherwise(1.0 / F.size(w)))
+    return let(total(w), lambda s: F.transform(w, lambda x: F.when(s > 0, x / s).otherwise(1.0 / F.size(w))))
 
 
 def softmax(v: Column | str) -> Column:
     v = col(v)
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(e, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def relu(v: Column | str) -> Column:

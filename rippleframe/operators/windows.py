@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.functions import phase as ph
 from rippleframe.functions import scoring as sc
+from rippleframe.functions.vectors import let
 from rippleframe.operators.sequence import POS, attach, framed, running
 
 MAD_SCALE = 1.4826
@@ -106,9 +107,13 @@ def rolling(seq: DataFrame, key: Sequence[str], value: str, rows: int) -> DataFr
 
 def median_of(values: Column) -> Column:
     """Median of a (short) array."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return let(
+        F.sort_array(values),
+        lambda s: (
+            F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))
+        )
+        / 2,
+    )
 
 
 def hampel(
