@@ -1,4 +1,4 @@
 """Registered queries, grouped by topic. Importing this package fills the registry."""
 
 from rippleframe.plans.registry import REGISTRY  # noqa: F401
-from rippleframe.plans import windows, state, spectral, matching  # noqa: F401,E402
+from rippleframe.plans import windows, state, spectral, matching, codecs  # noqa: F401,E402
