@@ -34,7 +34,7 @@ def entry_candidates(
     rows = rows.drop(POS).withColumnRenamed("_seen", POS)
     exit_row = F.when(
         F.col("_x"), F.struct(F.col(POS).alias("n"), F.col(room).alias("room"), F.col(at).alias("at"),
-                              F.col(ident).alias("id"), F.col(embedding).alias("v"))
+                              F.col(ident).alias("id"), vec.l2_normalize(embedding).alias("v"))
     )
     rows = framed(
         rows, key, {"_open": lambda w: F.collect_list(exit_row).over(w.rangeBetween(1 - pending, 0))}, before=pending
@@ -43,10 +43,13 @@ def entry_candidates(
         "_open",
         lambda e: (e["room"] != F.col(room)) & (F.greatest(F.col(at) - e["at"], F.lit(0)) <= max_gap),
     )
-    scored = F.transform(
-        usable, lambda e: F.struct((-vec.cosine(e["v"], F.col(embedding))).alias("neg"), e["n"].alias("n"), e["id"].alias("id"))
+    best = lambda r: F.array_min(
+        F.transform(
+            r["open"], lambda e: F.struct((-vec.dot(e["v"], r["v"])).alias("neg"), e["n"].alias("n"), e["id"].alias("id"))
+        )
     )
-    rows = rows.select(*key, ident, F.size(usable).alias("candidates"), F.array_min(scored).alias("_best"))
+    rows = rows.withColumn("_r", F.struct(usable.alias("open"), vec.l2_normalize(embedding).alias("v")))
+    rows = rows.select(*key, ident, F.size("_r.open").alias("candidates"), vec.let(F.col("_r"), best).alias("_best"))
     good = -F.col("_best.neg") >= min_similarity
     return rows.select(
         *key, ident, "candidates",

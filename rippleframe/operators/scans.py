@@ -5,29 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rippleframe.functions import scoring as sc
-from rippleframe.operators.sequence import POS, framed, recurrence, running
+from rippleframe.operators.sequence import CHUNK, CORE, POS, chunked, framed, recurrence, running, sequence
 
 
-def streaks(seq: DataFrame, key: Sequence[str], hit: Column, name: str = "streak") -> DataFrame:
-    """Length of the current run of ``hit`` rows; 0 where it does not hold."""
-    out = running(seq, key, {"_miss": ("last", F.when(~hit, F.col(POS)))})
-    run = F.col(POS) - F.coalesce(F.col("_miss"), F.lit(-1))
-    return out.withColumn(name, run).drop("_miss")
+def streaks(seq: DataFrame, key: Sequence[str], hits: dict[str, Column]) -> DataFrame:
+    """Length of the current run of each condition; 0 where it does not hold."""
+    out = running(seq, key, {f"_miss_{n}": ("last", F.when(~hit, F.col(POS))) for n, hit in hits.items()})
+    for n in hits:
+        out = out.withColumn(n, F.col(POS) - F.coalesce(F.col(f"_miss_{n}"), F.lit(-1))).drop(f"_miss_{n}")
+    return out
 
 
 def debounce(
-    seq: DataFrame, key: Sequence[str], detected: str, confirm: int = 2, release: int = 2
+    seq: DataFrame, key: Sequence[str], detected: str, confirm: int = 2, release: int = 2, size: int | None = None
 ) -> DataFrame:
     """Two-sided hysteresis: on after ``confirm`` hits in a row, off after ``release`` misses."""
     hit = F.col(detected)
-    out = streaks(seq, key, hit, "_on")
-    out = streaks(out, key, ~hit, "_off")
+    out = streaks(chunked(seq, size=size), key, {"_on": hit, "_off": ~hit})
     switch = F.when(F.col("_on") >= confirm, F.lit(True)).when(F.col("_off") >= release, F.lit(False))
-    out = running(out, key, {"state": ("last", switch)})
-    return out.withColumn("state", F.coalesce("state", F.lit(False))).drop("_on", "_off")
+    out = running(out, key, {"state": ("last", switch)}, size=size)
+    return out.withColumn("state", F.coalesce("state", F.lit(False))).drop("_on", "_off", CHUNK, CORE)
 
 
 def smooth(seq: DataFrame, key: Sequence[str], value: Column, alpha: float, name: str, seed: bool) -> DataFrame:
@@ -47,7 +48,9 @@ def ema_residual(seq: DataFrame, key: Sequence[str], value: str, alpha: float =
     return out.withColumn("residual", F.when(F.col(POS) == 0, F.lit(0.0)).otherwise(residual)).drop("_ema")
 
 
-def gate(seq: DataFrame, key: Sequence[str], score: str, novelty: str, drift: str) -> DataFrame:
+def gate(
+    seq: DataFrame, key: Sequence[str], score: str, novelty: str, drift: str, size: int | None = None
+) -> DataFrame:
     """Coherence gate with its low-coherence counter.
 
     The counter is the number of counted observations since the last accepted one,
@@ -58,15 +61,17 @@ def gate(seq: DataFrame, key: Sequence[str], score: str, novelty: str, drift: st
     accept = sc.gate_counts(n, d) & sc.gate_accepts(s, n, d)
     counted = sc.gate_counts(n, d) & ~sc.gate_accepts(s, n, d)
     limit = sc.GATE["max_stale"]
-    out = running(seq, key, {"_low": ("sum", counted.cast("bigint"))})
-    out = running(out, key, {"_base": ("last", F.when(accept, F.col("_low")))})
-    out = out.withColumn("_count", F.col("_low") - F.coalesce("_base", F.lit(0)))
-    out = framed(out, key, {"_prior": lambda w: F.coalesce(F.lag("_count").over(w), F.lit(0))}, before=1)
-    out = running(out, key, {"_latch": ("max", (F.col("_prior") >= limit).cast("int"))})
+    out = chunked(seq, size=size).withColumn("_acc", accept).withColumn("_cnt", counted.cast("bigint"))
+    out = running(out, key, {"_low": ("sum", F.col("_cnt"))}, size=size)
+    reset = F.when(F.col("_acc"), F.col("_low"))
+    out = running(out, key, {"_base": ("last", reset)}, size=size, exclusive=True)
+    prior = F.col("_low") - F.col("_cnt") - F.coalesce("_base", F.lit(0))
+    out = out.withColumn("_prior", prior)
+    out = running(out, key, {"_latch": ("max", (F.col("_prior") >= limit).cast("int"))}, size=size)
     stale = F.when(F.col("_latch") == 1, F.lit(limit)).otherwise(F.col("_prior"))
     out = out.withColumn("stale_frames", stale.cast("bigint"))
     out = out.withColumn("action", sc.gate_decision(s, n, d, F.col("stale_frames")))
-    return out.drop("_low", "_base", "_count", "_prior", "_latch")
+    return out.drop("_acc", "_cnt", "_low", "_base", "_prior", "_latch", CHUNK, CORE)
 
 
 def intention(seq: DataFrame, key: Sequence[str], slope: str, energy: str, lead: str) -> DataFrame:
@@ -74,7 +79,7 @@ def intention(seq: DataFrame, key: Sequence[str], slope: str, energy: str, lead:
     e, sl = F.col(energy), F.col(slope)
     out = seq.withColumn("score", sc.intention_score(sl, e, F.col(lead)))
     moving = e >= 0.45
-    out = streaks(out, key, (F.col("score") >= 0.62) & ~moving, "sustained")
+    out = streaks(out, key, {"sustained": (F.col("score") >= 0.62) & ~moving})
     likely = (F.col("sustained") >= 3) & (F.col("score") >= 0.62)
     label = (
         F.when(moving, "motion")
@@ -90,8 +95,6 @@ def trend(daily: DataFrame, key: Sequence[str], day: str, value: str, points: in
 
     ``daily`` has one row per key and day, so a key is bounded by the calendar.
     """
-    from pyspark.sql import Window as W
-
     recent = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(day)))
     rows = daily.withColumn("_r", recent).filter(F.col("_r") <= points)
     out = rows.groupBy(*key).agg(
@@ -118,15 +121,11 @@ def asof(
     forward, so the join never compares pairs and a hot key spreads over tasks.
     Rows at equal time put the right side first.
     """
-    from rippleframe.operators.sequence import sequence
-
     carried = F.struct(*payload)
     r = right.select(*key, time, *tie, F.lit(0).alias("_side"), carried.alias("_match"))
     extra = [c for c in left.columns if c not in key and c != time and c not in tie]
-    l = left.select(
-        *key, time, *tie, F.lit(1).alias("_side"), *[F.col(c) for c in extra]
-    )
-    both = l.unionByName(r, allowMissingColumns=True)
+    frames = left.select(*key, time, *tie, F.lit(1).alias("_side"), *extra)
+    both = frames.unionByName(r, allowMissingColumns=True)
     seq = sequence(both, key, [time, "_side", *tie])
     out = running(seq, key, {"_found": ("last", F.col("_match"))}).filter("_side = 1")
     return out.select(

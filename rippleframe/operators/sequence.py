@@ -30,53 +30,69 @@ CHUNK = "_chunk"
 CORE = "_core"
 CHUNK_ROWS_CONF = "rippleframe.chunk.rows"
 DEFAULT_CHUNK_ROWS = 200_000
+LONGEST = "longest_key"
 
 
 def chunk_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(CHUNK_ROWS_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
-def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi-join that keeps the left key columns only."""
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", nulls: bool = True) -> DataFrame:
+    """Equi-join that keeps the left key columns only.
+
+    Null keys match each other. ``nulls=False`` is for keys known not to be null: a
+    plain equality lets the join reuse the partitioning of a window on the same keys.
+    """
     right = right.select([F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
     cond = F.lit(True)
     for name in on:
-        cond = cond & left[name].eqNullSafe(right[f"__r_{name}"])
+        same = left[name].eqNullSafe(right[f"__r_{name}"]) if nulls else left[name] == right[f"__r_{name}"]
+        cond = cond & same
     return left.join(right, cond, how).drop(*[f"__r_{c}" for c in on])
 
 
 def sequence(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``pos``, the 0-based rank of each row within ``key`` by ``order``.
 
-    ``order`` must be unique within a key. The global sort range-partitions on
-    (key, order), so a hot key spreads over many tasks. Partition-local row ids
-    become ranks by adding the row counts of the key's earlier partitions: one
-    row per (key, partition), never one per input row. The sorted rows are
-    written out first, since both branches must see the same numbering.
+    ``order`` must be unique within a key, and key columns must not be null (the job
+    fails otherwise). The global sort range-partitions on (key, order), so a hot key
+    spreads over many tasks. Partition-local row ids become ranks by adding the row
+    counts of the key's earlier partitions: one row per (key, partition), never one
+    per input row. The sorted rows are written out first, since both branches must
+    see the same numbering. The column metadata of ``pos`` records the longest key.
     """
     key, order = list(key), list(order)
-    stored = durable(
-        df.orderBy(*key, *order).withColumn("_rid", F.monotonically_increasing_id()), "sequence"
-    ).withColumn("_shard", F.shiftright("_rid", 33))
-    spans = stored.groupBy(*key, "_shard").agg(
-        F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
+    for name in key:
+        kind = df.schema[name].dataType
+        stop = F.raise_error(F.lit(f"null in sequence key {name}")).cast(kind)
+        df = df.withColumn(name, F.when(F.col(name).isNull(), stop).otherwise(F.col(name)))
+    stored = durable(df.orderBy(*key, *order).withColumn("_rid", F.monotonically_increasing_id()), "sequence")
+    stored = stored.withColumn("_shard", F.shiftright("_rid", 33))
+    spans = stored.groupBy(*key, "_shard").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*key).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    return (
-        attach(stored, spans.drop("_n"), [*key, "_shard"], "inner")
-        .withColumn(POS, F.col("_rid") - F.col("_first") + F.col("_base"))
-        .drop("_rid", "_shard", "_first", "_base")
-    )
+    spans = durable(spans.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "spans")
+    longest = spans.agg(F.max(F.col("_base") + F.col("_n"))).first()[0] or 0
+    pos = (F.col("_rid") - F.col("_first") + F.col("_base")).alias(POS, metadata={LONGEST: int(longest)})
+    keep = [c for c in stored.columns if c not in ("_rid", "_shard")]
+    return attach(stored, spans.drop("_n"), [*key, "_shard"], "inner", nulls=False).select(*keep, pos)
+
+
+def fits(seq: DataFrame, rows: int) -> bool:
+    """Whether every key is known to have at most ``rows`` rows."""
+    longest = seq.schema[POS].metadata.get(LONGEST)
+    return longest is not None and longest <= rows
 
 
 def chunked(seq: DataFrame, before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
     """Cut each key into chunks of ``size`` rows by ``pos``.
 
     The last ``before`` rows of a chunk are repeated in the next one and the first
-    ``after`` rows in the previous one, flagged ``_core = false``.
+    ``after`` rows in the previous one, flagged ``_core = false``. When no key is
+    longer than a chunk there is nothing to repeat.
     """
     size = max(size or chunk_rows(seq), before, after, 1)
+    if fits(seq, size):
+        return seq.withColumn(CHUNK, F.lit(0).cast("bigint")).withColumn(CORE, F.lit(True))
     home = F.floor(F.col(POS) / size)
     if not before and not after:
         return seq.withColumn(CHUNK, home).withColumn(CORE, F.lit(True))
@@ -116,57 +132,64 @@ def framed(
     return out.filter(CORE).drop(CHUNK, CORE)
 
 
-def _reach(w):
-    return w.rowsBetween(W.unboundedPreceding, W.currentRow)
+# How each kind of running aggregate is totalled per chunk, carried over chunks (or
+# computed over rows), and joined with the carry.
+_TOTAL = {
+    "sum": lambda v: F.sum(v),
+    "max": lambda v: F.max(v),
+    "min": lambda v: F.min(v),
+    "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col(POS))),
+}
+_OVER = {
+    "sum": lambda v: F.sum(v),
+    "max": lambda v: F.max(v),
+    "min": lambda v: F.min(v),
+    "last": lambda v: F.last(v, ignorenulls=True),
+}
+_JOIN = {
+    "sum": lambda carry, local: F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0)),
+    "max": F.greatest,
+    "min": F.least,
+    "last": lambda carry, local: F.coalesce(local, carry),
+}
 
 
 def running(
-    seq: DataFrame, key: Sequence[str], columns: dict[str, tuple[str, Column]], size: int | None = None
+    seq: DataFrame,
+    key: Sequence[str],
+    columns: dict[str, tuple[str, Column]],
+    size: int | None = None,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Add running aggregates from the start of the key to the current row.
 
     ``columns`` maps a name to (kind, expression); kinds are ``sum`` (nulls count
-    as zero), ``max``, ``min`` and ``last`` (last non-null value).
+    as zero), ``max``, ``min`` and ``last`` (last non-null value). ``exclusive``
+    leaves the current row out. A frame that already has chunks (from ``chunked``
+    without neighbours) keeps them, so that several passes share one shuffle.
     """
     key = list(key)
-    out = chunked(seq, size=size)
+    held = CHUNK in seq.columns
+    out = seq if held else chunked(seq, size=size)
+    single = fits(seq, size or chunk_rows(seq))
     for name, (_, expr) in columns.items():
         out = out.withColumn(f"_v_{name}", expr)
-    total = {
-        "sum": lambda v: F.sum(v),
-        "max": lambda v: F.max(v),
-        "min": lambda v: F.min(v),
-        "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col(POS))),
-    }
-    over_rows = {
-        "sum": lambda v: F.sum(v),
-        "max": lambda v: F.max(v),
-        "min": lambda v: F.min(v),
-        "last": lambda v: F.last(v, ignorenulls=True),
-    }
-    totals = out.groupBy(*key, CHUNK).agg(
-        *[total[kind](F.col(f"_v_{name}")).alias(f"_t_{name}") for name, (kind, _) in columns.items()]
-    )
-    prior = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    for name, (kind, _) in columns.items():
-        totals = totals.withColumn(f"_c_{name}", over_rows[kind](F.col(f"_t_{name}")).over(prior)).drop(
-            f"_t_{name}"
+    if not single:
+        totals = out.groupBy(*key, CHUNK).agg(
+            *[_TOTAL[kind](F.col(f"_v_{name}")).alias(f"_t_{name}") for name, (kind, _) in columns.items()]
         )
-    here = _reach(frame(key))
-    for name, (kind, _) in columns.items():
-        out = out.withColumn(f"_v_{name}", over_rows[kind](F.col(f"_v_{name}")).over(here))
-    out = attach(out, totals, [*key, CHUNK])
-    join = {
-        "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-        "max": F.greatest,
-        "min": F.least,
-        "last": lambda carry, local: F.coalesce(local, carry),
-    }
-    for name, (kind, _) in columns.items():
-        out = out.withColumn(name, join[kind](F.col(f"_c_{name}"), F.col(f"_v_{name}"))).drop(
-            f"_c_{name}", f"_v_{name}"
+        prior = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        totals = totals.select(
+            *key, CHUNK, *[_OVER[kind](F.col(f"_t_{name}")).over(prior).alias(f"_c_{name}") for name, (kind, _) in columns.items()]
         )
-    return out.drop(CHUNK, CORE)
+    here = frame(key).rowsBetween(W.unboundedPreceding, -1 if exclusive else W.currentRow)
+    out = out.withColumns({f"_v_{name}": _OVER[kind](F.col(f"_v_{name}")).over(here) for name, (kind, _) in columns.items()})
+    if not single:
+        out = attach(out, totals, [*key, CHUNK], nulls=False)
+    for name, (kind, _) in columns.items():
+        carry = F.lit(None) if single else F.col(f"_c_{name}")
+        out = out.withColumn(name, _JOIN[kind](carry, F.col(f"_v_{name}"))).drop(f"_c_{name}", f"_v_{name}")
+    return out if held else out.drop(CHUNK, CORE)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -203,11 +226,14 @@ def recurrence(
         seq.withColumn("_a", gain.cast("double")).withColumn("_o", drive.cast("double")),
         key, POS, "_b", block, payload,
     )
-    groups = _affine_groups(blocks.select(*key, "_b", "_a", "_o"), key, "_b", "_s", block)
-    tops = _affine_groups(groups.select(*key, "_s", "_a", "_o"), key, "_s", "_t", None)
-    enter_groups = _states(tops.withColumn("_enter", F.lit(0.0)), key, "_s")
-    enter_blocks = _states(attach(groups, enter_groups, [*key, "_s"]), key, "_b")
-    rows = attach(blocks, enter_blocks, [*key, "_b"])
+    if fits(seq, block):
+        rows = blocks.withColumn("_enter", F.lit(0.0))
+    else:
+        groups = _affine_groups(blocks.select(*key, "_b", "_a", "_o"), key, "_b", "_s", block)
+        tops = _affine_groups(groups.select(*key, "_s", "_a", "_o"), key, "_s", "_t", None)
+        enter_groups = _states(tops.withColumn("_enter", F.lit(0.0)), key, "_s")
+        enter_blocks = _states(attach(groups, enter_groups, [*key, "_s"], nulls=False), key, "_b")
+        rows = attach(blocks, enter_blocks, [*key, "_b"], nulls=False)
     ys = _scan(F.col("_items._a"), F.col("_items._o"), F.col("_enter"))
     return (
         rows.withColumn("_ys", ys)

@@ -89,7 +89,7 @@ def sustained_drift_runs(spark, sf_dir):
     """Longest run, and number of runs of at least three, of samples .8 deviations off."""
     seq = node_sequence(spark, sf_dir, "value")
     rows = win.per_key(seq, NODE, F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    rows = scans.streaks(rows, NODE, F.abs(F.col("value") - F.col("m")) / F.col("s") >= 0.8)
+    rows = scans.streaks(rows, NODE, {"streak": F.abs(F.col("value") - F.col("m")) / F.col("s") >= 0.8})
     return rows.groupBy("user_id").agg(
         F.max("streak").alias("longest"), F.count_if(F.col("streak") == 3).alias("sustained_runs")
     )
