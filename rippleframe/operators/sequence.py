@@ -31,6 +31,7 @@ CORE = "_core"
 CHUNK_ROWS_CONF = "rippleframe.chunk.rows"
 DEFAULT_CHUNK_ROWS = 200_000
 LONGEST = "longest_key"
+WHOLE = "whole_key"
 
 
 def chunk_rows(df: DataFrame) -> int:
@@ -92,7 +93,8 @@ def chunked(seq: DataFrame, before: int = 0, after: int = 0, size: int | None =
     """
     size = max(size or chunk_rows(seq), before, after, 1)
     if fits(seq, size):
-        return seq.withColumn(CHUNK, F.lit(0).cast("bigint")).withColumn(CORE, F.lit(True))
+        only = F.lit(0).cast("bigint").alias(CHUNK, metadata={WHOLE: True})
+        return seq.select("*", only, F.lit(True).alias(CORE))
     home = F.floor(F.col(POS) / size)
     if not before and not after:
         return seq.withColumn(CHUNK, home).withColumn(CORE, F.lit(True))
@@ -171,7 +173,7 @@ def running(
     key = list(key)
     held = CHUNK in seq.columns
     out = seq if held else chunked(seq, size=size)
-    single = fits(seq, size or chunk_rows(seq))
+    single = out.schema[CHUNK].metadata.get(WHOLE, False)
     for name, (_, expr) in columns.items():
         out = out.withColumn(f"_v_{name}", expr)
     if not single:

@@ -59,6 +59,19 @@ def test_gate_latches_after_the_stale_budget(frame, size):
     assert got[-1][0] == "recalibrate"
 
 
+@pytest.mark.parametrize("size", [4, 1000])
+def test_known_key_length_and_small_chunks_agree(frame, size):
+    """The recorded key length must not hide the carry of a smaller chunk size."""
+    rng = random.Random(9)
+    hits = [rng.random() < 0.5 for _ in range(40)]
+    df = frame([("n", i, h) for i, h in enumerate(hits)], "k string, i int, hit boolean")
+    seq = S.sequence(df, ["k"], ["i"])
+    assert S.fits(seq, 40) and not S.fits(seq, 39)
+    state = {}
+    want = [steps.debounce(state, {"hit": h, "event_id": 0})[0][1] for h in hits]
+    assert column(scans.debounce(seq, ["k"], "hit", size=size), "state") == want
+
+
 def test_ema_residual_fixture(frame):
     out = column(scans.ema_residual(seq_of(frame, [5.0] * 40 + [6.0]), ["k"], "v", 0.1), "residual")
     assert out[0] == 0 and out[-1] == pytest.approx(1.0)
