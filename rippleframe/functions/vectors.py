@@ -166,8 +166,8 @@ def smooth_phase_weights(phases: Column | str) -> Column:
     n = F.size(p)
 
     def weight(x, i):
-        here = F.when(i < n - 1, F.get(p, i + 1) - x).otherwise(x - F.get(p, i - 1))
-        return F.coalesce(F.exp(-F.abs(F.atan2(F.sin(here), F.cos(here)))), F.lit(1.0))
+        step = F.when(i < n - 1, F.get(p, i + 1) - x).otherwise(x - F.get(p, i - 1))
+        return F.coalesce(let(step, lambda d: F.exp(-F.abs(F.atan2(F.sin(d), F.cos(d))))), F.lit(1.0))
 
     return F.transform(p, weight)
 

@@ -146,6 +146,14 @@ def movement_class(spark, sf_dir):
     )
 
 
+def _residual():
+    """Frame residual weighted by the phase agreement of neighbouring subcarriers."""
+    return vec.let(
+        F.transform("embedding", lambda x: x.cast("double") * 8),
+        lambda p: vec.let(vec.smooth_phase_weights(p), lambda w: vec.dot("embedding", w) / vec.total(w)),
+    )
+
+
 @query(
     """WITH u AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 p AS (SELECT *, x * 8 AS phi, lead(x * 8) OVER w - x * 8 AS fwd, x * 8 - lag(x * 8) OVER w AS bwd FROM u WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
@@ -155,10 +163,7 @@ SELECT vec_id, label, round(sum(x * w) / sum(w), 7) AS residual FROM g GROUP BY
 def heart_residual(spark, sf_dir):
     """Residual vector to scalar, weighted by the phase agreement of neighbours."""
     em = Tables(spark, sf_dir).embeddings
-    r = F.transform("embedding", lambda x: x.cast("double"))
-    w = vec.smooth_phase_weights(F.transform("embedding", lambda x: x.cast("double") * 8))
-    rows = em.select("vec_id", "label", r.alias("r"), w.alias("w"))
-    return rows.select("vec_id", "label", r6(vec.dot("r", "w") / vec.total("w"), 7).alias("residual"))
+    return em.select("vec_id", "label", r6(_residual(), 7).alias("residual"))
 
 
 @query(
@@ -177,10 +182,7 @@ SELECT user_id AS label, win, round(60 * greatest(0.8, least(2.0, (k0 + greatest
 def heart_rate(spark, sf_dir):
     """Heart band .8 to 2 Hz over four-second windows of room frames at 8 Hz."""
     em = Tables(spark, sf_dir).embeddings
-    r = F.transform("embedding", lambda x: x.cast("double"))
-    w = vec.smooth_phase_weights(F.transform("embedding", lambda x: x.cast("double") * 8))
-    rows = em.select("label", "vec_id", r.alias("r"), w.alias("w"))
-    rows = rows.select("label", "vec_id", (vec.dot("r", "w") / vec.total("w")).alias("r"))
+    rows = em.select("label", "vec_id", _residual().alias("r"))
     seq = win.tumbling(seqs.sequence(rows, ["label"], ["vec_id"]), N)
     rows = win.window_arrays(seq, ["label", "win"], "r").filter(F.size("samples") == N)
     rows = rows.withColumn("a", spec.spectrum_amplitude("samples"))

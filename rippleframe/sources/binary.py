@@ -1,7 +1,7 @@
 """Little-endian fields of BINARY columns, decoded and encoded on the JVM.
 
-A packet column is turned into hex once; fields are substrings of it. Numbers go
-through ``conv``, floats are rebuilt from sign, exponent and fraction.
+A field is a short slice of the bytes, so its cost does not depend on the packet
+length. Numbers go through ``conv``; floats are rebuilt from sign, exponent and fraction.
 """
 
 from __future__ import annotations
@@ -12,25 +12,29 @@ from pyspark.sql import functions as F
 from rippleframe.functions.vectors import let
 
 
-def _byte(h: Column, at) -> Column:
-    at = F.lit(at) if isinstance(at, int) else at
-    return F.substr(h, (at * 2 + 1).cast("int"), F.lit(2))
+def _bytes(data: Column, at, width: int) -> Column:
+    """Hex text of ``width`` bytes from ``at``; the slice is cut before it is converted."""
+    return F.hex(raw(data, at, width))
+
+
+def uint(data: Column, at, width: int) -> Column:
+    """Unsigned integer at byte ``at`` of a binary column; 8-byte values are decimals."""
+    h = _bytes(data, at, width)
+    text = F.concat(*[F.substr(h, F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(width))]) if width > 1 else h
+    return F.conv(text, 16, 10).cast("decimal(20,0)" if width == 8 else "bigint")
 
 
-def uint(h: Column, at, width: int) -> Column:
-    """Unsigned integer at byte ``at`` of hex column ``h``; 8-byte values are decimals."""
-    parts = [_byte(h, at + i) for i in reversed(range(width))]
-    text = F.conv(F.concat(*parts), 16, 10)
-    return text.cast("decimal(20,0)" if width == 8 else "bigint")
+def sint(data: Column, at, width: int) -> Column:
+    top = 1 << (8 * width - 1)
+    value = uint(data, at, width)
+    return F.when(value >= top, value - 2 * top).otherwise(value)
 
 
-def sint(h: Column, at, width: int) -> Column:
-    raw, top = uint(h, at, width), 1 << (8 * width - 1)
-    return F.when(raw >= top, raw - 2 * top).otherwise(raw)
+def float32(data: Column, at) -> Column:
+    return let(uint(data, at, 4), _float_of)
 
 
-def float32(h: Column, at) -> Column:
-    bits = uint(h, at, 4)
+def _float_of(bits: Column) -> Column:
     sign = F.when(bits >= 1 << 31, F.lit(-1.0)).otherwise(F.lit(1.0))
     exponent = F.shiftright(bits, 23).bitwiseAND(255)
     fraction = bits.bitwiseAND((1 << 23) - 1).cast("double") / (1 << 23)

@@ -34,7 +34,7 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def magic(packet: Column) -> Column:
-    return F.when(F.length(packet) >= 4, b.uint(F.hex(packet), 0, 4))
+    return F.when(F.length(packet) >= 4, b.uint(packet, 0, 4))
 
 
 def band(mhz: Column) -> Column:
@@ -64,8 +64,8 @@ def iq(data: Column) -> Column:
 def decode(df: DataFrame, packet: str = "packet") -> DataFrame:
     """Add ``family``, ``error`` and one struct per packet family (null for the others)."""
     p = F.col(packet)
-    rows = df.withColumn("_h", F.hex(p)).withColumn("_m", magic(p)).withColumn("_n", F.length(p))
-    h, n, m = F.col("_h"), F.col("_n"), F.col("_m")
+    rows = df.withColumn("_m", magic(p)).withColumn("_n", F.length(p))
+    h, n, m = p, F.col("_n"), F.col("_m")
     family = (
         F.when(m == RAW_CSI, "raw_csi").when(m == EDGE_VITALS, "edge_vitals").when(m == WASM_EVENT, "wasm_event").when(m == SYNC, "sync")
     )

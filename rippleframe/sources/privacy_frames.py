@@ -64,9 +64,8 @@ def encode(header: dict[str, Column], body: Column, has_delta: Column) -> Column
 def decode(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Add header fields, sections and ``error``; sections are null on a bad frame."""
     f = F.col(frame)
-    out = df.withColumn("_h", F.hex(b.raw(f, 0, HEADER)))
-    h, n = F.col("_h"), F.length(f)
-    out = out.withColumns({
+    h, n = f, F.length(f)
+    out = df.withColumns({
         "flags": b.uint(h, 6, 2), "timestamp_ns": b.uint(h, 8, 8), "ap_hash": b.raw(f, 16, 16), "sta_hash": b.raw(f, 32, 16),
         "session_id": b.raw(f, 48, 16), "channel": b.uint(h, 64, 2), "bandwidth_mhz": b.uint(h, 66, 2), "rssi_dbm": b.sint(h, 68, 2),
         "noise_floor_dbm": b.sint(h, 70, 2), "n_subcarriers": b.uint(h, 72, 2), "n_tx": b.uint(h, 74, 1), "n_rx": b.uint(h, 75, 1),
@@ -78,16 +77,16 @@ def decode(df: DataFrame, frame: str = "frame") -> DataFrame:
         F.when(n < HEADER, "truncated header").when(b.uint(h, 0, 4) != MAGIC, "bad magic").when(b.uint(h, 4, 2) != VERSION, "bad version")
         .when(n < HEADER + F.col("payload_len"), "truncated payload").when(F.crc32("_body") != F.col("payload_crc"), "bad checksum"),
     )
-    out = out.withColumn("_bh", F.hex("_body")).withColumn("_at", F.lit(0).cast("bigint"))
+    out = out.withColumn("_at", F.lit(0).cast("bigint"))
     for name in SECTIONS:
         present = F.col("flags").bitwiseAND(HAS_DELTA) != 0 if name == "csi_delta" else F.lit(True)
-        size = F.when(present & (F.col("_at") + 4 <= F.length("_body")), b.uint(F.col("_bh"), F.col("_at"), 4))
+        size = F.when(present & (F.col("_at") + 4 <= F.length("_body")), b.uint(F.col("_body"), F.col("_at"), 4))
         out = out.withColumn("_size", size)
         whole = F.col("_size").isNotNull() & (F.col("_at") + 4 + F.col("_size") <= F.length("_body"))
         out = out.withColumn(name, F.when(whole & F.col("error").isNull(), b.raw(F.col("_body"), F.col("_at") + 4, F.col("_size"))))
         out = out.withColumn("_at", F.when(present, F.col("_at") + 4 + F.col("_size")).otherwise(F.col("_at")))
     out = out.withColumn("error", F.coalesce("error", F.when(~F.coalesce(F.col("_at") == F.length("_body"), F.lit(False)), F.lit("malformed sections"))))
-    return out.drop("_h", "_body", "_bh", "_at", "_size")
+    return out.drop("_body", "_at", "_size")
 
 
 def demote(df: DataFrame, target: Column) -> DataFrame:

@@ -63,7 +63,7 @@ def test_other_families(frame):
 def test_float_bits_round_trip(spark):
     values = [0.0, 1.0, -2.5, 0.1, 3.4e38, 1.2e-38, 1e-45, 8.0, 0.99999994]
     raw = spark.createDataFrame([(struct.pack("<f", v).hex().upper(), float(np.float32(v))) for v in values], "h string, v double")
-    assert raw.filter(b.float32(F.col("h"), 0) != F.col("v")).count() == 0
+    assert raw.filter(b.float32(F.unhex("h"), 0) != F.col("v")).count() == 0
     normal = raw.filter((F.col("v") == 0) | (F.abs("v") >= 1.2e-38))
     assert normal.filter(b.hex_float32(F.col("v")) != F.col("h")).count() == 0
 
