@@ -38,17 +38,19 @@ def outer_sums(df: DataFrame, vector: str, width: int) -> DataFrame:
             plain += x.sum(axis=0)
             n += len(x)
         if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n], pa.int64()), pa.array([plain.tolist()], pa.list_(pa.float64())), pa.array([cross.ravel().tolist()], pa.list_(pa.float64()))],
-                names=["n", "s", "c"],
-            )
-
-    parts = df.select(vector).mapInArrow(partial, "n long, s array<double>, c array<double>")
-    count = parts.agg(F.sum("n").alias("n"))  # one row
-    rows = parts.select(F.posexplode("c").alias("at", "v")).select((F.col("at") / width).cast("int").alias("i"), (F.col("at") % width).alias("j"), "v")
-    means = parts.select(F.posexplode("s").alias("i", "v")).select("i", F.lit(-1).alias("j"), "v")
-    sums = rows.unionByName(means).groupBy("i", "j").agg(F.sum("v").alias("total")).withColumn("_one", F.lit(1))
-    return sums.join(F.broadcast(count.withColumn("_one", F.lit(1))), "_one").drop("_one")
+            flat = np.concatenate([[float(n)], plain, cross.ravel()]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["a"])
+
+    cells = df.select(vector).mapInArrow(partial, "a array<double>").select(F.posexplode("a").alias("at", "v"))
+    # Position 0 is the frame count, then the sums, then the products row by row.
+    totals = cells.groupBy("at").agg(F.sum("v").alias("total"))
+    k = F.col("at") - 1
+    product = k - width
+    i = F.when(k < width, k).otherwise(F.floor(product / width)).cast("int")
+    j = F.when(k < width, F.lit(-1)).otherwise(product % width).cast("int")
+    n = totals.filter("at = 0").select(F.lit(1).alias("_one"), F.col("total").cast("bigint").alias("n"))  # one row
+    rows = totals.filter("at > 0").select(i.alias("i"), j.alias("j"), "total", F.lit(1).alias("_one"))
+    return rows.join(F.broadcast(n), "_one").drop("_one")
 
 
 def covariance(sums: DataFrame) -> DataFrame:

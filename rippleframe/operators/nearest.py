@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FAN_IN = 64
 RESULT = T.ArrayType(
     T.StructType(
         [
@@ -91,11 +92,18 @@ def nearest(
         return pd.Series(out)
 
     rows = pairs.select(F.explode(best("q_ids", "q_flat", "c_ids", "c_flat")).alias("m")).select("m.*")
-    ranked = rows.groupBy("q").agg(F.collect_list(F.struct((-F.col("s")).alias("n"), "c")).alias("l"))
-    top = F.slice(F.array_sort("l"), 1, k)
-    return ranked.select(F.col("q").alias(query_id), F.posexplode(top).alias("rank", "m")).select(
-        query_id,
-        F.col("m.c").alias(corpus_id if corpus_id != query_id else f"near_{corpus_id}"),
-        (-F.col("m.n")).alias("score"),
-        (F.col("rank") + 1).alias("rank"),
-    )
+    if parts > FAN_IN:
+        # Merge in two rounds, so that no list holds an entry per corpus block.
+        rows = _keep(rows.withColumn("_g", F.pmod(F.xxhash64("c"), F.lit(int(parts**0.5)))), ["q", "_g"], k)
+    rows = _keep(rows, ["q"], k, ranks=True)
+    near = corpus_id if corpus_id != query_id else f"near_{corpus_id}"
+    return rows.select(F.col("q").alias(query_id), F.col("c").alias(near), F.col("s").alias("score"), "rank")
+
+
+def _keep(rows: DataFrame, keys: list[str], k: int, ranks: bool = False) -> DataFrame:
+    """Best ``k`` per key, lower corpus id first on ties."""
+    entry = F.struct((-F.col("s")).alias("n"), "c")
+    top = rows.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("_l"))
+    out = top.select("q", F.posexplode("_l").alias("rank", "m"))
+    out = out.select("q", F.col("m.c").alias("c"), (-F.col("m.n")).alias("s"), (F.col("rank") + 1).alias("rank"))
+    return out if ranks else out.drop("rank")

@@ -12,6 +12,7 @@ from rippleframe.operators import fields, history
 from rippleframe.operators import sequence as seqs
 from rippleframe.operators.graph import Graph
 from rippleframe.plans.registry import Tables, query, r6
+from rippleframe.session import durable
 
 CELLS = """ce AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS sc, unnest(embedding)::DOUBLE + 1 AS a,
   atan2(sin(unnest(embedding)::DOUBLE * 8), cos(unnest(embedding)::DOUBLE * 8)) AS p FROM embeddings),
@@ -75,7 +76,7 @@ def field_covariance(spark, sf_dir):
 def field_modes(spark, sf_dir):
     """Frame energy outside the four leading modes of the empty-room covariance."""
     em = Tables(spark, sf_dir).embeddings
-    cov = fields.covariance(fields.outer_sums(em, "embedding", 64))
+    cov = durable(fields.covariance(fields.outer_sums(em, "embedding", 64)), "covariance")  # 4096 rows, used twice
     out = fields.perturbation(em.select("vec_id", "label", "embedding"), "embedding", cov, fields.modes(cov, 4))
     return out.select("vec_id", "label", r6("energy").alias("energy"))
 

@@ -20,9 +20,11 @@ def write(df: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejected): lines that do not parse keep their text."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    good = rows.filter("_corrupt IS NULL").drop("_corrupt")
-    return good, rows.filter("_corrupt IS NOT NULL").select("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    rows = rows.withColumn("_r", F.from_json("value", f"{schema}, _corrupt string", options))
+    good = rows.filter("_r._corrupt IS NULL").select("_r.*").drop("_corrupt")
+    return good, rows.filter("_r._corrupt IS NOT NULL").select("value")
 
 
 def tensor_shapes(exports: DataFrame) -> DataFrame:

@@ -194,3 +194,17 @@ def track_scan(state: dict, row: dict) -> list[tuple]:
             out.append((row["scan"], t["id"], t["state"], t["state"], t["x"][0], t["x"][1]))
     state["tracks"] = [t for t in tracks if t["state"] != "terminated"]
     return out
+
+
+def upsert_survivor(state: dict, row: dict, radius: float = 2.0) -> list[tuple]:
+    """Attach a detection to the first recorded survivor closer than ``radius``, or record a new one.
+
+    Detections without a place always start a new record.
+    """
+    known, place = state.setdefault("survivors", []), row["place"]
+    for number, at in known:
+        if place is not None and at is not None and math.dist(at, place) < radius:
+            return [(row["event_id"], number, False)]
+    state["count"] = state.get("count", 0) + 1
+    known.append([state["count"], None if place is None else [float(v) for v in place]])
+    return [(row["event_id"], state["count"], True)]

@@ -11,9 +11,10 @@ from rippleframe.operators.nearest import nearest
 from rippleframe.streaming import steps
 
 
-@pytest.mark.parametrize("block", [3, 1000])
+@pytest.mark.parametrize("block, fan_in", [(3, 64), (3, 1), (1000, 64)])
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
-def test_nearest_is_brute_force(frame, block, metric):
+def test_nearest_is_brute_force(frame, monkeypatch, block, fan_in, metric):
+    monkeypatch.setattr("rippleframe.operators.nearest.FAN_IN", fan_in)
     rng = np.random.default_rng(1)
     q, c = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (11, 3)).astype(float)
     dq = frame([(i, v.tolist()) for i, v in enumerate(q)], "q long, v array<double>")
