@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rippleframe.functions import vectors as vec
-from rippleframe.operators.sequence import POS, attach, framed, running
+from rippleframe.operators.sequence import CHUNK, CORE, WHOLE, attach, chunked, running
 
 
 def entry_candidates(
@@ -22,23 +23,24 @@ def entry_candidates(
     max_gap: int,
     pending: int = 200,
     min_similarity: float = 0.8,
+    size: int | None = None,
 ) -> DataFrame:
     """Best earlier exit from another room for every entry.
 
     Only the last ``pending`` exits of a key are kept, as in a bounded exit list, so
-    an entry looks at that many rows and not at all exits of a busy key. Rows are
-    addressed by the number of exits so far, and a range frame over that number
-    collects the pending exits. Similarity ties keep the earlier exit.
+    an entry looks at that many rows and not at all exits of a busy key. Rows carry
+    the number of exits so far, and a range frame over that number collects the
+    pending exits. Similarity ties keep the earlier exit.
     """
+    key = list(key)
     rows = running(seq.withColumn("_x", is_exit), key, {"_seen": ("sum", F.col("_x").cast("bigint"))})
-    rows = rows.drop(POS).withColumnRenamed("_seen", POS)
+    rows = _with_open_exits(chunked(rows, size=size), key, pending)
     exit_row = F.when(
-        F.col("_x"), F.struct(F.col(POS).alias("n"), F.col(room).alias("room"), F.col(at).alias("at"),
+        F.col("_x"), F.struct(F.col("_seen").alias("n"), F.col(room).alias("room"), F.col(at).alias("at"),
                               F.col(ident).alias("id"), vec.l2_normalize(embedding).alias("v"))
     )
-    rows = framed(
-        rows, key, {"_open": lambda w: F.collect_list(exit_row).over(w.rangeBetween(1 - pending, 0))}, before=pending
-    ).filter(~F.col("_x"))
+    recent = W.partitionBy(*key, CHUNK).orderBy("_seen").rangeBetween(1 - pending, 0)
+    rows = rows.withColumn("_open", F.collect_list(exit_row).over(recent)).filter(F.col(CORE) & ~F.col("_x"))
     usable = F.filter(
         "_open",
         lambda e: (e["room"] != F.col(room)) & (F.greatest(F.col(at) - e["at"], F.lit(0)) <= max_gap),
@@ -58,6 +60,26 @@ def entry_candidates(
     )
 
 
+def _with_open_exits(rows: DataFrame, key: list[str], pending: int) -> DataFrame:
+    """Add to every chunk the exits still open when it starts, flagged ``_core = false``.
+
+    Chunks are cut by row, so a long stretch of entries is cut as well. The exits a
+    chunk needs are addressed by their number, in blocks of ``pending``: two blocks
+    at most, found with an equi-join.
+    """
+    if rows.schema[CHUNK].metadata.get(WHOLE, False):
+        return rows
+    starts = rows.groupBy(*key, F.col(CHUNK).alias("_to")).agg(F.min(F.col("_seen") - F.col("_x").cast("bigint")).alias("_before"))
+    starts = starts.filter("_to > 0 AND _before > 0")
+    block = lambda n: F.floor(n / pending)
+    need = starts.withColumn("_block", F.explode(F.sequence(block(F.col("_before") - (pending - 1)), block(F.col("_before")))))
+    exits = rows.filter("_x").withColumn("_block", block(F.col("_seen")))
+    copies = attach(exits, need, [*key, "_block"], "inner", nulls=False)
+    copies = copies.filter((F.col("_seen") <= F.col("_before")) & (F.col("_seen") > F.col("_before") - pending))
+    copies = copies.withColumn(CHUNK, F.col("_to")).withColumn(CORE, F.lit(False)).select(rows.columns)
+    return rows.unionByName(copies)
+
+
 def triplets(df: DataFrame, ident: str, state: str, environment: str) -> DataFrame:
     """Lowest-id positive (same state, other environment) and negative (other state).
 

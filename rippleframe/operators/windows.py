@@ -14,6 +14,7 @@ from rippleframe.functions.vectors import let
 from rippleframe.operators.sequence import POS, attach, framed, running
 
 MAD_SCALE = 1.4826
+GRID_BLOCK = 4096
 
 
 def steps(seq: DataFrame, key: Sequence[str], value: str, name: str = "step") -> DataFrame:
@@ -215,7 +216,8 @@ def resample(seq: DataFrame, key: Sequence[str], time: str, value: str, period:
     """Linear interpolation onto multiples of ``period``.
 
     Each pair of neighbouring samples emits the grid points between them, so no
-    as-of join is needed. Gaps of zero length are skipped.
+    as-of join is needed. Gaps of zero length are skipped. A long gap is expanded in
+    blocks, so that no row holds all of its points.
     """
     out = framed(
         seq,
@@ -225,9 +227,12 @@ def resample(seq: DataFrame, key: Sequence[str], time: str, value: str, period:
     ).filter(F.col(time) > F.col("_t0"))
     first, last = F.ceil(F.col("_t0") / period), F.ceil(F.col(time) / period) - 1
     points = out.filter(last >= first).select(
-        *key, "_t0", "_v0", F.col(time).alias("_t1"), F.col(value).alias("_v1"),
-        F.explode(F.sequence(first, last)).alias("grid"),
+        *key, "_t0", "_v0", F.col(time).alias("_t1"), F.col(value).alias("_v1"), first.alias("_g0"), last.alias("_g1"),
+        F.explode(F.sequence(F.floor(first / GRID_BLOCK), F.floor(last / GRID_BLOCK))).alias("_b"),
     )
+    low = F.greatest(F.col("_g0"), F.col("_b") * GRID_BLOCK)
+    high = F.least(F.col("_g1"), F.col("_b") * GRID_BLOCK + (GRID_BLOCK - 1))
+    points = points.withColumn("grid", F.explode(F.sequence(low, high)))
     ratio = (F.col("grid") * period - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
     return points.select(
         *key, "grid", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * ratio).alias("resampled")

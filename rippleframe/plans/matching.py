@@ -65,12 +65,12 @@ def knn_mesh(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT event_id, user_id % 8 AS site, event_id % 5 AS room, event_type IN ('view', 'error') AS x, epoch_us(ts) AS us,
-  cos(value) AS a, sin(value) AS b FROM events),
+  cos(sqrt(value)) AS a, sin(sqrt(value)) AS b FROM events),
 n AS (SELECT *, sum(x::INT) OVER (PARTITION BY site ORDER BY us, event_id) AS seen FROM e),
 p AS (SELECT i.site, i.event_id, o.event_id AS exit_id, o.seen, i.a * o.a + i.b * o.b AS sim FROM n i JOIN n o
   ON i.site = o.site AND NOT i.x AND o.x AND o.room <> i.room AND o.seen BETWEEN i.seen - 199 AND i.seen AND i.us - o.us <= 3600000000
   AND (o.us, o.event_id) < (i.us, i.event_id)),
-b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(sim, 9) DESC, seen) AS rk, count(*) OVER (PARTITION BY event_id) AS c FROM p)
+b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(sim, 12) DESC, seen) AS rk, count(*) OVER (PARTITION BY event_id) AS c FROM p)
 SELECT n.event_id, n.site, coalesce(c, 0)::INT AS candidates, CASE WHEN sim >= 0.8 THEN exit_id END AS exit_id, round(greatest(coalesce(sim, 0), 0), 6) AS similarity
 FROM n LEFT JOIN b ON n.event_id = b.event_id AND rk = 1 WHERE NOT n.x"""
 )
@@ -79,7 +79,7 @@ def cross_room_candidates(spark, sf_dir):
     ev = Tables(spark, sf_dir).events.select(
         "event_id", "ts", (F.col("user_id") % 8).alias("site"), (F.col("event_id") % 5).alias("room"),
         F.col("event_type").isin("view", "error").alias("is_exit"), epoch_us("ts").alias("us"),
-        F.array(F.cos("value"), F.sin("value")).alias("v"),
+        F.array(F.cos(F.sqrt("value")), F.sin(F.sqrt("value"))).alias("v"),
     )
     seq = seqs.sequence(ev, ["site"], ["us", "event_id"])
     out = match.entry_candidates(seq, ["site"], F.col("is_exit"), "room", "us", "event_id", "v", 3_600_000_000)

@@ -43,18 +43,18 @@ def node_sequence(spark, sf_dir, *columns):
 
 
 @query(
-    f"""WITH {EV}, d AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY pos) AS d FROM ev)
-SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean_value, round(var_pop(value), 6) AS var_value,
+    f"""WITH {EV}, d AS (SELECT *, amp - lag(amp) OVER (PARTITION BY user_id ORDER BY pos) AS d FROM ev)
+SELECT user_id, count(*) AS n, round(avg(amp), 6) AS mean_amplitude, round(var_pop(amp), 6) AS var_amplitude,
   round(avg(abs(d)), 6) AS mean_abs_step, round(avg(d * d), 6) AS motion_energy
 FROM d GROUP BY user_id"""
 )
 def window_features(spark, sf_dir):
     """Mean, variance, mean step size and motion energy of every node."""
-    rows = win.steps(node_sequence(spark, sf_dir, "value"), NODE, "value")
+    rows = win.steps(node_sequence(spark, sf_dir, "amp"), NODE, "amp")
     return rows.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"),
-        r6(F.avg("value")).alias("mean_value"),
-        r6(F.var_pop("value")).alias("var_value"),
+        r6(F.avg("amp")).alias("mean_amplitude"),
+        r6(F.var_pop("amp")).alias("var_amplitude"),
         r6(F.avg(F.abs("step"))).alias("mean_abs_step"),
         r6(F.avg(F.col("step") * F.col("step"))).alias("motion_energy"),
     )
@@ -307,12 +307,12 @@ def sliding_count_windows(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, user_id, round(CASE WHEN event_type <> 'error' THEN value
-  ELSE avg(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id) END, 6) AS imputed FROM events"""
+    f"""WITH {EV} SELECT event_id, user_id, round(CASE WHEN event_type <> 'error' THEN amp
+  ELSE avg(CASE WHEN event_type <> 'error' THEN amp END) OVER (PARTITION BY user_id) END, 6) AS imputed FROM ev"""
 )
 def impute_column_mean(spark, sf_dir):
-    ev = Tables(spark, sf_dir).events.select("event_id", "user_id", "event_type", "value")
-    out = win.impute(ev, NODE, "value", F.col("event_type") != "error")
+    ev = samples(spark, sf_dir, "event_type", "amp")
+    out = win.impute(ev, NODE, "amp", F.col("event_type") != "error")
     return out.select("event_id", "user_id", r6("imputed").alias("imputed"))
 
 
@@ -397,8 +397,8 @@ def robust_scale(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EV}, d AS (SELECT *, pos // 16 AS win, value - lag(value) OVER (PARTITION BY user_id ORDER BY pos) AS d FROM ev),
-m AS (SELECT user_id, win, sum(d * d) AS energy, avg(value) AS mean_value, var_pop(value) AS var_value
+    f"""WITH {EV}, d AS (SELECT *, pos // 16 AS win, amp - lag(amp) OVER (PARTITION BY user_id ORDER BY pos) AS d FROM ev),
+m AS (SELECT user_id, win, sum(d * d) AS energy, avg(amp) AS mean_value, var_pop(amp) AS var_value
   FROM d GROUP BY ALL HAVING count(*) = 16),
 b AS (SELECT user_id, arg_max(win, (energy, -win)) AS win FROM m WHERE win > 0 GROUP BY user_id)
 SELECT m.user_id, m.win AS present_win, round(m.mean_value - e.mean_value, 6) AS mean_delta,
@@ -407,11 +407,11 @@ FROM b JOIN m ON b.user_id = m.user_id AND b.win = m.win JOIN m e ON e.user_id =
 )
 def empty_vs_present(spark, sf_dir):
     """First segment against the segment with the highest motion energy of the node."""
-    rows = win.tumbling(win.steps(node_sequence(spark, sf_dir, "value"), NODE, "value"), 16)
+    rows = win.tumbling(win.steps(node_sequence(spark, sf_dir, "amp"), NODE, "amp"), 16)
     seg = rows.groupBy("user_id", "win").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("step") * F.col("step")).alias("energy"),
-        F.struct(F.avg("value").alias("m"), F.var_pop("value").alias("v")).alias("s"),
+        F.struct(F.avg("amp").alias("m"), F.var_pop("amp").alias("v")).alias("s"),
     ).filter("n = 16")
     out = seg.groupBy("user_id").agg(
         F.max(F.when(F.col("win") == 0, F.col("s"))).alias("empty"),

@@ -47,16 +47,14 @@ def test_triplets_are_brute_force(frame):
     assert got == want
 
 
-@pytest.mark.parametrize("size", [5, 1000])
-def test_entry_candidates_are_brute_force(frame, size):
+@pytest.mark.parametrize("size", [1, 3, 5, 1000])
+@pytest.mark.parametrize("share", [0.6, 0.07])
+def test_entry_candidates_are_brute_force(frame, size, share):
     rng = random.Random(3)
-    rows = [("s", t, t, rng.random() < 0.6, rng.randrange(3), [math.cos(a), math.sin(a)]) for t in range(60) for a in [rng.uniform(0, 6)]]
+    rows = [("s", t, t, rng.random() < share, rng.randrange(3), [math.cos(a), math.sin(a)]) for t in range(60) for a in [rng.uniform(0, 6)]]
     seq = S.sequence(frame(rows, "k string, t long, i long, x boolean, room int, v array<double>"), ["k"], ["t"]).withColumn("pos", F.col("pos") + 0)
-    seq.sparkSession.conf.set(S.CHUNK_ROWS_CONF, str(size))
-    try:
-        got = {r.i: r for r in matching.entry_candidates(seq, ["k"], F.col("x"), "room", "t", "i", "v", 20, pending=4).collect()}
-    finally:
-        seq.sparkSession.conf.unset(S.CHUNK_ROWS_CONF)
+    out = matching.entry_candidates(seq, ["k"], F.col("x"), "room", "t", "i", "v", 20, pending=4, size=size)
+    got = {r.i: r for r in out.collect()}
     exits = []
     for _, t, i, is_exit, room, v in rows:
         if is_exit:
