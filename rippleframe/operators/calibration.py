@@ -28,12 +28,12 @@ def record(cells: DataFrame, subcarrier: str, amplitude: str, phase: str, min_fr
 def deviation(frames: DataFrame, baseline: DataFrame, subcarrier: str, amplitude: Column, phase: Column) -> DataFrame:
     """Median and maximum |z|, median phase drift and flags per frame.
 
-    The baseline, one entry per subcarrier, becomes a single row of arrays; frames
-    stay arrays and are never exploded.
+    The baseline, one entry per subcarrier, becomes one array through a scalar
+    subquery; frames stay arrays and are never exploded.
     """
     fields = ["amplitude_mean", "amplitude_variance", "phase_mean"]
-    packed = baseline.groupBy(F.lit(1).alias("_one")).agg(F.sort_array(F.collect_list(F.struct(subcarrier, *fields))).alias("_base"))
-    rows = frames.withColumns({"_a": amplitude, "_p": phase, "_one": F.lit(1)}).join(F.broadcast(packed), "_one")
+    packed = baseline.agg(F.sort_array(F.collect_list(F.struct(subcarrier, *fields))).alias("_base"))
+    rows = frames.withColumns({"_a": amplitude, "_p": phase, "_base": packed.scalar()})
     floor = F.lit(MIN_STD**2)
     z = F.zip_with("_a", "_base", lambda a, b: F.abs(a - b["amplitude_mean"]) / F.sqrt(F.greatest(b["amplitude_variance"], floor)))
     drift = F.zip_with("_p", "_base", lambda p, b: ph.circular_distance(p, b["phase_mean"]))

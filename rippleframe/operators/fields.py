@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rippleframe.functions import geo
+from rippleframe.functions import vectors as vec
 from rippleframe.operators.sequence import attach
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -48,9 +49,8 @@ def outer_sums(df: DataFrame, vector: str, width: int) -> DataFrame:
     product = k - width
     i = F.when(k < width, k).otherwise(F.floor(product / width)).cast("int")
     j = F.when(k < width, F.lit(-1)).otherwise(product % width).cast("int")
-    n = totals.filter("at = 0").select(F.lit(1).alias("_one"), F.col("total").cast("bigint").alias("n"))  # one row
-    rows = totals.filter("at > 0").select(i.alias("i"), j.alias("j"), "total", F.lit(1).alias("_one"))
-    return rows.join(F.broadcast(n), "_one").drop("_one")
+    n = totals.filter("at = 0").select(F.col("total").cast("bigint")).scalar()
+    return totals.filter("at > 0").select(i.alias("i"), j.alias("j"), "total", n.alias("n"))
 
 
 def covariance(sums: DataFrame) -> DataFrame:
@@ -88,21 +88,20 @@ def modes(cov: DataFrame, count: int) -> DataFrame:
 
 def perturbation(df: DataFrame, vector: str, cov: DataFrame, mode_table: DataFrame) -> DataFrame:
     """Frame energy left after subtracting the mean and projecting out the modes."""
-    one = F.lit(1).alias("_one")
-    mean = cov.select("i", "mi").distinct().groupBy(one).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "mi"))), lambda c: c["mi"]).alias("_mean"))
-    basis = mode_table.groupBy(one).agg(F.transform(F.sort_array(F.collect_list(F.struct("mode", "vector"))), lambda c: c["vector"]).alias("_basis"))
-    # Two broadcast rows: one mean vector, one set of modes.
-    rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").join(F.broadcast(basis), "_one")
-
-    @F.pandas_udf(T.DoubleType())
-    def energy(x: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        r = np.stack(x.to_numpy()).astype(np.float64) - np.asarray(m.iloc[0])
-        q = np.stack(b.iloc[0])
-        return pd.Series(np.linalg.norm(r - (r @ q.T) @ q, axis=1))
-
-    return rows.withColumn("energy", energy(F.col(vector).cast("array<double>"), "_mean", "_basis")).drop("_mean", "_basis", "_one")
+    mean = cov.select("i", "mi").distinct().agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "mi"))), lambda c: c["mi"]).alias("m"))
+    basis = mode_table.agg(F.transform(F.sort_array(F.collect_list(F.struct("mode", "vector"))), lambda c: c["vector"]).alias("b"))
+    # Two scalar subqueries: one mean vector, one set of modes.
+    rows = df.withColumn("_mean", mean.scalar()).withColumn("_basis", basis.scalar())
+
+    def left_over(s):
+        r = s["r"]
+        along = F.transform(s["b"], lambda mode: vec.dot(r, mode))
+        # Modes are orthonormal, so their shares add up as squares.
+        return F.sqrt(F.greatest(vec.dot(r, r) - vec.dot(along, along), F.lit(0.0)))
+
+    residual = F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m)
+    energy = vec.let(F.struct(residual.alias("r"), F.col("_basis").alias("b")), left_over)
+    return rows.withColumn("energy", energy).drop("_mean", "_basis")
 
 
 def link_weights(links: DataFrame, key: Sequence[str], nx: int, ny: int, bounds: tuple[float, float, float, float], wavelength: float = 0.125) -> DataFrame:

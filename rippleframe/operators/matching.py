@@ -90,8 +90,8 @@ def triplets(df: DataFrame, ident: str, state: str, environment: str) -> DataFra
     two = lambda name: F.slice(F.array_sort(F.collect_list(F.struct("m", F.col(name).alias("g")))), 1, 2)
     envs = cell.groupBy(state).agg(two(environment).alias("_envs"), F.min("m").alias("m"))
     rows = attach(df, envs.select(state, "_envs"), [state])
-    states = envs.groupBy(F.lit(1).alias("_all")).agg(two(state).alias("_states"))
-    rows = rows.withColumn("_all", F.lit(1)).join(F.broadcast(states), "_all")  # one row, two entries
+    # A scalar subquery: one value with two entries.
+    rows = rows.withColumn("_states", envs.agg(two(state).alias("_states")).scalar())
     pick = lambda a, own: F.get(F.transform(F.filter(a, lambda p: p["g"] != F.col(own)), lambda p: p["m"]), 0)
     out = rows.select(
         F.col(ident).alias("anchor"),

@@ -56,8 +56,8 @@ def calibration_deviation(spark, sf_dir):
 def baseline_subtract(spark, sf_dir):
     """Amplitude above the baseline, clipped at zero."""
     f = _frames(spark, sf_dir)
-    base = _baseline(f).groupBy(F.lit(1).alias("one")).agg(F.transform(F.sort_array(F.collect_list(F.struct("sc", "amplitude_mean"))), lambda c: c["amplitude_mean"]).alias("m"))
-    rows = f.withColumn("one", F.lit(1)).join(F.broadcast(base), "one")  # one row of 64 means
+    means = F.transform(F.sort_array(F.collect_list(F.struct("sc", "amplitude_mean"))), lambda c: c["amplitude_mean"])
+    rows = f.withColumn("m", _baseline(f).agg(means.alias("m")).scalar())  # one value of 64 means
     rows = rows.select("vec_id", vec.subtract("a", "m").alias("r"))
     return rows.select("vec_id", r6(vec.norm("r")).alias("residual_norm"), r6(F.array_max("r")).alias("residual_max"))
 

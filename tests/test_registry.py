@@ -27,7 +27,10 @@ def test_entry_points_share_names():
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_sql(spark, con, name):
     q = REGISTRY[name]
-    got = q.build(spark, SF).toPandas()
+    df = q.build(spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = df.toPandas()
     if q.sql is None:
         assert len(got.columns) > 0
     else:
