@@ -39,7 +39,10 @@ def movement_category(movement: Column, voluntary: Column) -> Column:
 
 
 def _decisions(breathing, heart, movement, category, confidence, pattern):
-    """Ordered (condition, status, reason) rules; the first one that holds decides."""
+    """Ordered (condition, status, reason) rules; the first one that holds decides.
+
+    Bounds and reason texts are fixed values.
+    """
     nothing = breathing.isNull() & heart.isNull() & movement.isNull()
     no_vitals = (category == "none") & (breathing <= 0) & (heart.isNull() | (heart <= 0))
     f1 = lambda c: F.format_string("%.1f", c.cast("double"))

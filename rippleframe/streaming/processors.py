@@ -57,10 +57,11 @@ def apply_step(stream: DataFrame, key: Sequence[str], step: Callable, order: Seq
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, max_bytes: int = 256 << 20) -> DataFrame:
-    """Parquet files of one table as a stream, about ``max_bytes`` per micro-batch."""
+    """One Parquet table (a file or a folder of files) as a stream, about ``max_bytes`` per micro-batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
-    return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    # A pattern, because a stream takes a plain path for a folder.
+    pattern = f"{folder}/{name}.parque[t]"
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(pattern)
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:

@@ -9,24 +9,18 @@ from rippleframe.streaming.processors import apply_step, read_stream, run_availa
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """Events in several files, so that state crosses micro-batches."""
+    """The event table as a folder of three files, so that state crosses micro-batches."""
     base = tmp_path_factory.mktemp("stream")
-    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", "value")
-    part = ev.orderBy("event_id").coalesce(1)
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", "value").coalesce(1)
     for i in range(3):
-        part.filter((F.col("event_id") >= 334 * i) & (F.col("event_id") < 334 * (i + 1))).write.parquet(str(base / f"events{i}.parquet"))
-    ev.limit(0).write.parquet(str(base / "events.parquet"))
-    return base
-
-
-def stream(spark, folder):
-    schema = spark.read.parquet(str(folder / "events0.parquet")).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    return reader.parquet(str(folder)).withColumn("hit", F.col("value") > 40)
+        ev.filter((F.col("event_id") >= 334 * i) & (F.col("event_id") < 334 * (i + 1))).write.mode("append").parquet(str(base / "events.parquet"))
+    return str(base)
 
 
 def test_stream_agrees_with_batch(spark, folder):
-    out = run_available(apply_step(stream(spark, folder), ["user_id"], steps.debounce, ["event_id"], "user_id long, event_id long, state boolean"), "t")
+    stream = read_stream(spark, folder, "events", max_bytes=1).withColumn("hit", F.col("value") > 40)
+    schema = "user_id long, event_id long, state boolean"
+    out = run_available(apply_step(stream, ["user_id"], steps.debounce, ["event_id"], schema), "t")
     got = {r.event_id: r.state for r in out.collect()}
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", (F.col("value") > 40).alias("hit"))
     want = {r.event_id: r.state for r in scans.debounce(S.sequence(ev, ["user_id"], ["event_id"]), ["user_id"], "hit", size=9).collect()}
