@@ -122,11 +122,12 @@ def amplitude_vector_quality(v: Column | str) -> Column:
     return F.when(level <= 1e-12, F.lit(0.0)).otherwise(amplitude_quality(F.sqrt(var_pop(v)) / level))
 
 
-def motion_level(score: Column, presence: Column) -> Column:
+def motion_level(score: Column, presence: Column, active: float = 0.25, moving: float = 0.12) -> Column:
+    """Level above ``active`` and ``moving``; a recording viewer uses .65 and .25."""
     return (
         F.when(~presence, "absent")
-        .when(score > 0.25, "active")
-        .when(score > 0.12, "present_moving")
+        .when(score > active, "active")
+        .when(score > moving, "present_moving")
         .otherwise("present_still")
     )
 

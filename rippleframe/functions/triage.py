@@ -104,6 +104,30 @@ def condition(breathing: Column, pattern: Column, moving: Column, has_heart: Col
     )
 
 
+# Confidence of each movement class.
+MOVEMENT_CONFIDENCE = {"none": 0.0, "gross": 0.9, "fine": 0.7, "tremor": 0.6, "periodic": 0.5}
+
+
+def ensemble(breathing: Column, heart: Column, movement: Column) -> Column:
+    """Detector ensemble; weights .5 / .3 / .2, missing parts count as zero."""
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    return 0.5 * z(breathing) + 0.3 * z(heart) + 0.2 * z(movement)
+
+
+def detected_condition(bpm: Column, pattern: Column, heart: Column, moving: Column, confidence: Column) -> Column:
+    """Condition of a detection; ``bpm`` is null without breathing, the others are flags."""
+    breathing = bpm.isNotNull()
+    return (
+        F.when(breathing & pattern.isin("agonal", "apnea"), "immediate")
+        .when((bpm < 10) | (bpm > 30), "immediate")
+        .when(confidence < 0.3, "unknown")
+        .when(~breathing & ~heart & ~moving, "deceased")
+        .when(~breathing & (heart | moving), "immediate")
+        .when(~bpm.between(12, 24), F.when(moving, "delayed").otherwise("immediate"))
+        .otherwise(F.when(moving, "minor").otherwise("delayed"))
+    )
+
+
 def vitals_confidence(breathing: Column, heart: Column, movement: Column) -> Column:
     """Weighted mean (1.5 / 1 / 1) of the confidences that are present."""
     part = lambda c, w: F.coalesce(c * w, F.lit(0.0))

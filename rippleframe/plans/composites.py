@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rippleframe.functions import geo
+from rippleframe.functions import geo, pose
+from rippleframe.functions import triage as tr
 from rippleframe.functions import vectors as vec
 from rippleframe.operators import bands, formation
 from rippleframe.operators import matching as match
@@ -12,7 +13,7 @@ from rippleframe.operators import sequence as seqs
 from rippleframe.operators import spectral as spec
 from rippleframe.operators import windows as win
 from rippleframe.operators.quantiles import quantiles
-from rippleframe.plans.registry import Tables, epoch_us, query, r6
+from rippleframe.plans.registry import REGISTRY, Tables, epoch_us, query, r6
 from rippleframe.plans.spectral import N, RATE, WINDOWED, _dft, _windows
 from rippleframe.plans.windows import EV, NODE, node_sequence
 
@@ -180,3 +181,59 @@ def calibration_freshness(spark, sf_dir):
     last = Tables(spark, sf_dir).orders.groupBy(F.col("o_custkey").alias("model")).agg(F.max(epoch_us("o_orderdate")).alias("t"))
     days = (F.lit(1_009_843_200_000_000) - F.col("t")) / 86_400_000_000
     return last.select("model", F.when(days <= 90, "fresh").when(days <= 365, "stale").otherwise("expired").alias("status"))
+
+
+def _plain_sql(name):
+    return REGISTRY[name].sql
+
+
+@query(
+    f"""WITH b AS ({_plain_sql('rescue_breathing')}), m AS ({_plain_sql('movement_class')}),
+j AS (SELECT m.user_id, m.win, bpm, pattern, movement, least(1, greatest(0, amplitude * regularity)) AS bc,
+  CASE movement WHEN 'gross' THEN 0.9 WHEN 'fine' THEN 0.7 WHEN 'tremor' THEN 0.6 WHEN 'periodic' THEN 0.5 ELSE 0 END AS mc FROM m LEFT JOIN b USING (user_id, win)),
+e AS (SELECT *, 0.5 * coalesce(bc, 0) + 0.2 * mc AS conf FROM j WHERE bpm IS NOT NULL OR movement <> 'none')
+SELECT user_id, win, round(conf, 5) AS confidence, CASE WHEN pattern = 'agonal' OR bpm < 10 OR bpm > 30 THEN 'immediate' WHEN conf < 0.3 THEN 'unknown' WHEN bpm IS NULL THEN 'immediate'
+  WHEN bpm NOT BETWEEN 12 AND 24 THEN CASE WHEN movement <> 'none' THEN 'delayed' ELSE 'immediate' END WHEN movement <> 'none' THEN 'minor' ELSE 'delayed' END AS condition
+FROM e WHERE conf >= 0.1"""
+)
+def rescue_detection(spark, sf_dir):
+    """Breathing, movement and ensemble of a window in one pass over its samples."""
+    x = F.col("samples")
+    jump = F.array_max(F.transform(F.sequence(F.lit(2), F.lit(N)), lambda i: F.abs(F.element_at(x, i) - F.element_at(x, i - 1))))
+    rows = _windows(spark, sf_dir).withColumn("a", spec.spectrum_amplitude("samples"))
+    rows = rows.withColumn("peak", spec.band_peak("a", RATE, N, 4 / 60, 40 / 60, power=False))
+    est = spec.rescue_peak(F.col("peak"), "a", RATE, N, gain=7.75)
+    rows = rows.select(
+        "user_id", "win", *[c.alias(n) for n, c in est.items()],
+        spec.movement(vec.var_pop("samples"), jump, spec.periodicity("samples")).alias("movement"),
+    )
+    breathing = (F.col("amplitude") >= 0.1) & (F.col("confidence") >= 0.3)
+    rows = rows.select(
+        "user_id", "win", "movement", F.when(breathing, r6("bpm", 5)).alias("bpm"),
+        F.when(breathing, spec.breathing_type(F.col("bpm"), F.col("regularity"))).alias("pattern"),
+        F.when(breathing, F.least(F.lit(1.0), r6("amplitude", 5) * r6("regularity", 5))).alias("bc"),
+    ).filter("bpm IS NOT NULL OR movement <> 'none'")
+    conf = tr.ensemble(F.col("bc"), F.lit(None).cast("double"), tr.lookup(F.col("movement"), tr.MOVEMENT_CONFIDENCE))
+    rows = rows.withColumn("conf", conf).filter("conf >= 0.1")
+    kind = tr.detected_condition(F.col("bpm"), F.coalesce("pattern", F.lit("")), F.lit(False), F.col("movement") != "none", F.col("conf"))
+    return rows.select("user_id", "win", r6("conf", 5).alias("confidence"), kind.alias("condition"))
+
+
+@query(
+    """WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+j AS (SELECT vec_id, k // 3 AS j, max(x) FILTER (k % 3 = 0) AS x, max(x) FILTER (k % 3 = 1) AS y, max(x) FILTER (k % 3 = 2) + 0.5 AS c FROM p WHERE k < 51 GROUP BY ALL),
+b AS (SELECT vec_id, count(*) AS visible, min(x) AS x, min(y) AS y, max(x) - min(x) AS w, max(y) - min(y) AS h FROM j WHERE c >= 0.5 GROUP BY vec_id)
+SELECT b.vec_id, visible, round(b.w, 6) AS width, round(b.h, 6) AS height, round(CASE WHEN h.c >= 0.5 AND s.c >= 0.5 THEN sqrt((h.x - s.x)^2 + (h.y - s.y)^2) ELSE 0 END, 6) AS torso
+FROM b JOIN j h ON h.vec_id = b.vec_id AND h.j = 11 JOIN j s ON s.vec_id = b.vec_id AND s.j = 6"""
+)
+def pose_boxes(spark, sf_dir):
+    """Bounding box and torso of a pose read from 17 triples of each frame."""
+    em = Tables(spark, sf_dir).embeddings
+    part = lambda i, o: F.element_at("embedding", 3 * i + o).cast("double")
+    joints = F.transform(
+        F.sequence(F.lit(0), F.lit(16)),
+        lambda i: F.struct(part(i, 1).alias("x"), part(i, 2).alias("y"), (part(i, 3) + 0.5).alias("confidence")),
+    )
+    rows = em.select("vec_id", joints.alias("p"))
+    rows = rows.select("vec_id", F.size(pose.visible("p")).cast("bigint").alias("visible"), pose.bounding_box("p").alias("b"), pose.torso("p").alias("t"))
+    return rows.filter("visible > 0").select("vec_id", "visible", r6("b.w").alias("width"), r6("b.h").alias("height"), r6("t").alias("torso"))

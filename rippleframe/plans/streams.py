@@ -67,3 +67,16 @@ def survivor_tracks(spark, sf_dir):
     schema = "user_id long, scan long, track_id long, change string, state string, x double, y double"
     out = run_available(apply_step(ev, ["user_id"], scan_of_row, ["us", "event_id"], schema), "tracks")
     return out.select("user_id", "scan", "track_id", "change", "state", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query()
+def coherence_tracker(spark, sf_dir):
+    """Frames of each room against a reference that drifts with the accepted ones."""
+    em = read_stream(spark, sf_dir.rstrip("/"), "embeddings")
+    z = em.select("label", F.col("vec_id").alias("frame"), F.slice("embedding", 1, 32).alias("re"), F.slice("embedding", 33, 32).alias("im"))
+    out = apply_step(z, ["label"], permissive_track, ["frame"], "label int, frame long, score double, stale long")
+    return run_available(out, "coherence").select("label", "frame", r6("score").alias("score"), "stale")
+
+
+def permissive_track(state, row):
+    return steps.coherence_track(state, row, accept=0.4)

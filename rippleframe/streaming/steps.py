@@ -208,3 +208,28 @@ def upsert_survivor(state: dict, row: dict, radius: float = 2.0) -> list[tuple]:
     state["count"] = state.get("count", 0) + 1
     known.append([state["count"], None if place is None else [float(v) for v in place]])
     return [(row["event_id"], state["count"], True)]
+
+
+def coherence_track(state: dict, row: dict, accept: float = 0.85, decay: float = 0.95) -> list[tuple]:
+    """Score a complex frame against a reference that only accepted frames update."""
+    z = np.asarray(row["re"], dtype=float) + 1j * np.asarray(row["im"], dtype=float)
+    if "re" not in state:
+        state.update(re=z.real.tolist(), im=z.imag.tolist(), stale=0)
+        return [(row["frame"], 1.0, 0)]
+    ref = np.asarray(state["re"]) + 1j * np.asarray(state["im"])
+    na, nb = np.linalg.norm(z), np.linalg.norm(ref)
+    if na <= 1e-12 or nb <= 1e-12:
+        both = float(na <= 1e-12 and nb <= 1e-12)
+        corr = stable = both
+    else:
+        inner = abs(np.vdot(ref, z))
+        corr, weight = min(inner / (na * nb), 1.0), float(np.sum(np.abs(z) * np.abs(ref)))
+        stable = min(inner / weight, 1.0) if weight > 1e-12 else 0.0
+    level = 1.0 if na + nb <= 1e-12 else max(0.0, 1.0 - np.linalg.norm(np.abs(z) - np.abs(ref)) / (na + nb))
+    score = float(0.45 * corr + 0.35 * level + 0.20 * stable)
+    if score >= accept:
+        ref = decay * ref + (1 - decay) * z
+        state.update(re=ref.real.tolist(), im=ref.imag.tolist(), stale=0)
+    else:
+        state["stale"] += 1
+    return [(row["frame"], score, state["stale"])]

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rippleframe.functions import pose
 from rippleframe.functions import scoring as sc
 from rippleframe.operators import bands, formation
 from rippleframe.operators import evaluation as ev
@@ -96,3 +97,24 @@ def test_impute_and_change_points(frame):
     jump = frame([("k", i, float(v)) for i, v in enumerate([0, 0, 0, 0, 0, 0, 0, 9, 9, 9])] + [("s", 0, 1.0), ("s", 1, 9.0)], "k string, i int, v double")
     got = {r.k: r.change_points for r in win.change_points(S.sequence(jump, ["k"], ["i"]), ["k"], "v").collect()}
     assert got == {"k": 1, "s": 0}
+
+
+def test_pose_functions(frame):
+    joints = [(float(i), 2.0 * i, 0.9 if i % 2 == 0 else 0.1) for i in range(17)]
+    joints[11] = (3.0, 4.0, 0.8)
+    df = frame([(joints,), ([None] * 17,)], "p array<struct<x:double,y:double,confidence:double>>")
+    a, b = df.select(
+        F.size(pose.visible("p")).alias("n"), pose.bounding_box("p").alias("b"), pose.torso("p").alias("t"), pose.flat("p").alias("f"),
+        pose.edges("p", [(6, 11), (0, 1)]).alias("e"),
+    ).collect()
+    assert a.n == 10 and tuple(a.b) == (0, 0, 16, 32) and a.t == pytest.approx(math.hypot(3, 8)) and a.e == [True, False]
+    assert len(a.f) == 51 and a.f[3:6] == [1, 2, 0.1]
+    assert b.n == 0 and b.b is None and b.t == 0 and b.f == [0.0] * 51 and b.e == [False, False]
+
+
+def test_coherence_step_keeps_reference_on_rejection():
+    state = {}
+    frame = lambda i, re: steps.coherence_track(state, {"frame": i, "re": re, "im": [0.0, 0.0]})[0]
+    assert frame(0, [1.0, 0.0]) == (0, 1.0, 0)
+    assert frame(1, [0.0, 1.0])[2] == 1 and state["re"] == [1.0, 0.0]
+    assert frame(2, [1.0, 0.0])[1:] == (1.0, 0)
