@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,8 +71,10 @@ def sequence(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
     stored = stored.withColumn("_shard", F.shiftright("_rid", 33))
     spans = stored.groupBy(*key, "_shard").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*key).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
-    spans = durable(spans.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "spans")
-    longest = spans.agg(F.max(F.col("_base") + F.col("_n"))).first()[0] or 0
+    spans = spans.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    seen = Observation()
+    spans = durable(spans.observe(seen, F.max(F.col("_base") + F.col("_n")).alias("longest")), "spans")
+    longest = seen.get["longest"] or 0
     pos = (F.col("_rid") - F.col("_first") + F.col("_base")).alias(POS, metadata={LONGEST: int(longest)})
     keep = [c for c in stored.columns if c not in ("_rid", "_shard")]
     return attach(stored, spans.drop("_n"), [*key, "_shard"], "inner", nulls=False).select(*keep, pos)
