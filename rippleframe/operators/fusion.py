@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.functions import geo
-from rippleframe.operators.sequence import POS, attach, framed, running, sequence
+from rippleframe.operators.sequence import attach, framed, running, sequence
 
 TAU = 2 * math.pi
 

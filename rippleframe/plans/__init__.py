@@ -1,4 +1,15 @@
 """Registered queries, grouped by topic. Importing this package fills the registry."""
 
 from rippleframe.plans.registry import REGISTRY  # noqa: F401
-from rippleframe.plans import windows, state, spectral, matching, codecs, decisions, models, streams, templates, composites  # noqa: F401,E402
+from rippleframe.plans import (  # noqa: F401
+    windows,
+    state,
+    spectral,
+    matching,
+    codecs,
+    decisions,
+    models,
+    streams,
+    templates,
+    composites,
+)

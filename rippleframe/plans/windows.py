@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from rippleframe.functions import phase as ph
 from rippleframe.functions import scoring as sc
 from rippleframe.operators import sequence as seqs
 from rippleframe.operators import windows as win
