@@ -53,8 +53,8 @@ def inverse_frequencies(files: DataFrame, templates: dict[str, str] = TEMPLATES)
     """Smoothed inverse document frequency of the templates' terms over all files, and that of an unseen term."""
     wanted = sorted({t for text in templates.values() for t in terms(text)})
     held = files.select(F.array_intersect(_terms(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.array(*[F.lit(t) for t in wanted])).alias("t"))
-    # One row per term of the templates, and the number of files.
-    counted = held.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
+    # One row per term of the templates, and the number of files. Outer explodes spare a second evaluation for emptiness.
+    counted = held.select(F.explode_outer(F.concat("t", F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
     seen = {r["t"]: r["n"] for r in counted}
     total = seen.get("", 0)
     weight = lambda n: math.log((1 + total) / (1 + n)) + 1
@@ -95,9 +95,9 @@ def line_licences(files: DataFrame, key: str, templates: dict[str, str] = TEMPLA
     vectors = template_vectors(idf, templates)
     pattern = r"(?i)\b(" + "|".join(map(re.escape, anchors(vectors, min_cosine))) + r")\b"
     near = files.where(F.col("text").rlike(pattern))
-    lines = near.select(key, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "t")).where(F.col("t").rlike(pattern))
+    lines = near.select(key, F.posexplode_outer(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "t")).where(F.col("t").rlike(pattern))
     # Term counts of a line as rows: the templates' terms are a fixed, small table.
-    held = lines.select(key, "line", F.explode(_terms(F.col("t"))).alias("term")).groupBy(key, "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = lines.select(key, "line", F.explode_outer(_terms(F.col("t"))).alias("term")).groupBy(key, "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     table = F.create_map(*[F.lit(v) for t, w in sorted(idf.items()) for v in (t, w)])
     weighted = held.withColumn("w", F.col("tf") * F.coalesce(F.element_at(table, F.col("term")), F.lit(unseen)))
     dots = [
