@@ -77,7 +77,8 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEA
     """(doc key, chunk numbers) of the chunk occurrences to remove."""
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     cut = chunks(base.withColumn("__doc", _key(base)), window, mean_lines)
-    each = cut.select("doc_id", "__doc", F.posexplode("__chunks").alias("__no", "__c"))
+    # The outer form: the plain one would compute all chunks a second time to test for emptiness.
+    each = cut.select("doc_id", "__doc", F.posexplode_outer("__chunks").alias("__no", "__c"))
     each = each.where(F.col("__c.lines") >= min_lines).select("doc_id", "__doc", "__no", F.col("__c.text").alias("__text"))
     hashed = each.select("doc_id", "__doc", "__no", "__text", F.xxhash64("__text").alias("__hash"))
     twice = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__hash").alias("__h"))
