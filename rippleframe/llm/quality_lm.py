@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model works on characters folded to an alphabet of 64 symbols, so a model of order n
-has at most 64^n entries however large the corpus: that bound makes it safe to broadcast.
+The model works on characters folded to an alphabet of 48 symbols, so a model of order n
+has at most 48^n entries however large the corpus: that bound makes it safe to broadcast.
 (Joining every document's word n-grams with count shards would shuffle each token of the
 corpus; see the README for figures.) Counts of all trusted text are summed in tasks, then
 by n-gram; continuation counts, context sums and the interpolation with the next lower
@@ -24,21 +24,24 @@ from rippleframe.llm.base import attach_small
 from rippleframe.session import durable
 
 ORDER = 4
-SYMBOLS = 64
+SYMBOLS = 48
 QUANTILE = 0.995
 #: Perplexities are compared as natural logarithms in these steps.
 STEP = 1e-4
+#: Codes gathered in a task before they are counted.
+TALLY = 4_000_000
 #: Ids of trusted documents are broadcast up to this many, else the join shuffles.
 BROADCAST_IDS = 2_000_000
 
 
 def alphabet() -> np.ndarray:
-    """Symbol of every code point: 0 line feed and text ends, letters a-z 1-26, A-Z 27-52, digits 53,
-    space 54, other code points 55-61 by remainder, other ASCII signs 62, full stop and comma 63."""
-    table = (55 + np.arange(0x110000) % 7).astype(np.uint8)
-    table[33:127] = 62
-    table[97:123], table[65:91], table[48:58] = np.arange(1, 27), np.arange(27, 53), 53
-    table[[10, 32, 44, 46]] = [0, 54, 63, 63]
+    """Symbol of every code point: 0 line feed and text ends, letters a-z 1-26, A-Z 27, digits 28, space 29,
+    full stop 30, comma 31, sentence signs 32, brackets and quotes 33, other ASCII 34, other code points 35-47 by remainder."""
+    table = (35 + np.arange(0x110000) % 13).astype(np.uint8)
+    table[:128] = 34
+    table[97:123], table[65:91], table[48:58] = np.arange(1, 27), 27, 28
+    table[[10, 32, 46, 44]] = [0, 29, 30, 31]
+    table[[ord(c) for c in "!?:;-"]], table[[ord(c) for c in "()[]{}\"'"]] = 32, 33
     return table
 
 
@@ -54,15 +57,25 @@ def gram_codes(text: str, table: np.ndarray, order: int) -> np.ndarray:
     return code
 
 
+def _tally(parts: list[np.ndarray]) -> pa.RecordBatch:
+    codes = np.sort(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint32)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    counts = np.diff(np.append(first, len(codes)))
+    return pa.RecordBatch.from_arrays([pa.array(codes[first].astype(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+
+
 def _counter(order: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = alphabet()
+        table, parts, size = alphabet(), [], 0
         for batch in batches:
-            parts = [gram_codes(t, table, order) for t in batch.column(0).to_pylist() if t]
-            codes = np.sort(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint32)
-            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
-            counts = np.diff(np.append(first, len(codes)))
-            yield pa.RecordBatch.from_arrays([pa.array(codes[first].astype(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+            for text in batch.column(0):
+                if t := text.as_py():
+                    parts.append(gram_codes(t, table, order))
+                    size += len(parts[-1])
+                if size > TALLY:  # partial counts keep memory bounded; Spark adds them up
+                    yield _tally(parts)
+                    parts, size = [], 0
+        yield _tally(parts)
 
     return run
 
@@ -109,10 +122,10 @@ def levels(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
 
 
 def log_table(counts: DataFrame, order: int = ORDER) -> np.ndarray:
-    """Natural log probability of every n-gram code: 64^order numbers of 4 bytes, whatever the corpus."""
+    """Natural log probability of every n-gram code: ``SYMBOLS`` ^ order numbers of 4 bytes, whatever the corpus."""
     p = np.full(1, 1.0 / SYMBOLS)
     for m, level in enumerate(levels(counts, order), start=1):
-        rows = level.toArrow()  # at most 64^m rows
+        rows = level.toArrow()  # at most SYMBOLS^m rows
         gram = rows.column("gram").to_numpy()
         gamma = np.ones(SYMBOLS ** (m - 1))
         gamma[gram // SYMBOLS] = rows.column("gamma").to_numpy()
