@@ -31,7 +31,7 @@ END = 0
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with anything else (marks that compose, odd spaces, special tokens) are encoded whole.
 PLAIN = regex.compile(r"[\x00-\x1b\x20-\x7f\xa1-įı-ɏ]*")
-CACHE = 600_000
+CACHE = 300_000
 
 
 class Encoder:
@@ -94,6 +94,7 @@ def _pieces(path: str, capacity: int):
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array([p * capacity for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(row), pa.int64()), pa.array(rank, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "__task", "__rank"],
             )
+        encoder.known.clear()  # the worker goes on to other tasks; only the tokenizer is kept
 
     return run
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -139,11 +138,12 @@ def log_perplexity(docs: DataFrame, table: np.ndarray, order: int = ORDER) -> Co
     """Column of the mean negative log probability per symbol; null for null and empty texts."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         symbols, logs = alphabet(), shared.value
+        mean = lambda t: -float(logs[gram_codes(t, symbols, order)].mean(dtype=np.float64)) if t else None
         for batch in texts:
-            yield pd.Series([-float(logs[gram_codes(t, symbols, order)].mean(dtype=np.float64)) if t else None for t in batch], dtype="float64")
+            yield pa.array([mean(t.as_py()) for t in batch], pa.float64())
 
     return score(F.col("text").cast("string"))
 

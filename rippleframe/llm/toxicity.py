@@ -17,7 +17,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,10 +164,10 @@ def score(docs: DataFrame, model: Model) -> Column:
     # Plain values: workers need no copy of this package to read them.
     shared = docs.sparkSession.sparkContext.broadcast((model.index, model.weights, model.bias))  # at most ``CUES`` weights
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
         for batch in texts:
-            yield pd.Series(own.score(t if isinstance(t, str) else None for t in batch), dtype="float64")
+            yield pa.array(own.score(t.as_py() for t in batch))
 
     return run(F.col("text").cast("string"))
