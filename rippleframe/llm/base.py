@@ -15,6 +15,18 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BROADCAST_ROWS = 10_000
 
 
+#: Rows of text per Arrow batch: texts are long, and a batch is held in the JVM and in the worker at once.
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch size for texts if it still is Spark's default."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def attach_small(df: DataFrame, side: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
     """Left join on one null-safe key; ``side`` is broadcast only if its counted rows are few.
 
@@ -47,17 +59,28 @@ def units(rows: DataFrame, key: str, item: str, size: int) -> DataFrame:
     return paired.repartition(key, "__i", "__j").sortWithinPartitions(key, "__i", "__j")
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], rows: int = 10_000) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at least ``rows`` rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def whole_units(batches: Iterable[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Join batches so that no unit is cut: yields a table and the unit number of its rows.
 
     ``names`` are the unit's key columns, by which the input is sorted.
     """
     rest: pa.Table | None = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+    for gathered in _gathered(batches):
+        table = pa.Table.from_batches(gathered)
+        table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
         change = np.zeros(table.num_rows, dtype=bool)
         for name in names:
             v = table.column(name).to_numpy()

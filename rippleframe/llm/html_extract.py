@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rippleframe.llm.base import text_batches
+
 # Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("head script style template noscript title meta link object svg math audio video canvas iframe datalist select textarea noframes".split())
@@ -292,4 +294,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Repeated rows and null ids are kept as they are.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(_extract, f"page_id {kind}, title string, text string")
+    return text_batches(pages).select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(_extract, f"page_id {kind}, title string, text string")

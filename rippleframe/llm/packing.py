@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rippleframe.llm.base import text_batches
 from rippleframe.session import durable
 
 CAPACITY = 2048
@@ -95,6 +96,7 @@ def _pieces(path: str, capacity: int):
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "__task", "__rank"],
             )
         encoder.known.clear()  # the worker goes on to other tasks; only the tokenizer is kept
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -103,7 +105,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     """Pieces of at most ``capacity`` tokens of every document row, ranked among equal lengths of their task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, __task bigint, __rank bigint"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity), schema)
+    return text_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity), schema)
 
 
 def _largest(count: np.ndarray, most: int) -> int:

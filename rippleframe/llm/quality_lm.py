@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rippleframe.llm.base import attach_small
+from rippleframe.llm.base import attach_small, text_batches
 from rippleframe.session import durable
 
 ORDER = 4
@@ -81,7 +81,7 @@ def _counter(order: int):
 
 def gram_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) over all of ``trusted``'s texts."""
-    parts = trusted.select(F.col("text").cast("string").alias("text")).mapInArrow(_counter(order), "gram bigint, n bigint")
+    parts = text_batches(trusted).select(F.col("text").cast("string").alias("text")).mapInArrow(_counter(order), "gram bigint, n bigint")
     return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -136,7 +136,7 @@ def log_table(counts: DataFrame, order: int = ORDER) -> np.ndarray:
 
 def log_perplexity(docs: DataFrame, table: np.ndarray, order: int = ORDER) -> Column:
     """Column of the mean negative log probability per symbol; null for null and empty texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = text_batches(docs).sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

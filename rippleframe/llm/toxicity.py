@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rippleframe.llm.base import text_batches
 from rippleframe.session import durable
 
 #: At most this many labelled documents, chosen by a hash of their id, are fitted on.
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_cues: in
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the sample is the feature; its rows bound the broadcast
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    texts = durable(texts.select("text", "toxic"), "sample")
+    texts = durable(text_batches(texts).select("text", "toxic"), "sample")
     totals = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, n_pos = totals["n"], totals["pos"]
     if not 0 < n_pos < n:
