@@ -102,7 +102,7 @@ def line_licences(files: DataFrame, key: str, templates: dict[str, str] = TEMPLA
     weighted = held.withColumn("w", F.col("tf") * F.coalesce(F.element_at(table, F.col("term")), F.lit(unseen)))
     dots = [
         F.coalesce(F.sum(F.col("w") * F.coalesce(F.element_at(F.create_map(*[F.lit(v) for t, w in vec.items() for v in (t, w)]), F.col("term")), F.lit(0.0))), F.lit(0.0)).alias(f"d{k}")
-        for k, vec in enumerate(vectors.values())
+        for k, vec in enumerate(vectors[name] for name in sorted(vectors))
     ]
     scored = weighted.groupBy(key, "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), *dots)
     best = F.array_max(F.array(*[F.struct((F.round(F.col(f"d{k}") / F.col("length"), 9)).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("licence")) for k, name in enumerate(sorted(vectors))]))
