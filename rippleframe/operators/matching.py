@@ -87,11 +87,17 @@ def triplets(df: DataFrame, ident: str, state: str, environment: str) -> DataFra
     minimum, so two minima per state answer every row and no pairs are formed.
     """
     cell = df.groupBy(state, environment).agg(F.min(ident).alias("m"))
-    two = lambda name: F.slice(F.array_sort(F.collect_list(F.struct("m", F.col(name).alias("g")))), 1, 2)
-    envs = cell.groupBy(state).agg(two(environment).alias("_envs"), F.min("m").alias("m"))
+    low = lambda name: F.min(F.struct("m", F.col(name).alias("g")))
+    # The smallest minimum of each state, then the smallest among the other environments: grouped minima, no lists.
+    first = cell.groupBy(state).agg(low(environment).alias("_e1"))
+    rest = attach(cell, first, [state]).filter(~F.col(environment).eqNullSafe(F.col("_e1.g")))
+    second = rest.groupBy(state).agg(low(environment).alias("_e2"))
+    envs = attach(first, second, [state]).withColumn("_envs", F.array_compact(F.array("_e1", "_e2"))).withColumn("m", F.col("_e1.m"))
     rows = attach(df, envs.select(state, "_envs"), [state])
-    # A scalar subquery: one value with two entries.
-    rows = rows.withColumn("_states", envs.agg(two(state).alias("_states")).scalar())
+    # Scalar subqueries: one entry each.
+    best = envs.agg(low(state).alias("_s1")).scalar()
+    other = envs.withColumn("_s1", best).filter(~F.col(state).eqNullSafe(F.col("_s1.g"))).agg(low(state).alias("_s2")).scalar()
+    rows = rows.withColumn("_states", F.array_compact(F.array(best, other)))
     pick = lambda a, own: F.get(F.transform(F.filter(a, lambda p: p["g"] != F.col(own)), lambda p: p["m"]), 0)
     out = rows.select(
         F.col(ident).alias("anchor"),

@@ -90,13 +90,15 @@ def intention(seq: DataFrame, key: Sequence[str], slope: str, energy: str, lead:
     return out.withColumn("label", label)
 
 
-def trend(daily: DataFrame, key: Sequence[str], day: str, value: str, points: int = 90) -> DataFrame:
-    """Summary of the latest ``points`` days of a metric, with the slope per day.
+def trend(daily: DataFrame, key: Sequence[str], day: str, value: str, points: int | None = None) -> DataFrame:
+    """Summary of a metric over all days of a key, with the slope per day; ``points`` asks for the latest days only.
 
     ``daily`` has one row per key and day, so a key is bounded by the calendar.
     """
-    recent = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(day)))
-    rows = daily.withColumn("_r", recent).filter(F.col("_r") <= points)
+    rows = daily
+    if points is not None:
+        recent = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(day)))
+        rows = daily.withColumn("_r", recent).filter(F.col("_r") <= points)
     out = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
         F.max_by(value, day).alias("latest"),

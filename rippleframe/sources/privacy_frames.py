@@ -75,7 +75,8 @@ def decode(df: DataFrame, frame: str = "frame") -> DataFrame:
     out = out.withColumn("_body", body).withColumn(
         "error",
         F.when(n < HEADER, "truncated header").when(b.uint(h, 0, 4) != MAGIC, "bad magic").when(b.uint(h, 4, 2) != VERSION, "bad version")
-        .when(n < HEADER + F.col("payload_len"), "truncated payload").when(F.crc32("_body") != F.col("payload_crc"), "bad checksum"),
+        .when(n < HEADER + F.col("payload_len"), "truncated payload").when(F.crc32("_body") != F.col("payload_crc"), "bad checksum")
+        .when(~F.col("privacy_class").isin(*CLASSES.values()), "unknown privacy class"),
     )
     out = out.withColumn("_at", F.lit(0).cast("bigint"))
     for name in SECTIONS:
@@ -92,10 +93,12 @@ def decode(df: DataFrame, frame: str = "frame") -> DataFrame:
 def demote(df: DataFrame, target: Column) -> DataFrame:
     """Strip sections for a stricter class.
 
-    Rows that ask for a less strict class, or whose payload does not parse, keep
-    ``error`` set and no sections, so that nothing unstripped gets relabelled.
+    Rows that ask for a less strict class, whose target or class is null or unknown, or
+    whose payload does not parse, keep ``error`` set and no sections, so that nothing
+    unstripped gets relabelled.
     """
-    loose = target < F.col("privacy_class")
+    known = target.isin(*CLASSES.values()) & F.col("privacy_class").isin(*CLASSES.values())
+    loose = ~F.coalesce(known & (target >= F.col("privacy_class")), F.lit(False))
     bad = F.coalesce(F.col("error"), F.when(loose, F.lit("demotion must be stricter")))
     empty = F.unhex(F.lit(""))
     out = df.withColumn("error", bad)
