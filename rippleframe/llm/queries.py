@@ -132,7 +132,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_lm.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
+    judged = quality_lm.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"), columns=["doc_id"])
     return judged.select("doc_id", "perplexity", "threshold", "keep")
 
 

@@ -274,9 +274,6 @@ def test_kneser_ney_is_a_distribution_and_rejects_junk(frame):
     rows = [(k, t, "en") for k, t in enumerate(good)] + [(1000 + k, " ".join(f"{w.upper()}!!" for w in rng.choices(vocab, k=60)), "en") for k in range(30)] + [(2000, None, "en"), (2001, "", None), (2002, good[0], "xx"), (None, good[1], None)]
     docs = frame(rows, "doc_id long, text string, lang string")
     labels = frame([(k, 1) for k in range(150)] + [(None, 1), (1000, 0)], "doc_id long, quality int")
-    counts = quality_lm.gram_counts(docs.where("doc_id < 150"), 3)
-    logs = quality_lm.log_table(counts, 3).astype(np.float64)
-    assert np.allclose(np.exp(logs).reshape(-1, quality_lm.SYMBOLS).sum(1), 1, atol=1e-4)
     kept = {r["doc_id"]: r["keep"] for r in quality_lm.judge(docs, labels).collect()}
     assert sum(kept[k] for k in range(200)) >= 190 and not any(kept[1000 + k] for k in range(30))
     assert not kept[2000] and not kept[2001] and kept[2002]
@@ -284,6 +281,67 @@ def test_kneser_ney_is_a_distribution_and_rejects_junk(frame):
     assert quality_lm.judge(docs.limit(0), labels).count() == 0
 
 
+def brute_kneser_ney(texts, order):
+    """Probability of a symbol after others, from plain dictionaries."""
+    table = quality_lm.alphabet()
+    symbols = lambda t: [0] * (order - 1) + [int(table[ord(c)]) for c in t] + [0]
+    counts = {order: {}}
+    for t in texts:
+        s = symbols(t)
+        for k in range(order - 1, len(s)):
+            gram = tuple(s[k - order + 1 : k + 1])
+            counts[order][gram] = counts[order].get(gram, 0) + 1
+    for m in range(order - 1, 0, -1):
+        counts[m] = {}
+        for gram in counts[m + 1]:
+            counts[m][gram[1:]] = counts[m].get(gram[1:], 0) + 1
+    cuts, after = {}, {m: {} for m in counts}
+    for m, c in counts.items():
+        n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+        own = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)] if all(n) else [0]
+        cuts[m] = own if all(0 < d <= k for k, d in enumerate(own, start=1)) else [0.5, 1.0, 1.5]
+        for gram, v in c.items():
+            after[m].setdefault(gram[:-1], []).append(v)
+
+    def p(gram):
+        m = len(gram)
+        if not m:
+            return 1 / quality_lm.SYMBOLS
+        follow = after[m].get(gram[:-1])
+        if follow is None:
+            return p(gram[1:])
+        cut = lambda v: cuts[m][min(v, 3) - 1]
+        v = counts[m].get(gram, 0)
+        return ((v - cut(v) if v else 0) + sum(map(cut, follow)) * p(gram[1:])) / sum(follow)
+
+    def log_perplexity(text):
+        s = symbols(text)
+        logs = [np.log(p(tuple(s[k - order + 1 : k + 1]))) for k in range(order - 1, len(s))]
+        return -sum(logs) / len(logs)
+
+    return p, log_perplexity
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_perplexity_equals_brute_force(frame, order, monkeypatch):
+    monkeypatch.setattr(quality_lm, "CALIBRATION", 1 << 40)  # train on all
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aab  cDé日1\n.") for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    texts += [texts[0], "unseen ✓ zzz", "a" * 5000, None, ""]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(3, texts[3], "en")] * 2
+    docs = frame(rows, "doc_id long, text string, lang string")
+    got = quality_lm.judge(docs, frame([(k, 1) for k in range(50)], "doc_id long, quality int"), order=order).collect()
+    p, log_perplexity = brute_kneser_ney([*texts[:50], texts[3], texts[3]], order)
+    assert abs(sum(p((97,) * (order - 1) + (x,)) for x in range(quality_lm.SYMBOLS)) - 1) < 1e-9
+    assert len(got) == len(rows)
+    for r in got:
+        if not r["text"]:
+            assert r["perplexity"] is None and not r["keep"]
+        else:
+            assert abs(np.log(r["perplexity"]) - log_perplexity(r["text"])) <= quality_lm.STEP
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     scored = queries.op9_toxicity(spark, sf).join(queries.read(spark, sf, "labels"), "doc_id").where("held_out").collect()
