@@ -41,11 +41,13 @@ def packed_bytes(count: Column, bits: Column) -> Column:
 
 
 def tiers(
-    seq: DataFrame, key: Sequence[str], vector: str, capacity: int, hot: int = 10, warm: int = 300, bits: tuple[int, int, int] = (8, 6, 3)
+    seq: DataFrame, key: Sequence[str], vector: str, hot: int = 10, warm: int = 300, bits: tuple[int, int, int] = (8, 6, 3), capacity: int | None = None
 ) -> DataFrame:
-    """Newest ``capacity`` frames per key with tier, bit width and reconstruction."""
+    """All frames with tier, bit width and reconstruction; only the newest ``capacity`` of a key if one is given."""
     last = seq.groupBy(*key).agg((F.max(POS)).alias("_last"))
-    rows = attach(seq, last, list(key)).withColumn("age", F.col("_last") - F.col(POS)).filter(F.col("age") < capacity).drop("_last")
+    rows = attach(seq, last, list(key)).withColumn("age", F.col("_last") - F.col(POS)).drop("_last")
+    if capacity is not None:
+        rows = rows.filter(F.col("age") < capacity)
     is_hot, is_warm = F.col("age") < hot, F.col("age") < hot + warm
     v = F.transform(vector, lambda x: x.cast("double"))
     rows = rows.withColumn("tier", F.when(is_hot, "hot").when(is_warm, "warm").otherwise("cold"))

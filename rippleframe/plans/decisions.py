@@ -71,17 +71,18 @@ def alert_generate(spark, sf_dir):
 
 @query(
     """WITH a AS (SELECT o_orderkey AS alert_id, left(o_orderpriority, 1)::INT AS p, o_orderstatus AS s, epoch_us(o_orderdate) // 1000000 AS t0 FROM orders)
-SELECT alert_id, CASE WHEN 946684800 - t0 >= 86400 * 700 THEN greatest(p - 1, 1) ELSE p END AS priority, 946684800 - t0 >= 86400 * 700 AS escalated
-FROM a WHERE s <> 'F' AND t0 <= 946684800"""
+SELECT alert_id, CASE WHEN now - t0 >= 86400 * 700 THEN greatest(p - 1, 1) ELSE p END AS priority, now - t0 >= 86400 * 700 AS escalated
+FROM a, (SELECT max(t0) AS now FROM a) WHERE s <> 'F'"""
 )
 def alert_escalation(spark, sf_dir):
-    """Open alerts at the start of 2000, escalated after 700 days."""
+    """Open alerts as of the latest order, escalated after 700 days."""
     o = Tables(spark, sf_dir).orders
     a = o.filter(F.col("o_orderstatus") != "F").select(
         F.col("o_orderkey").alias("alert_id"), F.substr("o_orderpriority", F.lit(1), F.lit(1)).cast("int").alias("p"),
         F.floor(epoch_us("o_orderdate") / 1_000_000).alias("at"),
     )
-    a = a.filter(F.col("at") <= 946_684_800).withColumn("escalated", F.lit(946_684_800) - F.col("at") >= 86_400 * 700)
+    now = o.agg(F.floor(F.max(epoch_us("o_orderdate")) / 1_000_000).alias("now")).scalar()
+    a = a.withColumn("escalated", now - F.col("at") >= 86_400 * 700)
     return a.select("alert_id", F.when(F.col("escalated"), tr.escalated(F.col("p"))).otherwise(F.col("p")).alias("priority"), "escalated")
 
 

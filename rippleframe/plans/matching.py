@@ -19,10 +19,10 @@ UNNEST = "SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(e
     f"""WITH e AS ({UNNEST}), f AS (SELECT label AS room, i, avg(x) AS x FROM e GROUP BY label, i),
 s AS (SELECT a.vec_id, b.room, {COSINE} AS s FROM e a JOIN f b ON a.i = b.i GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, room) AS rk FROM s)
-SELECT vec_id, round(s, 6) AS similarity, s >= 0.75 AS matched, CASE WHEN s >= 0.75 THEN room END AS room FROM r WHERE rk = 1"""
+SELECT vec_id, round(greatest(s, 0), 6) AS similarity, s >= 0.75 AS matched, CASE WHEN s >= 0.75 THEN room END AS room FROM r WHERE rk = 1"""
 )
 def room_match(spark, sf_dir):
-    """Nearest room fingerprint (mean frame of the room) by cosine, at least .75."""
+    """Nearest room fingerprint (mean frame of the room) by cosine, at least .75; no similarity is below 0."""
     em = Tables(spark, sf_dir).embeddings
     cells = em.select("label", F.posexplode("embedding").alias("i", "x"))
     means = cells.groupBy("label", "i").agg(F.avg("x").alias("x"))
@@ -32,7 +32,7 @@ def room_match(spark, sf_dir):
     out = nearest(em.select("vec_id", "embedding"), rooms, "vec_id", "room", "embedding", 1, "cosine")
     ok = F.col("score") >= 0.75
     return out.select(
-        "vec_id", r6("score").alias("similarity"), ok.alias("matched"), F.when(ok, F.col("room")).alias("room")
+        "vec_id", r6(F.greatest("score", F.lit(0.0))).alias("similarity"), ok.alias("matched"), F.when(ok, F.col("room")).alias("room")
     )
 
 

@@ -124,15 +124,15 @@ def _q(v, bits):
 
 @query(
     f"""WITH o AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) - 1 AS age FROM embeddings),
-a AS (SELECT *, {_q('v', 8)} AS v8 FROM o WHERE age < 40), b AS (SELECT *, {_q('v8', 6)} AS v6 FROM a), c AS (SELECT *, {_q('v6', 3)} AS v3 FROM b),
+a AS (SELECT *, {_q('v', 8)} AS v8 FROM o), b AS (SELECT *, {_q('v8', 6)} AS v6 FROM a), c AS (SELECT *, {_q('v6', 3)} AS v3 FROM b),
 r AS (SELECT *, CASE WHEN age < 10 THEN v8 WHEN age < 25 THEN v6 ELSE v3 END AS w, CASE WHEN age < 10 THEN 8 WHEN age < 25 THEN 6 ELSE 3 END AS bits FROM c)
 SELECT vec_id, age, CASE WHEN age < 10 THEN 'hot' WHEN age < 25 THEN 'warm' ELSE 'cold' END AS tier, bits, (64 * bits // 8)::BIGINT AS packed_bytes,
   round(list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2])^2)), 6) AS squared_error FROM r"""
 )
 def quantize_tiers(spark, sf_dir):
-    """Newest 40 frames per room at 8, 6 or 3 bits by age."""
+    """Frames of a room at 8, 6 or 3 bits by age."""
     em = Tables(spark, sf_dir).embeddings.select("label", "vec_id", "embedding")
-    rows = history.tiers(seqs.sequence(em, ["label"], ["vec_id"]), ["label"], "embedding", 40, hot=10, warm=15)
+    rows = history.tiers(seqs.sequence(em, ["label"], ["vec_id"]), ["label"], "embedding", hot=10, warm=15)
     gap = vec.total(F.zip_with("embedding", "restored", lambda x, y: (x - y) * (x - y)))
     return rows.select("vec_id", "age", "tier", "bits", history.packed_bytes(F.size("embedding"), F.col("bits")).alias("packed_bytes"), r6(gap).alias("squared_error"))
 
