@@ -41,7 +41,7 @@ def packed_bytes(count: Column, bits: Column) -> Column:
 
 
 def tiers(
-    seq: DataFrame, key: Sequence[str], vector: str, hot: int = 10, warm: int = 300, bits: tuple[int, int, int] = (8, 6, 3), capacity: int | None = None
+    seq: DataFrame, key: Sequence[str], vector: str, capacity: int | None = None, hot: int = 10, warm: int = 300, bits: tuple[int, int, int] = (8, 6, 3)
 ) -> DataFrame:
     """All frames with tier, bit width and reconstruction; only the newest ``capacity`` of a key if one is given."""
     last = seq.groupBy(*key).agg((F.max(POS)).alias("_last"))
