@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rippleframe.plans.registry import REGISTRY, epoch_us, query, r6
 from rippleframe.streaming import steps
-from rippleframe.streaming.processors import apply_step, read_stream, run_available
+from rippleframe.streaming.processors import apply_update, read_stream, run_available
 
 
 def _events(spark, sf_dir):
@@ -18,7 +19,7 @@ def _events(spark, sf_dir):
 def stream_debounce(spark, sf_dir):
     """The debouncer as a stream; must agree with the batch query."""
     ev = _events(spark, sf_dir).select("user_id", "event_id", "us", (F.col("value") > 40).alias("hit"))
-    out = apply_step(ev, ["user_id"], steps.debounce, ["us", "event_id"], "user_id long, event_id long, state boolean")
+    out = apply_update(ev, ["user_id"], steps.debounce, steps.DEBOUNCE_STATE, ["us", "event_id"], "user_id long, event_id long, state boolean")
     return run_available(out, "debounce").select("event_id", "user_id", "state")
 
 
@@ -33,7 +34,7 @@ def stream_frame_window(spark, sf_dir):
     """Statistics over the last 16 frames of a node, updated per frame."""
     ev = _events(spark, sf_dir).select("user_id", "event_id", "us", "amp")
     schema = "user_id long, event_id long, frames long, mean double, variance double, delta double"
-    out = run_available(apply_step(ev, ["user_id"], steps.frame_window, ["us", "event_id"], schema), "frames")
+    out = run_available(apply_update(ev, ["user_id"], steps.frame_window, steps.WINDOW_STATE, ["us", "event_id"], schema), "frames")
     return out.select("event_id", "user_id", "frames", *[r6(c).alias(c) for c in ("mean", "variance", "delta")])
 
 
@@ -45,19 +46,19 @@ def cross_room_matches(spark, sf_dir):
         F.col("event_type").isin("view", "error").alias("is_exit"), F.array(F.cos("value"), F.sin("value")).alias("v"),
     )
     schema = "site long, event_id long, candidates long, exit_id long, similarity double"
-    out = run_available(apply_step(ev, ["site"], hourly_links, ["us", "event_id"], schema), "links")
+    out = run_available(apply_update(ev, ["site"], hourly_links, steps.LINK_STATE, ["us", "event_id"], schema), "links")
     return out.select("site", "event_id", "candidates", "exit_id", r6("similarity").alias("similarity"))
 
 
-def hourly_links(state, row):
-    return steps.cross_room(state, row, max_gap_us=3_600_000_000)
+def hourly_links(state, rows):
+    return steps.cross_room(state, rows, max_gap_us=3_600_000_000)
 
 
-def scan_of_row(state, row):
+def scan_events(state, rows):
     """One event is one scan: two detections around the node's position."""
-    at = float(row["value"]) / 50
-    points = [[at, float(row["event_id"] % 3), 0.0], [at + 20.0, 1.0, 0.0]] if row["event_type"] != "error" else []
-    return steps.track_scan(state, {"scan": int(row["event_id"]), "dt": 1.0, "points": points})
+    at, lane = rows["value"] / 50, (rows["event_id"] % 3).astype(float)
+    points = [[] if kind == "error" else [[x, y, 0.0], [x + 20.0, 1.0, 0.0]] for kind, x, y in zip(rows["event_type"], at, lane)]
+    return steps.track(state, pd.DataFrame({"scan": rows["event_id"], "dt": 1.0, "points": points}))
 
 
 @query()
@@ -65,7 +66,7 @@ def survivor_tracks(spark, sf_dir):
     """Track lifecycle per node: births, matches, losses and terminations."""
     ev = _events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "us")
     schema = "user_id long, scan long, track_id long, change string, state string, x double, y double"
-    out = run_available(apply_step(ev, ["user_id"], scan_of_row, ["us", "event_id"], schema), "tracks")
+    out = run_available(apply_update(ev, ["user_id"], scan_events, steps.TRACK_STATE, ["us", "event_id"], schema), "tracks")
     return out.select("user_id", "scan", "track_id", "change", "state", r6("x").alias("x"), r6("y").alias("y"))
 
 
@@ -74,9 +75,9 @@ def coherence_tracker(spark, sf_dir):
     """Frames of each room against a reference that drifts with the accepted ones."""
     em = read_stream(spark, sf_dir.rstrip("/"), "embeddings")
     z = em.select("label", F.col("vec_id").alias("frame"), F.slice("embedding", 1, 32).alias("re"), F.slice("embedding", 33, 32).alias("im"))
-    out = apply_step(z, ["label"], permissive_track, ["frame"], "label int, frame long, score double, stale long")
+    out = apply_update(z, ["label"], permissive_track, steps.COHERENCE_STATE, ["frame"], "label int, frame long, score double, stale long")
     return run_available(out, "coherence").select("label", "frame", r6("score").alias("score"), "stale")
 
 
-def permissive_track(state, row):
-    return steps.coherence_track(state, row, accept=0.4)
+def permissive_track(state, rows):
+    return steps.coherence_track(state, rows, accept=0.4)

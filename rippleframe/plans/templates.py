@@ -58,7 +58,7 @@ def tdoa_positions(spark, sf_dir):
     reach = lambda k: F.hypot(x - ap(k)["x"], y - ap(k)["y"])
     delay = (reach(i) - reach(j) + (F.col("value") - 40) * 1e-4) / tpl.RADIO_SPEED
     rows = seq.select("user_id", "win", "pos", i.alias("i"), j.alias("j"), delay.alias("t"))
-    burst = rows.groupBy("user_id", "win").agg(F.sort_array(F.collect_list(F.struct("pos", "i", "j", "t"))).alias("m")).filter(F.size("m") == 6)
+    burst = rows.groupBy("user_id", "win").agg(F.sort_array(F.collect_list(F.struct("pos", "i", "j", "t"))).alias("m"))
     out = burst.select("user_id", "win", tpl.tdoa_position(F.col("m.i"), F.col("m.j"), F.col("m.t"), APS).alias("p"))
     return out.select("user_id", "win", *[r6(F.get("p", k), 3).alias(n) for k, n in enumerate(("x", "y", "residual"))])
 

@@ -1,13 +1,13 @@
-"""Structured Streaming runners for the stateful steps.
+"""Structured Streaming runners for the stateful updates.
 
 State lives in RocksDB and each micro-batch is bounded by the source's admission
 settings, so memory does not grow with a key's history. Rows of a key are put into
-event order within the micro-batch.
+event order within the micro-batch; a micro-batch that goes back behind an earlier one
+fails with a message, because its result would depend on the order of files.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -20,39 +20,38 @@ from rippleframe.session import checkpoint_root
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class StepProcessor(StatefulProcessor):
-    """Applies a step function row by row with one JSON state value per key."""
+class UpdateProcessor(StatefulProcessor):
+    """Applies an update to the rows of a key in a micro-batch, with one typed state value per key."""
 
-    def __init__(self, step: Callable, order: Sequence[str], columns: Sequence[str], key_columns: Sequence[str]):
-        self._step, self._order = step, list(order)
+    def __init__(self, update: Callable, state: str, order: Sequence[str], columns: Sequence[str], key_columns: Sequence[str]):
+        self._update, self._state, self._order = update, state, list(order)
         self._columns, self._key = list(columns), list(key_columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._value = handle.getValueState("state", "json string")
+        self._value = handle.getValueState("state", self._state)
+        self._last = handle.getValueState("last", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state = json.loads(self._value.get()[0]) if self._value.exists() else {}
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self._order)
-        out = []
-        for row in batch.to_dict("records"):
-            out += [(*key, *r) for r in self._step(state, row)]
-        self._value.update((json.dumps(state, default=_plain),))
-        yield pd.DataFrame(out, columns=[*self._key, *self._columns]).astype(object)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self._order, ignore_index=True)
+        first, last = int(batch[self._order[0]].iloc[0]), int(batch[self._order[0]].iloc[-1])
+        if self._last.exists() and first < self._last.get()[0]:
+            raise ValueError(f"key {key}: {self._order[0]} {first} comes after {self._last.get()[0]}; feed files in event order")
+        state, out = self._update(tuple(self._value.get()) if self._value.exists() else None, batch)
+        self._value.update(state)
+        self._last.update((last,))
+        out = out.assign(**dict(zip(self._key, key)))
+        yield out[[*self._key, *self._columns]]
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    return value.tolist() if hasattr(value, "tolist") else str(value)
-
-
-def apply_step(stream: DataFrame, key: Sequence[str], step: Callable, order: Sequence[str], schema: str) -> DataFrame:
-    """Stateful columns for a stream; ``schema`` lists the key columns first."""
+def apply_update(stream: DataFrame, key: Sequence[str], update: Callable, state: str, order: Sequence[str], schema: str) -> DataFrame:
+    """Stateful columns for a stream; ``schema`` lists the key columns first, ``order`` starts with a whole number."""
     from pyspark.sql import types as T
 
     names = T._parse_datatype_string(schema).fieldNames()
-    processor = StepProcessor(step, order, names[len(key) :], key)
+    processor = UpdateProcessor(update, state, order, names[len(key) :], key)
     return stream.groupBy(*key).transformWithStateInPandas(processor, schema, "Append", "None")
 
 

@@ -1,235 +1,290 @@
-"""One-row state transitions shared by the streaming processors.
+"""State updates of streams, written over arrays.
 
-A step takes the state of its key (a JSON-able dict, empty at first) and one row as
-a dict, changes the state, and returns the output rows. State stays bounded: a few
-numbers, a ring of fixed length, a capped exit list, or the live tracks.
+An update takes the typed state of a key (a tuple in the order of its ``*_STATE`` schema, or
+None at first) and the rows of one micro-batch in event order. It returns the new state
+and the output rows as a DataFrame. States hold a few numbers, the tail of a window, the
+exits that can still be linked, or the live tracks.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 
 # Cross-room linking.
-PENDING = 200
 MIN_SIMILARITY = 0.8
 MAX_GAP_US = 60_000_000
 
-
-def debounce(state: dict, row: dict, confirm: int = 2, release: int = 2) -> list[tuple]:
-    hit = bool(row["hit"])
-    state["on"] = state.get("on", 0) + 1 if hit else 0
-    state["off"] = 0 if hit else state.get("off", 0) + 1
-    if state["on"] >= confirm:
-        state["state"] = True
-    elif state["off"] >= release:
-        state["state"] = False
-    return [(row["event_id"], state.get("state", False))]
-
-
-def frame_window(state: dict, row: dict, size: int = 16) -> list[tuple]:
-    """Statistics over the last ``size`` samples of a node."""
-    ring = state.setdefault("ring", [])
-    ring.append(float(row["amp"]))
-    del ring[:-size]
-    x = np.asarray(ring)
-    d = np.diff(x)
-    return [(row["event_id"], len(ring), float(x.mean()), float(x.var()), float(np.abs(d).mean()) if len(d) else 0.0)]
-
-
-def rolling_baseline(state: dict, row: dict, alpha: float = 0.05, window: int = 64) -> list[tuple]:
-    """The first value replaces the baseline, later ones blend in; raw history is kept for the threshold."""
-    x = float(row["amp"])
-    state["mean"] = x if "mean" not in state else (1 - alpha) * state["mean"] + alpha * x
-    past = state.setdefault("history", [])
-    past.append(x)
-    del past[:-window]
-    h = np.asarray(past)
-    return [(row["event_id"], state["mean"], float(np.clip(h.mean() + h.std(), 0.0, 1.0)))]
-
-
-def _unit(v) -> list[float]:
-    n = math.sqrt(sum(x * x for x in v))
-    return [x / n for x in v] if n > 1e-12 else [0.0 for _ in v]
-
-
-def cross_room(state: dict, row: dict, max_gap_us: int = MAX_GAP_US) -> list[tuple]:
-    """Link an entry to the most similar open exit from another room, one to one."""
-    exits = state.setdefault("exits", [])
-    now, v = int(row["us"]), _unit(row["v"])
-    if row["is_exit"]:
-        exits.append([int(row["event_id"]), int(row["room"]), now, v, False])
-        del exits[:-PENDING]
-        return []
-    best, best_similarity, checked = None, 0.0, 0
-    for e in exits:
-        if e[4] or e[1] == row["room"] or max(0, now - e[2]) > max_gap_us:
-            continue
-        checked += 1
-        s = sum(a * b for a, b in zip(e[3], v))
-        if s > best_similarity:
-            best, best_similarity = e, s
-    linked = best is not None and best_similarity >= MIN_SIMILARITY
-    if linked:
-        best[4] = True
-    return [(int(row["event_id"]), checked, best[0] if linked else None, best_similarity)]
+DEBOUNCE_STATE = "on bigint, off bigint, state boolean"
+WINDOW_STATE = "tail array<double>"
+BASELINE_STATE = "mean double, tail array<double>"
+LINK_STATE = "id array<bigint>, room array<bigint>, us array<bigint>, vectors array<double>"
+TRACK_STATE = "born bigint, tracks binary"
+REGISTER_STATE = "places array<double>"
+COHERENCE_STATE = "re array<double>, im array<double>, stale bigint"
 
 
-# Survivor tracking.
-BIRTH_HITS, MAX_MISSES, MAX_LOST_S, REID, GATE = 2, 3, 30.0, 0.35, 9.0
-OBS_VAR, PROCESS_VAR = 2.25, 0.01
+def _numbers(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(dtype=np.float64, na_value=np.nan)
 
 
-def _predict(t: dict, dt: float) -> None:
-    f = np.eye(6)
-    f[[0, 1, 2], [3, 4, 5]] = dt
-    q = np.zeros((6, 6))
-    for i in range(3):
-        q[i, i], q[i, i + 3], q[i + 3, i], q[i + 3, i + 3] = dt**4 / 4, dt**3 / 2, dt**3 / 2, dt**2
-    t["x"] = (f @ np.asarray(t["x"])).tolist()
-    t["p"] = (f @ np.asarray(t["p"]) @ f.T + q * PROCESS_VAR).tolist()
+def _run_lengths(hit: np.ndarray, before: int) -> np.ndarray:
+    """Length of the run of true values up to each place; ``before`` are in the run that reaches the first."""
+    count = np.arange(1, len(hit) + 1)
+    broken = np.maximum.accumulate(np.where(hit, 0, count))
+    return np.where(hit, count - broken + np.where(broken == 0, before, 0), 0)
 
 
-def _gate(t: dict, z: np.ndarray) -> float:
-    x, p = np.asarray(t["x"]), np.asarray(t["p"])
-    r = z - x[:3]
-    return float(r @ np.linalg.solve(p[:3, :3] + np.eye(3) * OBS_VAR, r))
+def debounce(state: tuple | None, rows: pd.DataFrame, confirm: int = 2, release: int = 2) -> tuple[tuple, pd.DataFrame]:
+    """On after ``confirm`` hits in a row, off after ``release`` misses; null counts as a miss."""
+    on, off, level = state or (0, 0, False)
+    hit = np.equal(rows["hit"].to_numpy(dtype=object), True).astype(bool)
+    on, off = _run_lengths(hit, on), _run_lengths(~hit, off)
+    ups, downs = on >= confirm, off >= release
+    last = np.maximum.accumulate(np.where(ups | downs, np.arange(len(hit)), -1))
+    levels = np.where(last >= 0, ups[last], level)
+    return (int(on[-1]), int(off[-1]), bool(levels[-1])), pd.DataFrame({"event_id": rows["event_id"], "state": levels})
 
 
-def _correct(t: dict, z: np.ndarray) -> None:
-    x, p = np.asarray(t["x"]), np.asarray(t["p"])
-    k = p[:, :3] @ np.linalg.inv(p[:3, :3] + np.eye(3) * OBS_VAR)
-    x = x + k @ (z - x[:3])
-    p = p - k @ p[:3, :]
-    t["x"], t["p"] = x.tolist(), (0.5 * (p + p.T)).tolist()
+def _windows(tail: list[float], x: np.ndarray, size: int) -> tuple[np.ndarray, list[float]]:
+    """The last ``size`` samples at each place, NaN where there are fewer, and the tail to keep."""
+    series = np.concatenate([np.full(size - 1, np.nan), tail, x])[-(len(x) + size - 1) :]
+    return sliding_window_view(series, size), [float(v) for v in np.concatenate([tail, x])[-(size - 1) :]] if size > 1 else []
 
 
-def _hit(t: dict) -> None:
-    t["hits"], t["misses"], t["lost"] = t["hits"] + 1, 0, 0.0
-    if t["state"] in ("tentative", "lost") and t["hits"] >= BIRTH_HITS:
-        t["state"] = "active"
+def _moments(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, mean and population variance per row, without the NaNs."""
+    here = ~np.isnan(w)
+    n = here.sum(axis=1)
+    mean = np.where(here, w, 0.0).sum(axis=1) / np.maximum(n, 1)
+    return n, mean, np.where(here, (w - mean[:, None]) ** 2, 0.0).sum(axis=1) / np.maximum(n, 1)
 
 
-def _miss(t: dict, dt: float) -> None:
-    if t["state"] == "tentative":
-        t["state"] = "terminated"
-    elif t["state"] == "active":
-        t["misses"] += 1
-        if t["misses"] >= MAX_MISSES:
-            t["state"], t["lost"] = "lost", 0.0
-    elif t["state"] == "lost":
-        t["lost"] += max(dt, 0.0)
-        if t["lost"] > MAX_LOST_S:
-            t["state"] = "terminated"
+def frame_window(state: tuple | None, rows: pd.DataFrame, size: int = 16) -> tuple[tuple, pd.DataFrame]:
+    """Statistics over the last ``size`` samples of a node; missing samples count for nothing."""
+    w, tail = _windows(list(state[0]) if state else [], _numbers(rows["amp"]), size)
+    n, mean, variance = _moments(w)
+    _, delta, _ = _moments(np.abs(np.diff(w, axis=1)))
+    return (tail,), pd.DataFrame({"event_id": rows["event_id"], "frames": n, "mean": mean, "variance": variance, "delta": delta})
 
 
-def _print_distance(a: dict, b: dict) -> float:
-    parts = {"b": (0.40, abs(a["b"] - b["b"]) / 30.0), "a": (0.25, abs(a["a"] - b["a"])), "l": (0.15, math.dist(a["l"], b["l"]) / 20.0)}
-    if a.get("h") is not None and b.get("h") is not None:
-        parts["h"] = (0.20, abs(a["h"] - b["h"]) / 80.0)
-    return sum(w * d for w, d in parts.values()) / sum(w for w, _ in parts.values())
+def rolling_baseline(state: tuple | None, rows: pd.DataFrame, alpha: float = 0.05, window: int = 64) -> tuple[tuple, pd.DataFrame]:
+    """The first value replaces the baseline, later ones blend in; the threshold is mean plus deviation of raw values."""
+    x = _numbers(rows["amp"])
+    w, tail = _windows(list(state[1]) if state else [], x, window)
+    _, mean, variance = _moments(w)
+    start = [state[0]] if state else []
+    blended = pd.Series(np.concatenate([start, x])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start) :]
+    threshold = np.clip(mean + np.sqrt(variance), 0.0, 1.0)
+    return (float(blended[-1]), tail), pd.DataFrame({"event_id": rows["event_id"], "mean": blended, "threshold": threshold})
 
 
-def _blend_print(old: dict, new: dict, alpha: float = 0.3) -> dict:
-    mix = lambda x, y: (1 - alpha) * x + alpha * y
-    heart = old.get("h")
-    if new.get("h") is not None:
-        heart = new["h"] if heart is None else mix(heart, new["h"])
-    return {"b": mix(old["b"], new["b"]), "a": mix(old["a"], new["a"]), "h": heart, "l": [mix(x, y) for x, y in zip(old["l"], new["l"])]}
+def cross_room(state: tuple | None, rows: pd.DataFrame, max_gap_us: int = MAX_GAP_US, min_similarity: float = MIN_SIMILARITY) -> tuple[tuple, pd.DataFrame]:
+    """Link each entry to the most similar open exit of another room within the gap, one to one.
 
+    Exits stand in event order, so those an entry may take are a range found by search.
+    Only the gap closes an exit; there is no limit to their number. Ties take the earlier.
+    """
+    ident, room, us = (rows[c].to_numpy(dtype=np.int64) for c in ("event_id", "room", "us"))
+    v = np.stack([np.asarray(x, dtype=np.float64) for x in rows["v"]])
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.where(length > 1e-12, v / np.maximum(length, 1e-300), 0.0)
+    out = rows["is_exit"].to_numpy(dtype=bool)
+    carried = [np.asarray(part, dtype=np.int64) for part in state[:3]] if state else [np.empty(0, dtype=np.int64)] * 3
+    exit_id, exit_room, exit_us = (np.append(old, new[out]) for old, new in zip(carried, (ident, room, us)))
+    vectors = np.concatenate([np.reshape(state[3] if state else [], (-1, v.shape[1])), v[out]])
+    still_open = np.ones(len(exit_id), dtype=bool)
+    since = np.searchsorted(exit_us, us - max_gap_us)
+    until = len(carried[0]) + np.cumsum(out)
+    links = []
+    for k in np.flatnonzero(~out):
+        near = slice(since[k], until[k])
+        allowed = np.flatnonzero(still_open[near] & (exit_room[near] != room[k])) + since[k]
+        likeness = vectors[allowed] @ v[k]
+        best = max(float(likeness.max(initial=0.0)), 0.0)
+        taken = allowed[int(likeness.argmax())] if best >= min_similarity else None
+        if taken is not None:
+            still_open[taken] = False
+        links.append((ident[k], len(allowed), None if taken is None else int(exit_id[taken]), best))
+    keep = np.flatnonzero(still_open & (exit_us >= us[-1] - max_gap_us))
+    state = tuple(part[keep].tolist() for part in (exit_id, exit_room, exit_us)) + (vectors[keep].ravel().tolist(),)
+    return state, pd.DataFrame(links, columns=["event_id", "candidates", "exit_id", "similarity"]).astype({"exit_id": "Int64"})
 
-def track_scan(state: dict, row: dict) -> list[tuple]:
-    """One scan of detections: predict, assign, re-identify, give birth, miss, drop.
 
-    ``row`` has ``scan``, ``dt`` and ``points``: a list of [x, y, z] or of dicts with
-    ``pos`` and ``print`` (a fingerprint). Assignment takes the cheapest gated pairs
-    first, one to one.
+# Survivor tracking.
+BIRTH_HITS, MAX_MISSES, MAX_LOST_S, REID, GATE = 2, 3, 30.0, 0.35, 9.0
+OBS_VAR, PROCESS_VAR, FIRST_VAR, BLEND = 2.25, 0.01, 10.0, 0.3
+PHASES = ("tentative", "active", "lost", "terminated")
+TENTATIVE, ACTIVE, LOST, TERMINATED = range(4)
+#: Weight and scale of a fingerprint's parts: breathing, amplitude, place, heart (which may be missing).
+PRINT_WEIGHT, PRINT_SCALE = np.array([0.40, 0.25, 0.15, 0.20]), np.array([30.0, 1.0, 20.0, 80.0])
+
+#: ``var`` is the variance of a coordinate, its covariance with the speed, and the variance of the
+#: speed. Motion and noise treat the three axes alike and apart, so these three numbers are the whole covariance.
+TRACK = np.dtype([("id", "i8"), ("place", "f8", 3), ("speed", "f8", 3), ("var", "f8", 3), ("hits", "i8"), ("misses", "i8"), ("lost", "f8"), ("phase", "i8"), ("mark", "f8", 6)])
+
+
+def _mark(p: dict | None) -> np.ndarray:
+    """A fingerprint as breathing, amplitude, x, y, z, heart; NaN where missing."""
+    if p is None:
+        return np.full(6, np.nan)
+    return np.array([p["b"], p["a"], *p["l"], np.nan if p.get("h") is None else p["h"]], dtype=np.float64)
+
+
+def _mark_distance(marks: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Weighted distance over the parts both sides have; infinite where a side has no fingerprint."""
+    gap = np.abs(marks - other)
+    parts = np.stack([gap[:, 0], gap[:, 1], np.linalg.norm(gap[:, 2:5], axis=1), gap[:, 5]], axis=1) / PRINT_SCALE
+    weight = PRINT_WEIGHT * ~np.isnan(parts)
+    return np.where(np.isnan(gap[:, 0]), np.inf, np.nansum(parts * weight, axis=1) / np.maximum(weight.sum(axis=1), 1e-300))
+
+
+def _advance(t: np.ndarray, dt: float) -> None:
+    """Constant speed for ``dt`` seconds under white acceleration."""
+    t["place"] += dt * t["speed"]
+    var, cov, speed = t["var"].T
+    noise = PROCESS_VAR * np.array([dt**4 / 4, dt**3 / 2, dt**2])
+    t["var"] = np.stack([var + dt * (2 * cov + dt * speed), cov + dt * speed, speed], axis=1) + noise
+
+
+def _observe(t: np.ndarray, at: np.ndarray, seen: np.ndarray, marks: np.ndarray) -> None:
+    """Correct the tracks at ``at`` by places ``seen`` and blend ``marks`` in; NaN leaves a value as it is."""
+    own = t[at]
+    var, cov, _ = own["var"].T
+    known = ~np.isnan(seen).any(axis=1)
+    share = np.where(known, 1 / (var + OBS_VAR), 0.0)  # without a place nothing is learned
+    miss = np.where(known[:, None], seen - own["place"], 0.0)
+    own["place"] += (share * var)[:, None] * miss
+    own["speed"] += (share * cov)[:, None] * miss
+    own["var"] -= share[:, None] * np.stack([var * var, var * cov, cov * cov], axis=1)
+    old = np.where(np.isnan(own["mark"]), marks, own["mark"])
+    own["mark"] = np.where(np.isnan(marks), old, old + BLEND * (marks - old))
+    own["hits"] += 1
+    own["misses"], own["lost"] = 0, 0.0
+    own["phase"] = np.where(own["hits"] >= BIRTH_HITS, ACTIVE, own["phase"])
+    t[at] = own
+
+
+def _miss(t: np.ndarray, at: np.ndarray, dt: float) -> None:
+    """Age the unseen tracks at ``at``: a tentative one ends, an active one gets lost, a lost one ends in time."""
+    own = t[at]
+    phase = own["phase"].copy()
+    own["misses"] += phase == ACTIVE
+    own["lost"] += np.where(phase == LOST, max(dt, 0.0), 0.0)
+    gone = (phase == TENTATIVE) | ((phase == LOST) & (own["lost"] > MAX_LOST_S))
+    own["phase"] = np.select([gone, (phase == ACTIVE) & (own["misses"] >= MAX_MISSES)], [TERMINATED, LOST], phase)
+    t[at] = own
+
+
+def _owners(t: np.ndarray, seen: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Track of each detection, or -1, and whether it was found by fingerprint.
+
+    Tracks in sight take the nearest gated pairs first; lost ones are then found by their fingerprint.
     """
-    tracks, dt = state.setdefault("tracks", []), float(row["dt"])
-    seen = [p if isinstance(p, dict) else {"pos": list(p), "print": None} for p in row["points"]]
-    z = [np.asarray(p["pos"], dtype=float) for p in seen]
-    for t in tracks:
-        _predict(t, dt)
-    visible = [i for i, t in enumerate(tracks) if t["state"] in ("tentative", "active")]
-    pairs = sorted((c, i, j) for i in visible for j in range(len(z)) if (c := _gate(tracks[i], z[j])) <= GATE)
-    owner: dict[int, tuple[int, str]] = {}
-    used: set[int] = set()
-    for _, i, j in pairs:
-        if i not in used and j not in owner:
-            owner[j] = (i, "matched")
-            used.add(i)
-    for j, p in enumerate(seen):
-        if j in owner or p["print"] is None:
-            continue
-        lost = [(_print_distance(t["print"], p["print"]), i) for i, t in enumerate(tracks) if t["state"] == "lost" and t["print"] and i not in used and t["lost"] <= MAX_LOST_S]
-        if lost and min(lost)[0] < REID:
-            owner[j] = (min(lost)[1], "reidentified")
-            used.add(min(lost)[1])
+    owner, by_mark = np.full(len(seen), -1), np.zeros(len(seen), dtype=bool)
+    if not len(t) or not len(seen):
+        return owner, by_mark
+    sight = t["phase"] <= ACTIVE
+    cost = ((seen[None] - t["place"][:, None]) ** 2).sum(axis=2) / (t["var"][:, :1] + OBS_VAR)
+    cost = np.where(sight[:, None] & (cost <= GATE), cost, np.inf)  # an unknown place gates nothing
+    while np.isfinite(cost.min()):
+        i, j = np.unravel_index(cost.argmin(), cost.shape)
+        owner[j] = i
+        cost[i], cost[:, j] = np.inf, np.inf
+    free = t["phase"] == LOST
+    for j in np.flatnonzero((owner < 0) & ~np.isnan(marks[:, 0])):
+        distance = np.where(free, _mark_distance(t["mark"], marks[j]), np.inf)
+        i = int(distance.argmin())
+        if distance[i] < REID:
+            owner[j], by_mark[j], free[i] = i, True, False
+    return owner, by_mark
+
+
+def track_scan(born: int, t: np.ndarray, dt: float, points: list) -> tuple[int, np.ndarray, list[tuple]]:
+    """One scan: advance, assign, re-identify, give birth, age, drop.
+
+    ``points`` holds [x, y, z] or dicts with ``pos`` and ``print`` (a fingerprint), either of
+    which may be None; a detection without a place that no track owns starts one at the
+    origin. Returns (track_id, change, state, x, y) rows: detections first, then aged tracks.
+    """
+    points = [p if isinstance(p, dict) else {"pos": p, "print": None} for p in points]
+    seen = np.array([np.full(3, np.nan) if p["pos"] is None else p["pos"] for p in points], dtype=np.float64).reshape(-1, 3)
+    marks = np.array([_mark(p.get("print")) for p in points]).reshape(-1, 6)
+    _advance(t, dt)
+    owner, by_mark = _owners(t, seen, marks)
+    held, new = np.flatnonzero(owner >= 0), np.flatnonzero(owner < 0)
+    _observe(t, owner[held], seen[held], marks[held])
+    fresh = np.zeros(len(new), dtype=TRACK)
+    fresh["id"] = born + 1 + np.arange(len(new))
+    fresh["place"] = np.nan_to_num(seen[new])
+    fresh["var"] = [FIRST_VAR, 0.0, FIRST_VAR]
+    fresh["hits"], fresh["phase"], fresh["mark"] = 1, ACTIVE if BIRTH_HITS <= 1 else TENTATIVE, marks[new]
+    unseen = np.setdiff1d(np.arange(len(t)), owner[held])
+    owner[new] = len(t) + np.arange(len(new))
+    t = np.concatenate([t, fresh])
+    before = t["phase"].copy()
+    _miss(t, unseen, dt)
+    change = np.where(by_mark, "reidentified", "matched").astype(object)
+    change[new] = "born"
+    moved = np.flatnonzero(t["phase"] != before)
+    at = np.append(owner, moved).astype(int)
+    state = [PHASES[p] for p in t["phase"][at]]
+    out = list(zip(t["id"][at].tolist(), [*change, *state[len(owner) :]], state, *t["place"][at, :2].T.tolist()))
+    return born + len(new), t[t["phase"] != TERMINATED], out
+
+
+def track(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """Tracks over scans: ``rows`` has ``scan``, ``dt`` and ``points`` (see ``track_scan``)."""
+    born, t = (state[0], np.frombuffer(bytes(state[1]), dtype=TRACK).copy()) if state else (0, np.empty(0, dtype=TRACK))
     out = []
-    for j, p in enumerate(seen):
-        if j in owner:
-            i, how = owner[j]
-            t = tracks[i]
-            _correct(t, z[j])
-            if p["print"] is not None:
-                t["print"] = _blend_print(t["print"], p["print"]) if t["print"] else p["print"]
-            _hit(t)
-        else:
-            how, i = "born", len(tracks)
-            state["next"] = state.get("next", 0) + 1
-            p0 = (np.eye(6) * 10.0).tolist()
-            t = {"id": state["next"], "x": [*z[j].tolist(), 0.0, 0.0, 0.0], "p": p0, "state": "tentative", "hits": 1, "misses": 0, "lost": 0.0, "print": p["print"]}
-            if t["hits"] >= BIRTH_HITS:
-                t["state"] = "active"
-            tracks.append(t)
-            used.add(i)
-        out.append((row["scan"], t["id"], how, t["state"], t["x"][0], t["x"][1]))
-    for i, t in enumerate(tracks):
-        if i in used:
-            continue
-        before = t["state"]
-        _miss(t, dt)
-        if t["state"] != before:
-            out.append((row["scan"], t["id"], t["state"], t["state"], t["x"][0], t["x"][1]))
-    state["tracks"] = [t for t in tracks if t["state"] != "terminated"]
-    return out
+    for scan, dt, points in zip(rows["scan"], rows["dt"], rows["points"]):
+        born, t, changes = track_scan(born, t, float(dt), list(points))
+        out += [(scan, *c) for c in changes]
+    return (int(born), t.tobytes()), pd.DataFrame(out, columns=["scan", "track_id", "change", "state", "x", "y"])
 
 
-def upsert_survivor(state: dict, row: dict, radius: float = 2.0) -> list[tuple]:
+def upsert_survivor(state: tuple | None, rows: pd.DataFrame, radius: float = 2.0) -> tuple[tuple, pd.DataFrame]:
     """Attach a detection to the first recorded survivor closer than ``radius``, or record a new one.
 
-    Detections without a place always start a new record.
+    Detections without a place always start a new record. The register is the result, so
+    the state holds one place per survivor; key it by zone.
     """
-    known, place = state.setdefault("survivors", []), row["place"]
-    for number, at in known:
-        if place is not None and at is not None and math.dist(at, place) < radius:
-            return [(row["event_id"], number, False)]
-    state["count"] = state.get("count", 0) + 1
-    known.append([state["count"], None if place is None else [float(v) for v in place]])
-    return [(row["event_id"], state["count"], True)]
-
-
-def coherence_track(state: dict, row: dict, accept: float = 0.85, decay: float = 0.95) -> list[tuple]:
-    """Score a complex frame against a reference that only accepted frames update."""
-    z = np.asarray(row["re"], dtype=float) + 1j * np.asarray(row["im"], dtype=float)
-    if "re" not in state:
-        state.update(re=z.real.tolist(), im=z.imag.tolist(), stale=0)
-        return [(row["frame"], 1.0, 0)]
-    ref = np.asarray(state["re"]) + 1j * np.asarray(state["im"])
-    na, nb = np.linalg.norm(z), np.linalg.norm(ref)
-    if na <= 1e-12 or nb <= 1e-12:
-        both = float(na <= 1e-12 and nb <= 1e-12)
-        corr = stable = both
-    else:
-        inner = abs(np.vdot(ref, z))
-        corr, weight = min(inner / (na * nb), 1.0), float(np.sum(np.abs(z) * np.abs(ref)))
-        stable = min(inner / weight, 1.0) if weight > 1e-12 else 0.0
-    level = 1.0 if na + nb <= 1e-12 else max(0.0, 1.0 - np.linalg.norm(np.abs(z) - np.abs(ref)) / (na + nb))
-    score = float(0.45 * corr + 0.35 * level + 0.20 * stable)
-    if score >= accept:
-        ref = decay * ref + (1 - decay) * z
-        state.update(re=ref.real.tolist(), im=ref.imag.tolist(), stale=0)
-    else:
-        state["stale"] += 1
-    return [(row["frame"], score, state["stale"])]
+    known = [np.reshape(state[0] if state else [], (-1, 3))]
+    out = []
+    for ident, place in zip(rows["event_id"], rows["place"]):
+        at = np.full(3, np.nan) if place is None else np.asarray(place, dtype=np.float64)
+        known = [np.concatenate(known)]
+        close = np.flatnonzero(((known[0] - at) ** 2).sum(axis=1) < radius * radius)
+        if not len(close):
+            known.append(at[None])
+        out.append((ident, int(close[0]) + 1 if len(close) else len(known[0]) + 1, not len(close)))
+    return (np.concatenate(known).ravel().tolist(),), pd.DataFrame(out, columns=["event_id", "survivor", "is_new"])
+
+
+def coherence_track(state: tuple | None, rows: pd.DataFrame, accept: float = 0.85, decay: float = 0.95) -> tuple[tuple, pd.DataFrame]:
+    """Score complex frames against a reference that only accepted frames update; the first frame is the reference."""
+    z = np.stack([np.asarray(v, dtype=np.float64) for v in rows["re"]]) + 1j * np.stack([np.asarray(v, dtype=np.float64) for v in rows["im"]])
+    size, norm = np.abs(z), np.linalg.norm(z, axis=1)
+    ref, stale = (np.asarray(state[0]) + 1j * np.asarray(state[1]), state[2]) if state else (None, 0)
+    scores, waits = np.ones(len(z)), np.zeros(len(z), dtype=np.int64)
+    for k in range(len(z)):
+        if ref is None:
+            ref = z[k]
+            continue
+        own = np.abs(ref)
+        length = np.linalg.norm(ref)
+        if min(norm[k], length) <= 1e-12:
+            corr = stable = float(max(norm[k], length) <= 1e-12)
+        else:
+            inner, weight = abs(np.vdot(ref, z[k])), size[k] @ own
+            corr = min(inner / (norm[k] * length), 1.0)
+            stable = min(inner / weight, 1.0) if weight > 1e-12 else 0.0
+        both = norm[k] + length
+        level = max(0.0, 1.0 - np.linalg.norm(size[k] - own) / both) if both > 1e-12 else 1.0
+        scores[k] = 0.45 * corr + 0.35 * level + 0.20 * stable
+        taken = scores[k] >= accept
+        stale = 0 if taken else stale + 1
+        ref = decay * ref + (1 - decay) * z[k] if taken else ref
+        waits[k] = stale
+    return (ref.real.tolist(), ref.imag.tolist(), int(stale)), pd.DataFrame({"frame": rows["frame"], "score": scores, "stale": waits})

@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,10 +79,10 @@ def test_export_shapes_and_hashes(spark, tmp_path):
 
 
 def test_survivor_upsert():
-    state = {}
-    add = lambda i, p: steps.upsert_survivor(state, {"event_id": i, "place": p})[0][1:]
-    assert add(1, [0, 0, 0]) == (1, True) and add(2, [1.9, 0, 0]) == (1, False)
-    assert add(3, [2.0, 0, 0]) == (2, True) and add(4, None) == (3, True) and add(5, [1.0, 0, 0]) == (1, False)
+    places = [[0, 0, 0], [1.9, 0, 0], [2.0, 0, 0], None, [1.0, 0, 0]]
+    rows = pd.DataFrame({"event_id": range(5), "place": pd.Series(places, dtype=object)})
+    _, out = steps.upsert_survivor(None, rows)
+    assert list(zip(out["survivor"], out["is_new"])) == [(1, True), (1, False), (2, True), (3, True), (1, False)]
 
 
 def test_relative_scores_against_baseline(spark):
@@ -113,8 +114,8 @@ def test_pose_functions(frame):
 
 
 def test_coherence_step_keeps_reference_on_rejection():
-    state = {}
-    frame = lambda i, re: steps.coherence_track(state, {"frame": i, "re": re, "im": [0.0, 0.0]})[0]
-    assert frame(0, [1.0, 0.0]) == (0, 1.0, 0)
-    assert frame(1, [0.0, 1.0])[2] == 1 and state["re"] == [1.0, 0.0]
-    assert frame(2, [1.0, 0.0])[1:] == (1.0, 0)
+    rows = pd.DataFrame({"frame": range(2), "re": [[1.0, 0.0], [0.0, 1.0]], "im": [[0.0, 0.0]] * 2})
+    state, out = steps.coherence_track(None, rows)
+    assert out["score"][0] == 1.0 and out["stale"].tolist() == [0, 1] and state[0] == [1.0, 0.0]
+    _, out = steps.coherence_track(state, pd.DataFrame({"frame": [2], "re": [[1.0, 0.0]], "im": [[0.0, 0.0]]}))
+    assert out["score"][0] == 1.0 and out["stale"][0] == 0

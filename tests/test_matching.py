@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,24 +120,36 @@ def test_tdoa_recovers_positions():
     true = np.array([[7.0, 11.0], [20.0, 5.0]])
     i, j = np.tile([0, 1, 2, 3, 0], (2, 1)), np.tile([1, 2, 3, 0, 2], (2, 1))
     d = np.linalg.norm(true[:, None] - aps[i], axis=2) - np.linalg.norm(true[:, None] - aps[j], axis=2)
-    pos, residual, _ = templates.tdoa_batch(i, j, d, aps)
+    pos, residual = templates.tdoa_batch(i, j, d, aps)
     assert np.allclose(pos, true, atol=1e-5) and residual.max() < 1e-6
 
 
-def test_cross_room_step_consumes_an_exit_once():
-    state = {}
-    row = lambda i, us, room, x, v: {"event_id": i, "us": us, "room": room, "is_exit": x, "v": v}
-    assert steps.cross_room(state, row(1, 1_000_000, 1, True, [1.0, 0.1])) == []
-    assert steps.cross_room(state, row(2, 6_000_000, 2, False, [1.0, 0.12]))[0][2] == 1
-    assert steps.cross_room(state, row(3, 7_000_000, 2, False, [1.0, 0.12]))[0][1:3] == (0, None)
-    for k in range(300):
-        steps.cross_room(state, row(10 + k, 8_000_000, 1, True, [1.0, 0.0]))
-    assert len(state["exits"]) == steps.PENDING
+def test_cross_room_links_an_exit_once_and_keeps_all_in_the_gap():
+    batch = lambda *rows: pd.DataFrame(rows, columns=["event_id", "us", "room", "is_exit", "v"])
+    state, out = steps.cross_room(None, batch((1, 1_000_000, 1, True, [1.0, 0.1])))
+    assert not len(out)
+    state, out = steps.cross_room(state, batch((2, 6_000_000, 2, False, [1.0, 0.12]), (3, 7_000_000, 2, False, [1.0, 0.12])))
+    assert out["candidates"].tolist() == [1, 0] and out["exit_id"].tolist()[0] == 1 and out["exit_id"].isna().tolist() == [False, True]
+    state, _ = steps.cross_room(state, batch(*[(10 + k, 8_000_000 + k, 1, True, [1.0, 0.0]) for k in range(500)]))
+    state, out = steps.cross_room(state, batch((600, 9_000_000, 2, False, [1.0, 0.0])))
+    assert out["candidates"].tolist() == [500] and out["exit_id"].tolist() == [10] and len(state[0]) == 499
+    state, out = steps.cross_room(state, batch((601, 200_000_000, 2, False, [1.0, 0.0])))
+    assert out["candidates"].tolist() == [0] and state[0] == []
+
+
+def scanner():
+    """Feeds scans one after the other and returns each one's changes."""
+    state = [None]
+
+    def scan(n, points):
+        state[0], out = steps.track(state[0], pd.DataFrame({"scan": [n], "dt": [1.0], "points": [points]}))
+        return list(out.itertuples(index=False, name=None))
+
+    return state, scan
 
 
 def test_tracker_lifecycle():
-    state = {}
-    scan = lambda n, pts: steps.track_scan(state, {"scan": n, "dt": 1.0, "points": pts})
+    state, scan = scanner()
     assert [r[2] for r in scan(1, [[0, 0, 0], [50, 0, 0]])] == ["born", "born"]
     out = scan(2, [[0.1, 0, 0]])
     assert [(r[1], r[2], r[3]) for r in out] == [(1, "matched", "active"), (2, "terminated", "terminated")]
@@ -145,16 +158,32 @@ def test_tracker_lifecycle():
     assert [(r[1], r[3]) for r in scan(5, [])] == [(1, "lost")]
     changes = [scan(6 + k, []) for k in range(32)]
     assert [(r[1], r[3]) for c in changes for r in c] == [(1, "terminated")]
-    assert state["tracks"] == []
+    assert state[0] == (2, b"")
 
 
 def test_tracker_reidentifies_by_fingerprint():
-    state = {}
+    _, scan = scanner()
     who = {"b": 16.0, "a": 0.5, "h": 70.0, "l": [0.0, 0.0, 0.0]}
-    scan = lambda n, pts: steps.track_scan(state, {"scan": n, "dt": 1.0, "points": pts})
     scan(1, [{"pos": [0, 0, 0], "print": who}])
     scan(2, [{"pos": [0, 0, 0], "print": who}])
     for n in (3, 4, 5):
         scan(n, [])
     out = scan(6, [{"pos": [30, 0, 0], "print": who}])
     assert (out[0][1], out[0][2], out[0][3]) == (1, "reidentified", "active")
+
+
+def test_tracker_takes_detections_without_a_place():
+    _, scan = scanner()
+    assert [r[2:] for r in scan(1, [None])] == [("born", "tentative", 0.0, 0.0)]
+    assert [r[2] for r in scan(2, [{"pos": None, "print": None}, [0.0, 0.0, 0.0]])] == ["born", "matched"]
+
+
+def test_tracks_do_not_depend_on_the_cut_into_batches():
+    rng = np.random.default_rng(5)
+    scans = pd.DataFrame({"scan": range(40), "dt": 1.0, "points": [rng.normal(0, 4, (rng.integers(0, 4), 3)).tolist() for _ in range(40)]})
+    _, whole = steps.track(None, scans)
+    state, parts = None, []
+    for part in (scans[:7], scans[7:8], scans[8:]):
+        state, out = steps.track(state, part.reset_index(drop=True))
+        parts.append(out)
+    pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)

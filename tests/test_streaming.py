@@ -1,10 +1,11 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rippleframe.operators import scans
 from rippleframe.operators import sequence as S
 from rippleframe.streaming import steps
-from rippleframe.streaming.processors import apply_step, read_stream, run_available
+from rippleframe.streaming.processors import apply_update, read_stream, run_available
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def folder(spark, tmp_path_factory):
 def test_stream_agrees_with_batch(spark, folder):
     stream = read_stream(spark, folder, "events", max_bytes=1).withColumn("hit", F.col("value") > 40)
     schema = "user_id long, event_id long, state boolean"
-    out = run_available(apply_step(stream, ["user_id"], steps.debounce, ["event_id"], schema), "t")
+    out = run_available(apply_update(stream, ["user_id"], steps.debounce, steps.DEBOUNCE_STATE, ["event_id"], schema), "t")
     got = {r.event_id: r.state for r in out.collect()}
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", (F.col("value") > 40).alias("hit"))
     want = {r.event_id: r.state for r in scans.debounce(S.sequence(ev, ["user_id"], ["event_id"]), ["user_id"], "hit", size=9).collect()}
@@ -33,8 +34,17 @@ def test_read_stream_is_one_table(spark):
 
 
 def test_rolling_baseline_step():
-    state, seen = {}, []
-    for v in (1.0, 2.0, 3.0):
-        seen.append(steps.rolling_baseline(state, {"event_id": 0, "amp": v}, alpha=0.25, window=2)[0])
-    assert seen[0][1] == 1.0 and seen[1][1] == pytest.approx(0.75 * 1 + 0.25 * 2)
-    assert state["history"] == [2.0, 3.0]
+    state, first = steps.rolling_baseline(None, pd.DataFrame({"event_id": [0], "amp": [1.0]}), alpha=0.25, window=2)
+    state, rest = steps.rolling_baseline(state, pd.DataFrame({"event_id": [1, 2], "amp": [2.0, 3.0]}), alpha=0.25, window=2)
+    assert first["mean"].tolist() == [1.0] and rest["mean"].tolist() == pytest.approx([1.25, 1.6875])
+    assert state == (pytest.approx(1.6875), [3.0])
+
+
+def test_a_batch_behind_an_earlier_one_is_refused(spark, folder, tmp_path):
+    rows = spark.read.parquet(f"{folder}/events.parquet").where("user_id < 5")
+    rows.where("event_id >= 500").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows.where("event_id < 500").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = read_stream(spark, str(tmp_path), "events", max_bytes=1).withColumn("hit", F.col("value") > 40)
+    schema = "user_id long, event_id long, state boolean"
+    with pytest.raises(Exception, match="feed files in event order"):
+        run_available(apply_update(stream, ["user_id"], steps.debounce, steps.DEBOUNCE_STATE, ["event_id"], schema), "t")
