@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rippleframe.session import durable
+
 #: White space of the text contracts: space and the five ASCII controls from tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: A side with more rows than this is never broadcast by hand.
@@ -39,6 +41,30 @@ def attach_small(df: DataFrame, side: DataFrame, on: str, columns: Sequence[str]
     return df.join(side, df[on].eqNullSafe(side["__key"]), "left").drop("__key")
 
 
+def text_hash(text: str) -> Column:
+    """64 bits that tell texts apart, null from any other."""
+    own = F.col(text).cast("string")
+    return F.xxhash64(own, own.isNull())
+
+
+def keep_smallest(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of ``rooted`` (doc_id, text_hash, root of every row).
+
+    The row of the smallest doc_id stays, then of the smallest text hash; a null doc_id
+    is the largest. Rows are told apart by doc_id and text together; of rows that agree
+    in both one stays.
+    """
+    each = rooted.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("__rows"))
+    least = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "__rows")).alias("b"))
+    kept = durable(least.select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__h"), F.col("b.__rows").alias("__rows")), "kept")
+    # Semi-join sides hold keys only; hashing them spares a sort of the texts.
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (text_hash("text") == F.col("__h"))
+    once = docs.join(kept.where("__rows = 1").hint("shuffle_hash"), same, "left_semi")
+    if kept.where("__rows > 1").isEmpty():
+        return once
+    return once.unionByName(docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def units(rows: DataFrame, key: str, item: str, size: int) -> DataFrame:
     """Cut the rows of each key into work units of about ``2 * size`` rows at most.
 

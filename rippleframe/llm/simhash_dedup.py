@@ -37,17 +37,25 @@ _ODD = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text; 0 for null, empty and blank texts."""
+def shingle_digests(text: str | None, shingle: int) -> tuple[bytes, bytes]:
+    """The lower-cased words of a text joined by spaces, and the 8-byte digests of its shingles; both empty for a blank text."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return b"", b""
     line = b" ".join(words)
     stop = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     n = min(shingle, len(words))
     first, last = np.append(0, stop[:-n] + 1).tolist(), stop[n - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join([digest(line[i:j], SEED) for i, j in zip(first, last)]), dtype=np.uint8).reshape(-1, 8), axis=1)
+    return line, b"".join([digest(line[i:j], SEED) for i, j in zip(first, last)])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one text; 0 for null, empty and blank texts."""
+    _, digests = shingle_digests(text, shingle)
+    if not digests:
+        return 0
+    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
     count, whole = np.zeros(64, dtype=np.int64), len(bits) // 255
     if whole:  # sums of 255 bits fit a byte
         count += bits[: whole * 255].reshape(whole, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rippleframe.llm import base, components, embedding_dedup, html_extract, license_scan, line_dedup, mixing, packing, quality_lm, queries, simhash_dedup, topk_search, toxicity
+from rippleframe.llm import base, components, embedding_dedup, html_extract, license_scan, line_dedup, mixing, packing, quality_lm, queries, shingle_dedup, simhash_dedup, topk_search, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __doc int, size int, keep string"
 ODD = [None, "", " \t\n", "one", "a b c d e", "Straße İstanbul ΑΣ ς é x y\x1cz", "<|endoftext|> <|ENDOFTEXT|> don't 42,000!", "word " * 3000, "\n\n\n", "日本 語 ✓"]
@@ -87,6 +87,39 @@ def test_grid_meets_every_near_pair_and_splits_crowded_cells(spark, monkeypatch)
     assert got == {int(order[k]): int(order[r]) for k, r in enumerate(want) if r != k}
 
 
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("cell_rows", [4, 2048])
+def test_pipeline_drops_every_near_copy(frame, spark, cell_rows, monkeypatch):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(shingle_dedup, "CELL_ROWS", cell_rows)
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    phrase, texts = " ".join(rng.choices(vocab, k=9)), list(ODD)
+    for _ in range(30):
+        words = rng.choices(vocab, k=rng.randint(5, 150)) + phrase.split()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 5, 8):
+            other = list(words)
+            for k in rng.sample(range(len(other)), min(edits, len(other))):
+                other[k] = rng.choice(vocab)
+            texts.append(" ".join(other))
+    sets = [five_words(t) for t in texts]
+    similar = lambda a, b: a == b or (len(a & b) * 5 >= len(a | b) * 4 if a and b else False)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if similar(sets[a], sets[b])]
+    # The former rule, 4 bits of the fingerprint, misses most of these.
+    fps = [brute_fingerprint(t) for t in texts]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 4 for a, b in pairs) > len(pairs) / 2
+    root = brute_roots(len(texts), lambda a, b: similar(sets[a], sets[b]))
+    docs = frame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()) == sorted(set(root))
+    assert P.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_line_dedup_cuts_repeats_and_keeps_the_rest(docs):
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).where("doc_id is not null").collect()}
     source = {r["doc_id"]: r["text"] for r in docs.collect()}
