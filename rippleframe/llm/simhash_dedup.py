@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.base import Links, neighbours, text_batches, units, whole_units
+from rippleframe.llm.base import Links, keep_smallest, neighbours, text_batches, text_hash, units, whole_units
 from rippleframe.llm.components import components
 from rippleframe.session import durable
 
@@ -64,15 +64,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every document."""
+    """doc_id, text_hash and fp (the fingerprint's bits as a long) of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return text_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = text_batches(docs).select("doc_id", text_hash("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def thermometer(fp: np.ndarray) -> np.ndarray:
@@ -136,6 +137,17 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     return units(cells, "cell", "fp", CELL_ROWS).mapInArrow(_linker(max_bits), "a bigint, b bigint")
 
 
+def rooted(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, text_hash, fp, root (the same for all rows of a component) and component_id of every row."""
+    stored = durable(fingerprints(docs, shingle), "fingerprints")
+    distinct = durable(stored.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    roots = components(link_fingerprints(distinct.select("fp"), max_bits))
+    own = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    smallest = own.groupBy("root").agg(F.min("low").alias("component_id"))
+    per_fp = own.join(smallest, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+    return stored.join(per_fp, stored["fp"] == per_fp["__fp"]).drop("__fp")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every document row.
 
@@ -143,26 +155,13 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -
     with a null doc_id takes part; component_id is null only if all ids of the component
     are. Repeated rows are each returned. An empty table gives an empty result.
     """
-    stored = durable(fingerprints(docs, shingle), "fingerprints")
-    distinct = durable(stored.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(link_fingerprints(distinct.select("fp"), max_bits))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    per_fp = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return stored.join(per_fp, stored["fp"] == per_fp["__fp"]).select("doc_id", "fp", "component_id")
+    return rooted(docs, shingle, max_bits).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.
+    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id, then text hash.
 
-    Rows that share that doc_id are cut to one. A group whose ids are all null keeps one row.
+    Rows are told apart by doc_id and text together; of rows that agree in both one
+    stays. A null doc_id is the largest.
     """
-    found = durable(classes(docs, shingle, max_bits), "classes")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    kept = durable(kept.select(F.col("doc_id").alias("__id"), "__rows"), "kept")
-    # Semi-join sides hold ids only; hashing them spares a sort of the texts.
-    same = docs["doc_id"].eqNullSafe(F.col("__id"))
-    once = docs.join(kept.where("__rows = 1").hint("shuffle_hash"), same, "left_semi")
-    if kept.where("__rows > 1").isEmpty():
-        return once
-    return once.unionByName(docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
+    return keep_smallest(docs, rooted(docs, shingle, max_bits))

@@ -87,6 +87,19 @@ def test_grid_meets_every_near_pair_and_splits_crowded_cells(spark, monkeypatch)
     assert got == {int(order[k]): int(order[r]) for k, r in enumerate(want) if r != k}
 
 
+def test_keep_one_tells_rows_apart_by_id_and_text(frame, spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(4))
+    # Different texts with null ids, different texts with one id, and an id kept for one text whose other row copies a third.
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, d), (7, c)]
+    docs = frame([(k, t, "en", "x", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([("None", a), ("None", b), ("7", c), ("3", d)])
+    for kept in (simhash_dedup.keep_one(docs), P.near_duplicates(spark, docs, "")):
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == want
+
+
 def five_words(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
