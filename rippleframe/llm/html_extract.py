@@ -22,18 +22,22 @@ from rippleframe.llm.base import text_batches
 
 # Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link object svg math audio video canvas iframe datalist select textarea noframes".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
+HIDDEN = frozenset("head script style template noscript title meta link object audio video canvas iframe datalist noframes desc metadata defs annotation annotation-xml".split())
+#: A start tag of any other element ends the head.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 #: A start tag closes the open elements named here, up to the given boundary elements.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
-    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "body": (("head",), ("html",)),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select", "datalist")),
 }
-CLOSES_P = BLOCK - {"body", "html", "dt", "dd", "li"}
-SCOPE = frozenset("table td th caption html body button".split())
+CLOSES_P = BLOCK - {"body", "html", "dt", "dd", "li", "option", "optgroup"}
+#: What is inside closes nothing outside.
+CLOSED = frozenset("object template".split())
+SCOPE = CLOSED | frozenset("table td th caption html body button".split())
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Deeper elements are rendered as parts of the one at this depth, so nesting cannot exhaust the stack.
@@ -45,16 +49,16 @@ class Node:
     tag: str
     children: list[Node | str] = field(default_factory=list)
     start: int = 1
+    hidden: bool = False
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the tree of what is visible."""
+    """Builds the tree; elements a reader does not see are marked hidden."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
-        self.skipped = 0  # open elements inside a hidden one, itself included
         self.title: list[str] = []
         self.in_title = False
 
@@ -63,52 +67,44 @@ class TreeBuilder(HTMLParser):
             if self.open[k].tag in tags:
                 del self.open[k:]
                 return self._close(tags, stop)
-            if self.open[k].tag in stop:
+            if self.open[k].tag in stop or self.open[k].tag in CLOSED:
                 return None
         return None
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.in_title = tag == "title" and not self.title
-        if self.skipped:
-            if tag == "body":
-                self.skipped = 0  # a head without an end
-            elif tag not in VOID:
-                self.skipped += 1
-                return
-            else:
-                return
+    def _foreign(self) -> bool:
+        """Whether the innermost markup is SVG or MathML."""
+        inner = next((n.tag for n in reversed(self.open) if n.tag in ("svg", "math", "foreignobject")), "")
+        return inner in ("svg", "math")
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]], closed: bool = False) -> None:
+        self.in_title = tag == "title" and not self.title and not self._foreign()
+        if tag == "body":
+            self._close(HEAD | {"head"}, ())  # a head without an end
         if tag in ("html", "body"):
             return
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self.open.pop()
         if tag in CLOSES_P:
             self._close(("p",), SCOPE)
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
         own = dict(attrs)
-        hidden = tag in HIDDEN or "hidden" in own or own.get("aria-hidden") == "true" or (tag == "input" and own.get("type") == "hidden") or UNSEEN.search(own.get("style") or "")
-        if hidden:
-            self.skipped = tag not in VOID
-            return
-        node = Node(tag)
+        node = Node(tag, hidden=bool(tag in HIDDEN or "hidden" in own or (tag == "input" and own.get("type") == "hidden") or UNSEEN.search(own.get("style") or "")))
         if tag == "ol" and re.fullmatch(r"-?\d{1,9}", own.get("start") or ""):
             node.start = int(own["start"])
         if tag == "img":
             node.children.append(own.get("alt") or "")
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        # Hidden elements are not rendered, so they may lie deeper.
+        if tag not in VOID and not closed and (len(self.open) < DEPTH or (len(self.open) < 2 * DEPTH and (node.hidden or any(n.hidden for n in self.open)))):
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        # The slash means nothing in HTML, but ends an element of SVG or MathML.
+        self.handle_starttag(tag, attrs, tag in ("svg", "math") or self._foreign())
 
     def handle_endtag(self, tag: str) -> None:
         self.in_title = False
-        if self.skipped:
-            if tag not in VOID:
-                self.skipped -= 1
-            return
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self.open[-1].children.append(Node("p"))
             return
@@ -122,8 +118,9 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
-        if not self.skipped:
-            self.open[-1].children.append(data)
+        elif self.open[-1].tag == "head" and data.strip():
+            self.open.pop()
+        self.open[-1].children.append(data)
 
 
 def width(text: str) -> int:
@@ -186,6 +183,8 @@ def render(node: Node, out: Renderer, pre: bool = False, depth: int = 0) -> None
         if isinstance(child, str):
             out.text(child, pre)
             continue
+        if child.hidden:
+            continue
         tag = child.tag
         if tag == "br":
             out.flush(True)
@@ -216,17 +215,27 @@ def render(node: Node, out: Renderer, pre: bool = False, depth: int = 0) -> None
             out.block(tag in SPACED)
             out.indent = before
         else:
-            render(child, out, pre, depth)
+            render(child, out, pre or tag == "textarea", depth)
 
 
 def cells(node: Node) -> Iterator[Node]:
-    """Rows of a table in order, whatever groups they are in."""
+    """Visible rows of a table in order, whatever groups they are in; what stands in a group outside a row is a row."""
+    loose: list[Node | str] = []
     for child in node.children:
-        if isinstance(child, Node):
+        if isinstance(child, Node) and child.hidden:
+            continue
+        if isinstance(child, Node) and child.tag in ("tr", "thead", "tbody", "tfoot"):
+            if loose:
+                yield Node("tr", loose)
+                loose = []
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
+            else:
                 yield from cells(child)
+        elif node.tag != "table" and not (isinstance(child, str) and not child.strip()):
+            loose.append(child)
+    if loose:
+        yield Node("tr", loose)
 
 
 def table(node: Node, out: Renderer) -> None:
@@ -238,6 +247,8 @@ def table(node: Node, out: Renderer) -> None:
     for tr in cells(node):
         row = []
         for cell in tr.children:
+            if isinstance(cell, Node) and cell.hidden:
+                continue
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 own = Renderer()
                 render(cell, own)

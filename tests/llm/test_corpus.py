@@ -313,6 +313,28 @@ def test_html_layout(frame):
     assert got["2"] == (None, None) and got["3"] == ("", "") and got["4"][1] == "deep" and got["5"][1].count("long") == 50_000
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<svg><path d="M0"/></svg> after', "after"),
+    ("<svg><title>t</title><text>drawn</text></svg> after", "drawn after"),
+    ("<select><option>A<option>B</select> after", "A\nB\nafter"),
+    ("<object><param name=x></object> after", "after"),
+    ("<div hidden>x<p>y</div>after", "after"),
+    ("<ul hidden><li>x<li>y</ul>after", "after"),
+    ("<head><meta charset=x><title>t</title><p>first</p>after", "first\n\nafter"),
+    ("<head><title>t</title>first<b>after</b>", "firstafter"),
+    ("<head><style>p{}</style><body>after", "after"),
+    ("<span aria-hidden=true>seen</span> after", "seen after"),
+    ("<textarea>typed</textarea> after", "typed after"),
+    ("<math><mi>x</mi></math> after", "x after"),
+    ("<table><tbody><td>a<td>b</tbody><tbody>loose<tr><td>c<td>d</table>after", "a     | b\nloose\nc     | d\n\nafter"),
+    ("<table><tr><td>a<td hidden>no<td>b</table>after", "a | b\n\nafter"),
+    ("<ul><li>a<template><li>no</template> after</ul>", "- a after"),
+    ("<div>" * 300 + "<span hidden>no<b>no</b></span>after", "after"),
+])
+def test_html_keeps_visible_text_after_hidden_elements(html, text):
+    assert html_extract.extract(html)[1] == text
+
+
 def test_kneser_ney_is_a_distribution_and_rejects_junk(frame):
     rng = random.Random(9)
     vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(200)]
