@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import embedding_dedup, html_extract, license_scan, line_dedup, mixing, packing, quality_lm, simhash_dedup, topk_search, toxicity
+from rippleframe.llm import byte_bpe, embedding_dedup, fim, html_extract, license_scan, line_dedup, mixing, packing, quality_lm, simhash_dedup, spelling, topk_search, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
 HELD_OUT = 5
+#: One in so many runs of letters of a document loses a letter.
+LOSSY = 199
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -136,8 +139,70 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "perplexity", "threshold", "keep")
 
 
+def _lossy(runs: DataFrame) -> DataFrame:
+    """Runs of letters of which one in LOSSY, by the CRC-32 of document and run, has lost the letter that the remainder names."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "word").cast("binary"))
+    at = F.pmod(h, F.length("word").cast("long")).cast("int")
+    cut = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, F.length("word")))
+    return runs.select(F.when(h % LOSSY == 0, cut).otherwise(F.col("word")).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(read(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.frequent_words(_lossy(runs)))
+
+
+OP11_SQL = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS x FROM r GROUP BY doc_id, run),
+b AS (SELECT run, k, list_transform(range(length(x) // 2), lambda p: ('0x' || substr(x, 2 * p + 1, 2))::BIGINT) AS bytes FROM g),
+h AS (SELECT run, k, xor(list_reduce(bytes, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, t),
+c AS (SELECT CASE WHEN h % {LOSSY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM h GROUP BY 1),
+w AS (SELECT word, n FROM c WHERE length(word) >= {spelling.MIN_LETTERS} AND n >= {spelling.MIN_COUNT}),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON d.cut = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.cut = w.word),
+m AS (SELECT p.a, w.word, w.n, row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, w.word) AS i, count(*) OVER (PARTITION BY p.a) AS n_near FROM p JOIN w ON p.b = w.word),
+f AS (SELECT w.word, w.n, coalesce(m.n_near, 0)::BIGINT AS n_near, CASE WHEN m.n >= {spelling.RATIO} * w.n THEN m.word END AS form, CASE WHEN m.n >= {spelling.RATIO} * w.n THEN m.n END AS form_n
+  FROM w LEFT JOIN m ON m.a = w.word AND m.i = 1),
+s(word, root) AS (SELECT word, word FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word JOIN f e ON s.root = e.word WHERE e.form IS NULL
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the ids of every text, and of the bytes that they decode to."""
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    out = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every transformed text and of the text rebuilt from it."""
+    out = fim.restore(fim.transform(read(spark, sf_dir, "documents")))
+    sha = {f"{new}_sha256": F.sha2(F.col(old).cast("binary"), 256) for new, old in (("output", "output"), ("restored", "restored"))}
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[column.alias(name) for name, column in sha.items()])
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS x,
+  CASE WHEN text IS NULL OR text = '' THEN [] ELSE regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') END AS u FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, list_transform([0, 1, 2, 3], lambda k: ('0x' || substr(x, 8 * k + 1, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= {100 - fim.PLAIN_SHARE} THEN 'plain'
+  WHEN h[4] % 100 < {fim.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:n], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_source_mixing, op5_html_extraction, op6_simhash_dedup, op7_topk_search, op8_best_fit_packing, op9_toxicity, op10_quality)
+    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_source_mixing, op5_html_extraction, op6_simhash_dedup, op7_topk_search, op8_best_fit_packing, op9_toxicity, op10_quality, op11_spelling_variants, op12_byte_bpe, op13_fill_in_middle)
 }
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_topk_search": OP7_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_topk_search": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
