@@ -12,4 +12,5 @@ from rippleframe.plans import (  # noqa: F401
     streams,
     templates,
     composites,
+    updates,
 )
