@@ -13,4 +13,5 @@ from rippleframe.plans import (  # noqa: F401
     templates,
     composites,
     updates,
+    rolling,
 )
