@@ -14,4 +14,5 @@ from rippleframe.plans import (  # noqa: F401
     composites,
     updates,
     rolling,
+    ranging,
 )
