@@ -40,7 +40,7 @@ def trailing_arrays(seq: DataFrame, key: Sequence[str], value: str, rows: int, s
         pos, core = table.column(POS).to_numpy(), table.column(CORE).to_numpy(zero_copy_only=False)
         x = table.column(value).to_numpy(zero_copy_only=False).astype(np.float64)
         ends = core & (pos + 1 >= first) & ((pos + 1 - first) % step == 0)
-        if short and pos[-1] + 1 < first:
+        if short and core[-1] and pos[-1] + 1 < first:
             ends[-1] = True
         at = np.flatnonzero(ends)
         windows = [w[np.isfinite(w)] for w in (x[max(0, i - rows + 1) : i + 1] for i in at)]

@@ -24,13 +24,11 @@ DOUBLES = T.ArrayType(T.DoubleType())
 def _by_length(series: pd.Series, apply) -> pd.Series:
     """Run ``apply`` on one matrix per distinct array length."""
     lengths = series.map(len)
-    out = pd.Series([None] * len(series), index=series.index, dtype=object)
+    rows = {}
     for n, idx in lengths.groupby(lengths).groups.items():
         if n:
-            block = apply(np.stack(series.loc[idx].to_numpy()).astype(np.float64))
-            for i, row in zip(idx, block):
-                out.at[i] = row
-    return out
+            rows.update(zip(idx, apply(np.stack(series.loc[idx].to_numpy()).astype(np.float64))))
+    return pd.Series([rows.get(i) for i in series.index], index=series.index, dtype=object)
 
 
 def spectrum_amplitude(samples: Column | str, taper: str = "hann") -> Column:

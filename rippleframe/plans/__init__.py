@@ -15,4 +15,5 @@ from rippleframe.plans import (  # noqa: F401
     updates,
     rolling,
     ranging,
+    shared,
 )
