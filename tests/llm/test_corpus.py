@@ -449,3 +449,34 @@ def test_pipeline_keeps_columns_and_packs(spark, tmp_path):
             assert docs.columns == list(P.COLUMNS)
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert P.run(spark, sf).count() == docs.count()
+
+
+def test_a_large_group_of_near_copies_costs_pairs_in_proportion(frame, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    texts = []
+    for _ in range(600):
+        own = list(words)
+        own[rng.randrange(150)] = "".join(rng.choice("xyz") for _ in range(9))
+        texts.append(" ".join(own))
+    docs = frame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    compared = []
+    plain = shingle_dedup.verified
+    monkeypatch.setattr(shingle_dedup, "verified", lambda pairs, *rest: (compared.append(pairs.count()), plain(pairs, *rest))[1])
+    rows = shingle_dedup.rooted(docs)
+    assert rows.select("root").distinct().count() == 1 and rows.count() == 600
+    assert sum(compared) < 5 * 600
+
+
+def test_met_entries_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = sorted({(int(c), int(n)) for c, n in zip(rng.integers(0, 25, 120), rng.integers(0, 9, 120))} | {(40, 1), (41, 2), (41, 3), (99, 5)})
+    rows = sorted(rows + [rows[k] for k in rng.integers(0, len(rows), 30)])
+    want = [(c, n, c + n, min(m for d, m in rows if d == c)) for c, n in sorted(set(rows)) if len({m for d, m in rows if d == c}) > 1]
+    for size in (1, 2, 3, 7, 1000):
+        table = pa.table({"cell": [c for c, _ in rows], "node": [n for _, n in rows], "size": [c + n for c, n in rows]})
+        out = pa.Table.from_batches(shingle_dedup._met(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        assert sorted((r["cell"], r["node"], r["size"], r["centre"]) for r in out) == want
+        assert all(r["centre_size"] == r["cell"] + r["centre"] for r in out)
