@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,26 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let a table have columns whose names start with two underscores, as those inside the operators do.
+
+    Such columns of the first argument pass through the operator under other names, so they
+    come back with their names and values. Names in ``columns`` are those of the table.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        aside = {c: f"user {c}" for c in docs.columns if c.startswith("__")}
+        if not aside:
+            return operator(docs, *args, **kwargs)
+        if kwargs.get("columns") is not None:
+            kwargs["columns"] = [aside.get(c, c) for c in kwargs["columns"]]
+        out = operator(docs.withColumnsRenamed(aside), *args, **kwargs)
+        return out.withColumnsRenamed({new: old for old, new in aside.items()})
+
+    return run
+
+
 def attach_small(df: DataFrame, side: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
     """Left join on one null-safe key; ``side`` is broadcast only if its counted rows are few.
 

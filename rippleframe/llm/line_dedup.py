@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rippleframe.llm.base import keeps_names
 from rippleframe.session import durable
 
 WINDOW = 2
@@ -92,6 +93,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEA
     return later.groupBy("__doc").agg(F.collect_set("__no").alias("__gone"))
 
 
+@keeps_names
 def dedup_lines(docs: DataFrame, window: int = WINDOW, mean_lines: int = MEAN_LINES, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text`` and the counts ``n_chunks``, ``removed_chunks`` and ``removed_lines``.
 

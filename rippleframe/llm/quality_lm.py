@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rippleframe.llm.base import attach_small, text_batches
+from rippleframe.llm.base import attach_small, keeps_names, text_batches
 from rippleframe.session import durable
 
 ORDER = 5
@@ -278,6 +278,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
 
 
+@keeps_names
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, columns: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``keep``; columns of these names are replaced.
 
@@ -311,6 +312,7 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     )
 
 
+@keeps_names
 def filter_documents(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
     return judge(docs, labels, order, quantile).where("keep").select(*docs.columns)

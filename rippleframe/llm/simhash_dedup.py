@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.llm.base import Links, keep_smallest, neighbours, text_batches, text_hash, units, whole_units
+from rippleframe.llm.base import keep_smallest, keeps_names, Links, neighbours, text_batches, text_hash, units, whole_units
 from rippleframe.llm.components import components
 from rippleframe.session import durable
 
@@ -158,6 +158,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -
     return rooted(docs, shingle, max_bits).select("doc_id", "fp", "component_id")
 
 
+@keeps_names
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id, then text hash.
 

@@ -480,3 +480,15 @@ def test_met_entries_do_not_depend_on_batches():
         out = pa.Table.from_batches(shingle_dedup._met(iter(table.to_batches(max_chunksize=size)))).to_pylist()
         assert sorted((r["cell"], r["node"], r["size"], r["centre"]) for r in out) == want
         assert all(r["centre_size"] == r["cell"] + r["centre"] for r in out)
+
+
+def test_columns_named_like_the_operators_own_come_back_unchanged(frame):
+    inner = ["__doc", "__d", "__gone", "__lines", "__block", "__id", "__step", "__trusted", "__h", "__rows"]
+    text = "one two three four five six seven eight\nnine ten eleven\ntwelve thirteen\nfourteen"
+    rows = [(k, text if k < 3 else f"{text} {k}", "en", *range(100 * k, 100 * k + len(inner))) for k in range(6)]
+    docs = frame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{c} long" for c in inner))
+    labels = frame([(k, 1) for k in range(4)], "doc_id long, quality int")
+    for out in (line_dedup.dedup_lines(docs), quality_lm.judge(docs, labels), quality_lm.judge(docs, labels, columns=["doc_id", *inner]), quality_lm.filter_documents(docs, labels), simhash_dedup.keep_one(docs), shingle_dedup.keep_one(docs)):
+        got = out.collect()
+        assert got and set(inner) <= set(out.columns)
+        assert all([r[c] for c in inner] == list(range(100 * r["doc_id"], 100 * r["doc_id"] + len(inner))) for r in got)
