@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rippleframe.functions import vectors as vec
-from rippleframe.operators.sequence import CHUNK, CORE, WHOLE, attach, chunked, running
+from rippleframe.operators.sequence import CHUNK, CORE, POS, WHOLE, attach, chunked, running
 
 
 def entry_candidates(
@@ -21,18 +21,23 @@ def entry_candidates(
     ident: str,
     embedding: str,
     max_gap: int,
-    pending: int = 200,
+    pending: int | None = None,
     min_similarity: float = 0.8,
     size: int | None = None,
 ) -> DataFrame:
-    """Best earlier exit from another room for every entry.
+    """Best earlier exit from another room for every entry, among all exits within ``max_gap``.
 
-    Only the last ``pending`` exits of a key are kept, as in a bounded exit list, so
-    an entry looks at that many rows and not at all exits of a busy key. Rows carry
-    the number of exits so far, and a range frame over that number collects the
-    pending exits. Similarity ties keep the earlier exit.
+    Exits are dealt to buckets of one gap of time, and an entry meets those of its own bucket and
+    of the one before, so what it looks at follows the exits within two gaps and no list of
+    exits is built. Similarity ties keep the earlier exit.
+
+    With ``pending`` only that many last exits of a key are kept, as in a bounded exit list:
+    rows carry the number of exits so far, and a range frame over that number collects the
+    pending exits.
     """
     key = list(key)
+    if pending is None:
+        return _within_gap(seq, key, is_exit, room, at, ident, embedding, max_gap, min_similarity)
     rows = running(seq.withColumn("_x", is_exit), key, {"_seen": ("sum", F.col("_x").cast("bigint"))})
     rows = _with_open_exits(chunked(rows, size=size), key, pending)
     exit_row = F.when(
@@ -60,6 +65,26 @@ def entry_candidates(
     )
 
 
+def _within_gap(seq: DataFrame, key: list[str], is_exit: Column, room: str, at: str, ident: str, embedding: str, max_gap: int, min_similarity: float) -> DataFrame:
+    rows = seq.select(*key, POS, F.col(ident).alias("_id"), F.col(room).alias("_room"), F.col(at).alias("_at"), is_exit.alias("_x"), vec.l2_normalize(embedding).alias("_v"))
+    bucket = F.floor(F.col("_at") / max(max_gap, 1))
+    entries = rows.where(~F.col("_x")).drop("_x")
+    exits = rows.where("_x").select(*key, bucket.alias("_b"), F.struct(POS, "_id", "_room", "_at", "_v").alias("e"))
+    asked = entries.withColumn("_b", F.explode(F.array(bucket - 1, bucket)))
+    met = attach(asked, exits, [*key, "_b"], "inner", nulls=False)
+    met = met.where((F.col("e._room") != F.col("_room")) & (F.col(f"e.{POS}") < F.col(POS)) & (F.col("_at") - F.col("e._at") <= max_gap))
+    neg = -vec.dot("e._v", "_v")
+    found = met.select(*key, POS, neg.alias("neg"), F.col(f"e.{POS}").alias("n"), F.col("e._id").alias("id"))
+    # Pairs are folded where they arise; one row per entry and task is shuffled.
+    best = found.groupBy(*key, POS).agg(F.count(F.lit(1)).alias("_c"), F.min(F.when(F.col("neg").isNotNull(), F.struct("neg", "n", "id"))).alias("_best"))
+    out = attach(entries.select(*key, POS, F.col("_id").alias(ident)), best, [*key, POS], nulls=False)
+    sim = -F.col("_best.neg")
+    return out.select(
+        *key, ident, F.coalesce("_c", F.lit(0)).cast("int").alias("candidates"), F.when(sim >= min_similarity, F.col("_best.id")).alias("exit_id"),
+        F.greatest(F.coalesce(sim, F.lit(0.0)), F.lit(0.0)).alias("similarity"),
+    )
+
+
 def _with_open_exits(rows: DataFrame, key: list[str], pending: int) -> DataFrame:
     """Add to every chunk the exits still open when it starts, flagged ``_core = false``.
 

@@ -68,7 +68,7 @@ def knn_mesh(spark, sf_dir):
   cos(sqrt(value)) AS a, sin(sqrt(value)) AS b FROM events),
 n AS (SELECT *, sum(x::INT) OVER (PARTITION BY site ORDER BY us, event_id) AS seen FROM e),
 p AS (SELECT i.site, i.event_id, o.event_id AS exit_id, o.seen, i.a * o.a + i.b * o.b AS sim FROM n i JOIN n o
-  ON i.site = o.site AND NOT i.x AND o.x AND o.room <> i.room AND o.seen BETWEEN i.seen - 199 AND i.seen AND i.us - o.us <= 3600000000
+  ON i.site = o.site AND NOT i.x AND o.x AND o.room <> i.room AND i.us - o.us <= 3600000000
   AND (o.us, o.event_id) < (i.us, i.event_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(sim, 12) DESC, seen) AS rk, count(*) OVER (PARTITION BY event_id) AS c FROM p)
 SELECT n.event_id, n.site, coalesce(c, 0)::INT AS candidates, CASE WHEN sim >= 0.8 THEN exit_id END AS exit_id, round(greatest(coalesce(sim, 0), 0), 6) AS similarity

@@ -187,3 +187,13 @@ def test_tracks_do_not_depend_on_the_cut_into_batches():
         state, out = steps.track(state, part.reset_index(drop=True))
         parts.append(out)
     pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)
+
+
+def test_every_open_exit_within_the_gap_is_seen(frame):
+    # 500 exits are open; only the first of them looks like the entry.
+    exits = [(1, k, 0, True, [1.0, 0.0] if k == 0 else [0.0, 1.0]) for k in range(500)]
+    rows = exits + [(1, 500, 1, False, [1.0, 0.0]), (1, 2000, 1, False, [1.0, 0.0]), (2, 3, 1, False, [1.0, 0.0]), (1, 501, 0, False, [1.0, 0.0])]
+    seq = S.sequence(frame(rows, "k int, t long, room int, x boolean, v array<double>").withColumn("i", F.col("t")), ["k"], ["t"])
+    out = {(r["k"], r["i"]): r for r in matching.entry_candidates(seq, ["k"], F.col("x"), "room", "t", "i", "v", 600).collect()}
+    assert (out[1, 500]["candidates"], out[1, 500]["exit_id"], out[1, 500]["similarity"]) == (500, 0, 1.0)
+    assert [(out[k]["candidates"], out[k]["exit_id"]) for k in ((1, 2000), (2, 3), (1, 501))] == [(0, None)] * 3
