@@ -15,13 +15,19 @@ MIN_FRAMES = 600
 MIN_STD = 1e-6
 
 
-def record(cells: DataFrame, subcarrier: str, amplitude: str, phase: str, min_frames: int = MIN_FRAMES) -> DataFrame:
-    """Baseline per subcarrier; ``ready`` says whether there were enough frames."""
-    s, c, n = F.sum(F.sin(phase)), F.sum(F.cos(phase)), F.count(F.lit(1))
+def record(cells: DataFrame, subcarrier: str, amplitude: str, phase: str, min_frames: int = MIN_FRAMES, empty: Column | None = None) -> DataFrame:
+    """Baseline per subcarrier; ``ready`` says whether there were enough frames.
+
+    ``empty`` marks the cells of the empty room; all are, if it is not given. ``occupied`` counts the others.
+    """
+    counts = F.lit(True) if empty is None else F.coalesce(empty, F.lit(False))
+    s, c, n = F.sum(F.when(counts, F.sin(phase))), F.sum(F.when(counts, F.cos(phase))), F.count(F.when(counts, 1))
+    a = F.when(counts, F.col(amplitude))
+    spread = 1 - F.least(F.try_divide(F.hypot(s, c), n), F.lit(1.0))
     return cells.groupBy(subcarrier).agg(
-        F.avg(amplitude).alias("amplitude_mean"), F.coalesce(F.var_samp(amplitude), F.lit(0.0)).alias("amplitude_variance"),
-        F.atan2(s, c).alias("phase_mean"), (1 - F.least(F.hypot(s, c) / n, F.lit(1.0))).alias("phase_dispersion"),
-        n.alias("frames"), (n >= min_frames).alias("ready"),
+        F.avg(a).alias("amplitude_mean"), F.coalesce(F.var_samp(a), F.lit(0.0)).alias("amplitude_variance"),
+        F.atan2(s, c).alias("phase_mean"), F.when(n > 0, spread).alias("phase_dispersion"),
+        n.alias("frames"), (n >= min_frames).alias("ready"), F.count(F.when(~counts, 1)).alias("occupied"),
     )
 
 

@@ -236,6 +236,14 @@ def breathing_type(bpm: Column, regularity: Column) -> Column:
     )
 
 
+def largest_step(samples: Column | str) -> Column:
+    """Largest difference of neighbouring samples; 0 for a single one."""
+    x = F.col(samples) if isinstance(samples, str) else samples
+    n = F.size(x)
+    steps = F.zip_with(F.slice(x, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: F.abs(b - a))
+    return F.coalesce(F.array_max(steps), F.lit(0.0))
+
+
 def periodicity(samples: Column | str) -> Column:
     """Largest normalised autocorrelation over lags 1 .. n/2 - 1, at least 0."""
     x = F.col(samples) if isinstance(samples, str) else samples
@@ -244,11 +252,12 @@ def periodicity(samples: Column | str) -> Column:
         c, energy = s["c"], s["e"]
 
         def at(lag):
-            head = F.slice(c, 1, F.size(c) - lag)
-            tail = F.slice(c, lag + 1, F.size(c) - lag)
+            head = F.slice(c, 1, F.greatest(F.size(c) - lag, F.lit(0)))
+            tail = F.slice(c, lag + 1, F.greatest(F.size(c) - lag, F.lit(0)))
             return total(F.zip_with(head, tail, lambda a, b: a * b)) / energy
 
-        lags = F.sequence(F.lit(1), F.floor(F.size(c) / 2).cast("int") - 1)
+        # At least one lag, so that the sequence never counts down; short windows give 0 below.
+        lags = F.sequence(F.lit(1), F.greatest(F.floor(F.size(c) / 2).cast("int") - 1, F.lit(1)))
         return F.when((F.size(c) < 4) | (energy <= 1e-18), F.lit(0.0)).otherwise(
             sc.clamp01_or_zero(F.array_max(F.transform(lags, at)))
         )

@@ -14,7 +14,7 @@ from rippleframe.operators import spectral as spec
 from rippleframe.operators import windows as win
 from rippleframe.operators.quantiles import quantiles
 from rippleframe.plans.registry import REGISTRY, Tables, epoch_us, query, r6
-from rippleframe.plans.spectral import N, RATE, WINDOWED, _dft, _windows
+from rippleframe.plans.spectral import N, RATE, WINDOWED, _dft, _if_full, _length, _windows
 from rippleframe.plans.windows import EV, NODE, node_sequence
 
 
@@ -65,14 +65,14 @@ def velocity_profile(spark, sf_dir):
 @query(
     f"""WITH {WINDOWED}, f AS ({_dft('t', 'h')}), p AS (SELECT user_id, win, k, x * x AS p, lag(x, 1) OVER w AS a, lead(x, 1) OVER w AS b, x FROM f WINDOW w AS (PARTITION BY user_id, win ORDER BY k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, win ORDER BY p DESC, k) AS rank FROM p WHERE k BETWEEN 2 AND 13 AND x >= coalesce(a, 0) AND x >= b)
-SELECT user_id, win, rank::INT AS rank, round(k * 3.75, 4) AS bpm, round(p, 5) AS power FROM r WHERE rank <= 5"""
+SELECT user_id, win, samples, rank::INT AS rank, round(k * 3.75, 4) AS bpm, round(p, 5) AS power FROM sizes LEFT JOIN (FROM r WHERE rank <= 5) USING (user_id, win)"""
 )
 def spectrum_peaks(spark, sf_dir):
-    """Five strongest local maxima between .1 and .85 Hz per window."""
-    rows = _windows(spark, sf_dir).withColumn("a", spec.spectrum_amplitude("samples"))
+    """Five strongest local maxima between .1 and .85 Hz per window; a window without one, or a shorter one, has one row of nulls."""
+    rows = _windows(spark, sf_dir).withColumn("a", _if_full(spec.spectrum_amplitude("samples")))
     peaks = bands.band_maxima("a", RATE / N, 0.1, 0.85)
-    rows = rows.select("user_id", "win", F.posexplode(peaks).alias("rank", "m"))
-    return rows.select("user_id", "win", (F.col("rank") + 1).alias("rank"), r6(F.col("m.hz") * 60, 4).alias("bpm"), r6("m.power", 5).alias("power"))
+    rows = rows.select("user_id", "win", _length(), F.posexplode_outer(peaks).alias("rank", "m"))
+    return rows.select("user_id", "win", "samples", (F.col("rank") + 1).alias("rank"), r6(F.col("m.hz") * 60, 4).alias("bpm"), r6("m.power", 5).alias("power"))
 
 
 @query(
@@ -197,10 +197,9 @@ SELECT user_id, win, round(conf, 5) AS confidence, CASE WHEN pattern = 'agonal'
 FROM e WHERE conf >= 0.1"""
 )
 def rescue_detection(spark, sf_dir):
-    """Breathing, movement and ensemble of a window in one pass over its samples."""
-    x = F.col("samples")
-    jump = F.array_max(F.transform(F.sequence(F.lit(2), F.lit(N)), lambda i: F.abs(F.element_at(x, i) - F.element_at(x, i - 1))))
-    rows = _windows(spark, sf_dir).withColumn("a", spec.spectrum_amplitude("samples"))
+    """Breathing, movement and ensemble of a window in one pass over its samples; short windows have movement only."""
+    jump = spec.largest_step("samples")
+    rows = _windows(spark, sf_dir).withColumn("a", _if_full(spec.spectrum_amplitude("samples")))
     rows = rows.withColumn("peak", spec.band_peak("a", RATE, N, 4 / 60, 40 / 60, power=False))
     est = spec.rescue_peak(F.col("peak"), "a", RATE, N, gain=7.75)
     rows = rows.select(

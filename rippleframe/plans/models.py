@@ -17,7 +17,8 @@ from rippleframe.session import durable
 CELLS = """ce AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS sc, unnest(embedding)::DOUBLE + 1 AS a,
   atan2(sin(unnest(embedding)::DOUBLE * 8), cos(unnest(embedding)::DOUBLE * 8)) AS p FROM embeddings),
 bl AS (SELECT sc, avg(a) AS m, var_samp(a) AS v, atan2(sum(sin(p)), sum(cos(p))) AS pm, 1 - least(1, sqrt(sum(sin(p))^2 + sum(cos(p))^2) / count(*)) AS d, count(*) AS n
-  FROM ce WHERE label < 5 GROUP BY sc)"""
+  FROM ce WHERE label < 5 GROUP BY sc),
+oc AS (SELECT sc, count(*) FILTER (label >= 5 OR label IS NULL) AS occupied FROM ce GROUP BY sc)"""
 
 
 def _frames(spark, sf_dir):
@@ -28,16 +29,16 @@ def _frames(spark, sf_dir):
     )
 
 
-def _baseline(frames):
-    """Empty-room baseline from the first five rooms."""
-    cells = frames.filter("label < 5").select(F.posexplode(F.arrays_zip("a", "p")).alias("sc", "c")).select("sc", "c.a", "c.p")
-    return cal.record(cells, "sc", "a", "p", min_frames=100)
+def _baseline(frames, empty="label < 5"):
+    """Empty-room baseline from the frames that ``empty`` marks; in these queries the first five rooms are the empty ones."""
+    cells = frames.select(F.expr(empty).alias("empty"), F.posexplode(F.arrays_zip("a", "p")).alias("sc", "c")).select("sc", "empty", "c.a", "c.p")
+    return cal.record(cells, "sc", "a", "p", min_frames=100, empty=F.col("empty"))
 
 
-@query(f"""WITH {CELLS} SELECT sc, round(m, 6) AS amplitude_mean, round(v, 6) AS amplitude_variance, round(pm, 6) AS phase_mean, round(d, 6) AS phase_dispersion, n AS frames, n >= 100 AS ready FROM bl""")
+@query(f"""WITH {CELLS} SELECT sc, round(m, 6) AS amplitude_mean, round(v, 6) AS amplitude_variance, round(pm, 6) AS phase_mean, round(d, 6) AS phase_dispersion, n AS frames, n >= 100 AS ready, occupied FROM bl JOIN oc USING (sc)""")
 def calibration_baseline(spark, sf_dir):
     b = _baseline(_frames(spark, sf_dir))
-    return b.select("sc", *[r6(c).alias(c) for c in ("amplitude_mean", "amplitude_variance", "phase_mean", "phase_dispersion")], "frames", "ready")
+    return b.select("sc", *[r6(c).alias(c) for c in ("amplitude_mean", "amplitude_variance", "phase_mean", "phase_dispersion")], "frames", "ready", "occupied")
 
 
 @query(

@@ -16,6 +16,7 @@ N, RATE = 32, 2.0
 
 WINDOWED = f"""{EV}, a AS (SELECT user_id, pos // 32 AS win, pos % 32 AS i, event_id, amp, count(*) OVER v AS n, avg(amp) OVER v AS m
   FROM ev WINDOW v AS (PARTITION BY user_id, pos // 32)),
+sizes AS (SELECT user_id, win, count(*) AS samples FROM a GROUP BY ALL),
 t AS (SELECT user_id, win, i, event_id, amp - m AS c, (amp - m) * (0.5 - 0.5 * cos(2 * pi() * i / 31)) AS h FROM a WHERE n = 32)"""
 
 
@@ -38,26 +39,39 @@ STATUS = """CASE WHEN conf >= 0.72 THEN 'valid' WHEN conf >= 0.45 THEN 'degraded
 
 
 def _windows(spark, sf_dir, column="amp"):
-    """Complete windows of 32 samples as arrays."""
+    """Windows of 32 samples as arrays; the last of a node may be shorter."""
     seq = win.tumbling(node_sequence(spark, sf_dir, column), N)
-    out = win.window_arrays(seq, ["user_id", "win"], column)
-    return out.filter(F.size("samples") == N)
+    return win.window_arrays(seq, ["user_id", "win"], column)
+
+
+def _length():
+    return F.size("samples").cast("bigint").alias("samples")
+
+
+def _detected(found):
+    status = F.when(F.col("samples") < N, "unavailable").when(found, "detected").otherwise("none")
+    return status.alias("status")
+
+
+def _if_full(values):
+    """Null for windows that are too short for the bins of a whole one."""
+    return F.when(F.size("samples") == N, values)
 
 
 @query(
     f"""WITH {WINDOWED}, f AS ({_dft('t', 'h')}), {_peak(2, 8)},
 c AS (SELECT *, {CONF} AS conf, 0.5 * (xl * xl - xr * xr) / (xl * xl - 2 * xm * xm + xr * xr) AS shift FROM g)
-SELECT user_id, win, round(60 * greatest(0.1, least(0.5, (k0 + greatest(-1, least(1, shift))) * 0.0625)), 5) AS bpm,
-  round(conf, 5) AS confidence, {STATUS} AS status FROM c"""
+SELECT user_id, win, CASE WHEN samples = 32 THEN round(60 * greatest(0.1, least(0.5, (k0 + greatest(-1, least(1, shift))) * 0.0625)), 5) END AS bpm,
+  coalesce(round(conf, 5), 0) AS confidence, {STATUS} AS status, samples FROM sizes LEFT JOIN c USING (user_id, win)"""
 )
 def breathing_rate(spark, sf_dir):
-    """Breathing band .1 to .5 Hz over 16 s windows at 2 Hz."""
-    rows = _windows(spark, sf_dir).withColumn("a", spec.spectrum_amplitude("samples"))
+    """Breathing band .1 to .5 Hz over 16 s windows at 2 Hz; unavailable for a shorter last window."""
+    rows = _windows(spark, sf_dir).withColumn("a", _if_full(spec.spectrum_amplitude("samples")))
     rows = rows.withColumn("peak", spec.band_peak("a", RATE, N, 0.1, 0.5, power=True))
     est = spec.vital_estimate(F.col("peak"), RATE, N, 0.1, 0.5, N / RATE, 10.0)
     return rows.select(
         "user_id", "win", r6(est["bpm"], 5).alias("bpm"), r6(est["confidence"], 5).alias("confidence"),
-        est["status"].alias("status"),
+        est["status"].alias("status"), _length(),
     )
 
 
@@ -67,22 +81,24 @@ s AS (SELECT *, greatest((k0 + 0.5 * (xl - xr) / (xl - 2 * xm + xr)) * 0.0625, 0
 r AS (SELECT s.user_id, s.win, any_value(hz) AS hz, sqrt(any_value(top)) / 7.75 AS amp, greatest(0, least(1, 3 * (any_value(top)
   + 0.5 * (coalesce(sum(x * x) FILTER (k = round(hz * 2 / 0.0625) AND hz * 2 <= 1), 0)
     + coalesce(sum(x * x) FILTER (k = round(hz * 3 / 0.0625) AND hz * 3 <= 1), 0))) / any_value(tot))) AS reg
-  FROM s JOIN f USING (user_id, win) GROUP BY s.user_id, s.win)
-SELECT user_id, win, round(hz * 60, 5) AS bpm, round(amp, 5) AS amplitude, round(reg, 5) AS regularity,
+  FROM s JOIN f USING (user_id, win) GROUP BY s.user_id, s.win),
+d AS (SELECT user_id, win, round(hz * 60, 5) AS bpm, round(amp, 5) AS amplitude, round(reg, 5) AS regularity,
   CASE WHEN hz * 60 < 6 AND reg < 0.3 THEN 'agonal' WHEN hz * 60 < 10 THEN 'shallow' WHEN hz * 60 > 30 THEN 'labored'
   WHEN reg < 0.4 THEN 'irregular' ELSE 'normal' END AS pattern FROM r
-WHERE amp >= 0.1 AND 0.4 * least(amp, 1) + 0.6 * reg >= 0.3"""
+WHERE amp >= 0.1 AND 0.4 * least(amp, 1) + 0.6 * reg >= 0.3)
+SELECT user_id, win, samples, bpm, amplitude, regularity, pattern,
+  CASE WHEN samples < 32 THEN 'unavailable' WHEN bpm IS NULL THEN 'none' ELSE 'detected' END AS status FROM sizes LEFT JOIN d USING (user_id, win)"""
 )
 def rescue_breathing(spark, sf_dir):
-    """Breathing pattern between 4 and 40 BPM; weak and unsure windows are dropped."""
-    rows = _windows(spark, sf_dir).withColumn("a", spec.spectrum_amplitude("samples"))
+    """Breathing pattern between 4 and 40 BPM; weak and unsure windows detect none, short ones are unavailable."""
+    rows = _windows(spark, sf_dir).withColumn("a", _if_full(spec.spectrum_amplitude("samples")))
     rows = rows.withColumn("peak", spec.band_peak("a", RATE, N, 4 / 60, 40 / 60, power=False))
     est = spec.rescue_peak(F.col("peak"), "a", RATE, N, gain=7.75)
-    rows = rows.select("user_id", "win", *[c.alias(n) for n, c in est.items()])
-    rows = rows.filter((F.col("amplitude") >= 0.1) & (F.col("confidence") >= 0.3))
+    rows = rows.select("user_id", "win", _length(), *[c.alias(n) for n, c in est.items()])
+    found = (F.col("amplitude") >= 0.1) & (F.col("confidence") >= 0.3)
     return rows.select(
-        "user_id", "win", *[r6(c, 5).alias(c) for c in ("bpm", "amplitude", "regularity")],
-        spec.breathing_type(F.col("bpm"), F.col("regularity")).alias("pattern"),
+        "user_id", "win", "samples", *[F.when(found, r6(c, 5)).alias(c) for c in ("bpm", "amplitude", "regularity")],
+        F.when(found, spec.breathing_type(F.col("bpm"), F.col("regularity"))).alias("pattern"), _detected(found),
     )
 
 
@@ -94,53 +110,57 @@ ALPHA = "((1 / (2 * pi() * 0.2)) / (1 / (2 * pi() * 0.2) + 0.5))"
   pow({ALPHA}, CASE WHEN i = 0 THEN 0 ELSE 1 END) AS g FROM a WHERE n = 32),
 y AS (SELECT o.user_id, o.win, o.i, sum(d.d * d.g * pow({ALPHA}, o.i - d.i)) AS y FROM d o JOIN d ON o.user_id = d.user_id AND o.win = d.win AND d.i <= o.i GROUP BY ALL),
 z AS (SELECT *, (y - avg(y) OVER (PARTITION BY user_id, win)) * (0.42 - 0.5 * cos(2 * pi() * i / 31) + 0.08 * cos(4 * pi() * i / 31)) AS h FROM y),
-f AS ({_dft('z', 'h')}), {_peak(8, 16)}
-SELECT user_id, win, round(60 * (k0 + CASE WHEN xr IS NULL THEN 0 ELSE 0.5 * (xl - xr) / (xl - 2 * xm + xr) END) * 0.0625, 5) AS bpm,
-  round(xm / 6.51, 5) AS amplitude FROM g WHERE xm / 6.51 >= 0.05 AND (xr IS NULL OR (xm > xl AND xm > xr))"""
+f AS ({_dft('z', 'h')}), {_peak(8, 16)},
+r AS (SELECT user_id, win, round(60 * (k0 + CASE WHEN xr IS NULL THEN 0 ELSE 0.5 * (xl - xr) / (xl - 2 * xm + xr) END) * 0.0625, 5) AS bpm,
+  round(xm / 6.51, 5) AS amplitude FROM g WHERE xm / 6.51 >= 0.05 AND (xr IS NULL OR (xm > xl AND xm > xr)))
+SELECT user_id, win, samples, bpm, amplitude, CASE WHEN samples < 32 THEN 'unavailable' WHEN bpm IS NULL THEN 'none' ELSE 'detected' END AS status
+FROM sizes LEFT JOIN r USING (user_id, win)"""
 )
 def rescue_heartbeat(spark, sf_dir):
-    """High-passed, Blackman-tapered peak from 30 BPM up; needs a local maximum."""
+    """High-passed, Blackman-tapered peak from 30 BPM up; needs a local maximum. Short windows are unavailable."""
     rows = _windows(spark, sf_dir).withColumn("y", spec.high_pass("samples", RATE, 0.2))
-    rows = rows.withColumn("a", spec.spectrum_amplitude("y", "blackman"))
+    rows = rows.withColumn("a", _if_full(spec.spectrum_amplitude("y", "blackman")))
     rows = rows.withColumn("peak", spec.band_peak("a", RATE, N, 30 / 60, 200 / 60, power=False))
     est = spec.rescue_peak(F.col("peak"), "a", RATE, N, gain=6.51)
-    rows = rows.filter(F.coalesce(F.col("peak.local_max"), F.lit(True)))
-    rows = rows.select("user_id", "win", est["bpm"].alias("bpm"), est["amplitude"].alias("amplitude"))
-    return rows.filter("amplitude >= 0.05").select("user_id", "win", r6("bpm", 5).alias("bpm"), r6("amplitude", 5).alias("amplitude"))
+    top = F.coalesce(F.col("peak.local_max"), F.lit(True))
+    rows = rows.select("user_id", "win", _length(), est["bpm"].alias("bpm"), est["amplitude"].alias("amplitude"), top.alias("top"))
+    found = F.col("top") & (F.col("amplitude") >= 0.05)
+    return rows.select("user_id", "win", "samples", *[F.when(found, r6(c, 5)).alias(c) for c in ("bpm", "amplitude")], _detected(found))
 
 
 @query(
-    f"""WITH {WINDOWED}, z AS (SELECT user_id, win, k, sum(c * cos(2 * pi() * k * i / 32)) AS re, -sum(c * sin(2 * pi() * k * i / 32)) AS im
-  FROM t, (SELECT unnest(range(2, 9)) AS k) GROUP BY ALL)
-SELECT t.user_id, t.win, t.i, round(sum(re * cos(2 * pi() * k * i / 32) - im * sin(2 * pi() * k * i / 32)) / 16, 6) AS filtered
-FROM t JOIN z USING (user_id, win) GROUP BY ALL"""
+    f"""WITH {WINDOWED}, w AS (SELECT user_id, win, i, n, amp, amp - m AS c FROM a),
+z AS (SELECT user_id, win, k, sum(c * cos(2 * pi() * k * i / n)) AS re, -sum(c * sin(2 * pi() * k * i / n)) AS im
+  FROM w, (SELECT unnest(range(1, 17)) AS k) WHERE k * (1 / (n * 0.5::DOUBLE)) BETWEEN 0.1::DOUBLE AND 0.5::DOUBLE GROUP BY ALL)
+SELECT w.user_id, w.win, w.i, CASE WHEN any_value(n) < 3 THEN round(any_value(amp), 6)
+  ELSE round(coalesce(sum(re * cos(2 * pi() * k * i / n) - im * sin(2 * pi() * k * i / n)), 0) / (any_value(n) * 0.5::DOUBLE), 6) END AS filtered
+FROM w LEFT JOIN z USING (user_id, win) GROUP BY w.user_id, w.win, w.i"""
 )
 def bandpass(spark, sf_dir):
-    """Brick-wall .1 to .5 Hz per window, back to one row per sample."""
+    """Brick-wall .1 to .5 Hz per window, a shorter last one included, back to one row per sample."""
     rows = _windows(spark, sf_dir).withColumn("y", spec.bandpass("samples", RATE, 0.1, 0.5))
     rows = rows.select("user_id", "win", F.posexplode("y").alias("i", "y"))
     return rows.select("user_id", "win", "i", r6("y").alias("filtered"))
 
 
 @query(
-    f"""WITH {WINDOWED}, q AS (SELECT user_id, win, var_pop(c) AS v, sum(c * c) AS e, max(j) AS j FROM (SELECT *, abs(c - lag(c) OVER (PARTITION BY user_id, win ORDER BY i)) AS j FROM t) GROUP BY ALL),
-l AS (SELECT x.user_id, x.win, y.i - x.i AS lag, sum(x.c * y.c) AS s FROM t x JOIN t y ON x.user_id = y.user_id AND x.win = y.win AND y.i > x.i AND y.i - x.i < 16 GROUP BY ALL),
-p AS (SELECT q.user_id, q.win, any_value(v) AS v, any_value(j) AS j, greatest(0, max(s / e)) AS per FROM q JOIN l USING (user_id, win) GROUP BY ALL)
-SELECT user_id, win, round(v, 6) AS variance, round(j, 6) AS max_step, round(per, 6) AS periodicity,
+    f"""WITH {WINDOWED}, w AS (SELECT user_id, win, i, n, amp - m AS c FROM a),
+q AS (SELECT user_id, win, any_value(n) AS samples, var_pop(c) AS v, sum(c * c) AS e, coalesce(max(j), 0) AS j FROM (SELECT *, abs(c - lag(c) OVER (PARTITION BY user_id, win ORDER BY i)) AS j FROM w) GROUP BY ALL),
+l AS (SELECT x.user_id, x.win, y.i - x.i AS lag, sum(x.c * y.c) AS s FROM w x JOIN w y ON x.user_id = y.user_id AND x.win = y.win AND y.i > x.i AND y.i - x.i < x.n // 2 AND x.n >= 4 GROUP BY ALL),
+p AS (SELECT q.user_id, q.win, any_value(samples) AS samples, any_value(v) AS v, any_value(j) AS j, greatest(0, coalesce(max(CASE WHEN e > 1e-18 THEN s / e END), 0)) AS per FROM q LEFT JOIN l USING (user_id, win) GROUP BY ALL)
+SELECT user_id, win, samples, round(v, 6) AS variance, round(j, 6) AS max_step, round(per, 6) AS periodicity,
   round(0.6 * least(v, 1) + 0.4 * least(j / 0.5, 1), 6) AS intensity,
   CASE WHEN v < 0.05 AND j < 0.1 THEN 'none' WHEN j > 0.5 AND v > 0.1 THEN 'gross' WHEN per > 0.3 AND v < 0.2 THEN 'periodic'
   WHEN per > 0.3 THEN 'tremor' WHEN v > 0.05 THEN 'fine' ELSE 'none' END AS movement FROM p"""
 )
 def movement_class(spark, sf_dir):
-    """Variance, largest step and autocorrelation periodicity per window, on the JVM."""
-    x = F.col("samples")
-    step = F.transform(F.sequence(F.lit(2), F.lit(N)), lambda i: F.abs(F.element_at(x, i) - F.element_at(x, i - 1)))
+    """Variance, largest step and autocorrelation periodicity per window, a shorter last one included, on the JVM."""
     rows = _windows(spark, sf_dir).select(
-        "user_id", "win", vec.var_pop("samples").alias("v"), F.array_max(step).alias("j"),
+        "user_id", "win", _length().alias("n"), vec.var_pop("samples").alias("v"), spec.largest_step("samples").alias("j"),
         spec.periodicity("samples").alias("p"),
     )
     return rows.select(
-        "user_id", "win", r6("v").alias("variance"), r6("j").alias("max_step"), r6("p").alias("periodicity"),
+        "user_id", "win", F.col("n").alias("samples"), r6("v").alias("variance"), r6("j").alias("max_step"), r6("p").alias("periodicity"),
         r6(spec.movement_intensity(F.col("v"), F.col("j"))).alias("intensity"),
         spec.movement(F.col("v"), F.col("j"), F.col("p")).alias("movement"),
     )
@@ -173,24 +193,25 @@ wt AS (SELECT *, exp(-abs(atan2(sin(coalesce(fwd, bwd)), cos(coalesce(fwd, bwd))
 r AS (SELECT label, vec_id, sum(x * w) / sum(w) AS r FROM wt GROUP BY ALL),
 o AS (SELECT label, r, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM r),
 a AS (SELECT label AS user_id, pos // 32 AS win, pos % 32 AS i, r, count(*) OVER v AS n, avg(r) OVER v AS m FROM o WINDOW v AS (PARTITION BY label, pos // 32)),
+sizes AS (SELECT user_id, win, count(*) AS samples FROM a GROUP BY ALL),
 t AS (SELECT user_id, win, i, (r - m) * (0.5 - 0.5 * cos(2 * pi() * i / 31)) AS h FROM a WHERE n = 32), f AS ("""
     + _dft("t", "h")
     + f"""), {_peak(4, 8)}, c AS (SELECT *, {CONF} AS conf, 0.5 * (xl * xl - xr * xr) / (xl * xl - 2 * xm * xm + xr * xr) AS shift FROM g)
-SELECT user_id AS label, win, round(60 * greatest(0.8, least(2.0, (k0 + greatest(-1, least(1, shift))) * 0.25)), 5) AS bpm,
-  round(conf, 5) AS confidence, {STATUS} AS status FROM c"""
+SELECT user_id AS label, win, CASE WHEN samples = 32 THEN round(60 * greatest(0.8, least(2.0, (k0 + greatest(-1, least(1, shift))) * 0.25)), 5) END AS bpm,
+  coalesce(round(conf, 5), 0) AS confidence, {STATUS} AS status, samples FROM sizes LEFT JOIN c USING (user_id, win)"""
 )
 def heart_rate(spark, sf_dir):
-    """Heart band .8 to 2 Hz over four-second windows of room frames at 8 Hz."""
+    """Heart band .8 to 2 Hz over four-second windows of room frames at 8 Hz; unavailable for a shorter last window."""
     em = Tables(spark, sf_dir).embeddings
     rows = em.select("label", "vec_id", _residual().alias("r"))
     seq = win.tumbling(seqs.sequence(rows, ["label"], ["vec_id"]), N)
-    rows = win.window_arrays(seq, ["label", "win"], "r").filter(F.size("samples") == N)
-    rows = rows.withColumn("a", spec.spectrum_amplitude("samples"))
+    rows = win.window_arrays(seq, ["label", "win"], "r")
+    rows = rows.withColumn("a", _if_full(spec.spectrum_amplitude("samples")))
     rows = rows.withColumn("peak", spec.band_peak("a", 8.0, N, 0.8, 2.0, power=True))
     est = spec.vital_estimate(F.col("peak"), 8.0, N, 0.8, 2.0, 4.0, 3.0)
     return rows.select(
         "label", "win", r6(est["bpm"], 5).alias("bpm"), r6(est["confidence"], 5).alias("confidence"),
-        est["status"].alias("status"),
+        est["status"].alias("status"), _length(),
     )
 
 

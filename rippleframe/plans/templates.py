@@ -23,26 +23,27 @@ _LISTS = ", ".join(f"({i}, [{', '.join(repr(round(x[0], 12)) for x in t)}]::DOUB
 
 
 @query(
-    f"""WITH RECURSIVE {EV}, w AS (SELECT user_id, pos // 12 AS win, list(amp ORDER BY pos) AS a FROM ev GROUP BY ALL HAVING count(*) = 12),
-g AS (SELECT w.*, t.k, t.b FROM w, (VALUES {_LISTS}) t(k, b)),
+    f"""WITH RECURSIVE {EV}, w AS (SELECT user_id, pos // 12 AS win, list(amp ORDER BY pos) AS a FROM ev GROUP BY ALL),
+g AS (SELECT w.*, t.k, t.b FROM w, (VALUES {_LISTS}) t(k, b) WHERE len(a) = 12),
 r AS (SELECT user_id, win, k, a, b, 1 AS i, 1 AS j, [0.0] || list_transform(range(12), lambda x: 'inf'::DOUBLE) AS prev, ['inf'::DOUBLE] AS cur FROM g
   UNION ALL SELECT user_id, win, k, a, b, CASE WHEN j = 12 THEN i + 1 ELSE i END, CASE WHEN j = 12 THEN 1 ELSE j + 1 END,
     CASE WHEN j = 12 THEN nxt ELSE prev END, CASE WHEN j = 12 THEN ['inf'::DOUBLE] ELSE nxt END
   FROM (SELECT *, list_append(cur, CASE WHEN abs(i - j) <= 3 THEN abs(a[i] - b[j]) + least(prev[j + 1], cur[j], prev[j]) ELSE 'inf'::DOUBLE END) AS nxt FROM r WHERE i <= 12)),
 d AS (SELECT user_id, win, k, prev[13] AS d FROM r WHERE i = 13),
 s AS (SELECT user_id, win, arg_min(k, (d, k)) AS k, min(d) AS best, list_sort(list(d))[2] AS second FROM d GROUP BY ALL)
-SELECT user_id, win, CASE WHEN best <= 3 THEN CASE k WHEN 0 THEN 'wave' WHEN 1 THEN 'push' ELSE 'hold' END END AS gesture, round(best, 6) AS distance,
-  round(CASE WHEN best <= 3 THEN 1 - best / second ELSE 0 END, 6) AS confidence FROM s"""
+SELECT w.user_id, w.win, CASE WHEN best <= 3 THEN CASE k WHEN 0 THEN 'wave' WHEN 1 THEN 'push' ELSE 'hold' END END AS gesture, round(best, 6) AS distance,
+  round(CASE WHEN best <= 3 THEN 1 - best / second ELSE 0 END, 6) AS confidence, len(a) AS samples FROM w LEFT JOIN s ON w.user_id = s.user_id AND w.win = s.win"""
 )
 def gesture_classify(spark, sf_dir):
-    """Nearest template by banded time warping of twelve-sample windows."""
+    """Nearest template by banded time warping of twelve-sample windows; a shorter one has no gesture and confidence 0."""
     seq = win.tumbling(node_sequence(spark, sf_dir, "amp"), 12)
-    rows = win.window_arrays(seq, ["user_id", "win"], "amp").filter(F.size("samples") == 12)
+    rows = win.window_arrays(seq, ["user_id", "win"], "amp")
     shapes = {n: [[round(x[0], 12)] for x in t] for n, t in SHAPES.items()}
-    rows = rows.withColumn("d", tpl.template_distances("samples", shapes, 1, band=3))
-    c = tpl.classify("d", list(SHAPES), 3.0)
-    rows = rows.select("user_id", "win", c.alias("c"))
-    return rows.select("user_id", "win", F.col("c.name").alias("gesture"), r6("c.distance").alias("distance"), r6("c.confidence").alias("confidence"))
+    whole = F.size("samples") == 12
+    rows = rows.withColumn("d", F.when(whole, tpl.template_distances("samples", shapes, 1, band=3)))
+    c = F.when(whole, tpl.classify("d", list(SHAPES), 3.0))
+    rows = rows.select("user_id", "win", F.size("samples").cast("bigint").alias("samples"), c.alias("c"))
+    return rows.select("user_id", "win", "samples", F.col("c.name").alias("gesture"), r6("c.distance").alias("distance"), F.coalesce(r6("c.confidence"), F.lit(0.0)).alias("confidence"))
 
 
 APS = [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (0.0, 30.0), (15.0, 40.0)]

@@ -397,29 +397,29 @@ def robust_scale(spark, sf_dir):
 
 @query(
     f"""WITH {EV}, d AS (SELECT *, pos // 16 AS win, amp - lag(amp) OVER (PARTITION BY user_id ORDER BY pos) AS d FROM ev),
-m AS (SELECT user_id, win, sum(d * d) AS energy, avg(amp) AS mean_value, var_pop(amp) AS var_value
-  FROM d GROUP BY ALL HAVING count(*) = 16),
+m AS (SELECT user_id, win, count(*) AS n, avg(d * d) AS energy, avg(amp) AS mean_value, var_pop(amp) AS var_value
+  FROM d GROUP BY ALL),
 b AS (SELECT user_id, arg_max(win, (energy, -win)) AS win FROM m WHERE win > 0 GROUP BY user_id)
-SELECT m.user_id, m.win AS present_win, round(m.mean_value - e.mean_value, 6) AS mean_delta,
+SELECT e.user_id, m.win AS present_win, m.n AS present_samples, round(m.mean_value - e.mean_value, 6) AS mean_delta,
   round(m.var_value - e.var_value, 6) AS var_delta
-FROM b JOIN m ON b.user_id = m.user_id AND b.win = m.win JOIN m e ON e.user_id = b.user_id AND e.win = 0"""
+FROM m e LEFT JOIN b USING (user_id) LEFT JOIN m ON m.user_id = b.user_id AND m.win = b.win WHERE e.win = 0"""
 )
 def empty_vs_present(spark, sf_dir):
-    """First segment against the segment with the highest motion energy of the node."""
+    """First segment against the segment with the highest mean motion energy of the node; nulls for a node of one segment."""
     rows = win.tumbling(win.steps(node_sequence(spark, sf_dir, "amp"), NODE, "amp"), 16)
     seg = rows.groupBy("user_id", "win").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("step") * F.col("step")).alias("energy"),
+        F.avg(F.col("step") * F.col("step")).alias("energy"),
         F.struct(F.avg("amp").alias("m"), F.var_pop("amp").alias("v")).alias("s"),
-    ).filter("n = 16")
+    )
     out = seg.groupBy("user_id").agg(
         F.max(F.when(F.col("win") == 0, F.col("s"))).alias("empty"),
         F.max_by(
-            F.struct("win", "s"), F.when(F.col("win") > 0, F.struct(F.col("energy"), -F.col("win")))
+            F.struct("win", "n", "s"), F.when(F.col("win") > 0, F.struct(F.col("energy"), -F.col("win")))
         ).alias("present"),
-    ).filter("empty IS NOT NULL AND present.win > 0")
+    )
     return out.select(
-        "user_id", F.col("present.win").alias("present_win"),
+        "user_id", F.col("present.win").alias("present_win"), F.col("present.n").alias("present_samples"),
         r6(F.col("present.s.m") - F.col("empty.m")).alias("mean_delta"),
         r6(F.col("present.s.v") - F.col("empty.v")).alias("var_delta"),
     )
