@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleframe.llm import byte_bpe, embedding_dedup, fim, html_extract, license_scan, line_dedup, mixing, packing, quality_lm, simhash_dedup, spelling, topk_search, toxicity
+from rippleframe.llm.base import WORD
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -35,12 +36,13 @@ OP1_SQL = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % {line_dedup.MODULUS} AS h FROM l),
-r AS (SELECT *, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {line_dedup.BASE} + h) % {line_dedup.MODULUS})
-  % {line_dedup.MEAN_LINES} = 0 AS ends FROM h),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % {line_dedup.MODULUS} AS h, len(regexp_extract_all(line, '{WORD}')) >= {line_dedup.LONG_WORDS} AS long FROM l),
+q AS (SELECT *, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {line_dedup.BASE} + h) % {line_dedup.MODULUS})
+  % {line_dedup.HIT_LINES} = 0 AS hit FROM h),
+r AS (SELECT *, long OR lead(long, 1, false) OVER w OR (hit AND NOT lag(hit OR long, 1, true) OVER w) AS ends FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
-k AS (SELECT doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM c GROUP BY doc_id, no),
-m AS (SELECT *, n >= {line_dedup.MIN_LINES} AND row_number() OVER (PARTITION BY t, n ORDER BY doc_id, no) > 1 AS gone FROM k)
+k AS (SELECT doc_id, no, count(*) AS n, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS t FROM c GROUP BY doc_id, no),
+m AS (SELECT *, (n >= {line_dedup.MIN_LINES} OR long) AND row_number() OVER (PARTITION BY t, n ORDER BY doc_id, no) > 1 AS gone FROM k)
 SELECT doc_id, count(*) AS n_chunks, count_if(gone)::BIGINT AS removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
   md5(coalesce(string_agg(t, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_md5
 FROM m GROUP BY doc_id

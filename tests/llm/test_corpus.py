@@ -1,5 +1,6 @@
 """Corpus operators against brute force, exact round trips and held-out accuracy, with nulls, ties, empty tables and clashing columns."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -133,6 +134,19 @@ def test_pipeline_drops_every_near_copy(frame, spark, cell_rows, monkeypatch):
     assert P.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def line_chunks(text):
+    lines = text.split("\n")
+    h = [int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % line_dedup.MODULUS for s in lines]
+    hit = [((h[i - 1] if i else 0) * line_dedup.BASE + h[i]) % line_dedup.MODULUS % line_dedup.HIT_LINES == 0 for i in range(len(h))]
+    long = [len(re.findall(r"[^\x20\x09-\x0d]+", s)) >= 50 for s in lines]
+    out, own = [], []
+    for i, line in enumerate(lines):
+        own.append(line)
+        if i == len(lines) - 1 or long[i] or long[i + 1] or (i and hit[i] and not hit[i - 1] and not long[i - 1]):
+            out, own = [*out, (own, len(own) >= 2 or long[i])], []
+    return out
+
+
 def test_line_dedup_cuts_repeats_and_keeps_the_rest(docs):
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).where("doc_id is not null").collect()}
     source = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -143,25 +157,34 @@ def test_line_dedup_cuts_repeats_and_keeps_the_rest(docs):
         text, left = source[k], out[k]["text"]
         if text is None:
             continue
-        h = [int(__import__("hashlib").md5(s.encode()).hexdigest()[:8], 16) % line_dedup.MODULUS for s in text.split("\n")]
-        ends = [((h[i - 1] if i else 0) * line_dedup.BASE + h[i]) % line_dedup.MODULUS % line_dedup.MEAN_LINES == 0 for i in range(len(h))]
-        chunks, own = [], []
-        for line, end in zip(text.split("\n"), ends):
-            own.append(line)
-            if end:
-                chunks, own = [*chunks, own], []
-        chunks = [*chunks, own] if own else chunks
         kept = []
-        for c in chunks:
-            if len(c) < 2 or tuple(c) not in seen:
+        for c, counts in line_chunks(text):
+            if not counts or tuple(c) not in seen:
                 kept.append("\n".join(c))
-            if len(c) >= 2:
+            if counts:
                 seen.add(tuple(c))
         assert left == "\n".join(kept)
     assert sum(r["removed_lines"] for r in out.values()) >= 4 * 6
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_long_lines_stay_once(frame):
+    rng = random.Random(3)
+    long = [" ".join(f"{letter}{k}" for k in range(n)) for letter, n in (("a", 50), ("b", 200))]
+    less = " ".join(f"c{k}" for k in range(49))
+    rows = []
+    for k in range(30):
+        around = [" ".join(str(rng.random()) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(0, 5))]
+        at = rng.randint(0, len(around))
+        rows.append((k, "\n".join([*around[:at], long[k % 2], *around[at:]])))
+    rows += [(100 + k, long[1]) for k in range(5)] + [(200 + k, less) for k in range(5)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        gone = 1 < k < 200
+        assert got[k]["text"] == ("\n".join(s for s in text.split("\n") if s not in long) if gone else text)
+        assert got[k]["removed_chunks"] == got[k]["removed_lines"] == int(gone)
+
+
 def test_mixing_meets_targets(docs, frame):
     plan = mixing.plan(docs).collect()
     assert len(plan) == docs.count()
