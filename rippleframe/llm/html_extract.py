@@ -38,22 +38,40 @@ CLOSES_P = BLOCK - {"body", "html", "dt", "dd", "li", "option", "optgroup"}
 #: What is inside closes nothing outside.
 CLOSED = frozenset("object template".split())
 SCOPE = CLOSED | frozenset("table td th caption html body button".split())
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Deeper elements are rendered as parts of the one at this depth, so nesting cannot exhaust the stack.
 DEPTH = 200
+#: Cells are padded to this many columns at most, so that one wide cell does not blow up all rows; their text stays whole.
+WIDEST = 80
+#: A tag that the page ends in; the standard drops it.
+UNFINISHED = re.compile(r"<[A-Za-z/!?]")
+INTEGER = re.compile(r"\s*[-+]?\d{1,9}")
 
 
 @dataclass
 class Node:
     tag: str
     children: list[Node | str] = field(default_factory=list)
-    start: int = 1
+    start: int | None = None
     hidden: bool = False
+    seen: bool = True
+    reverse: bool = False
+    span: int = 1
+
+
+def integer(text: str | None) -> int | None:
+    """The integer an attribute starts with."""
+    found = INTEGER.match(text or "")
+    return int(found.group()) if found else None
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the tree; elements a reader does not see are marked hidden."""
+    """Builds the tree; elements a reader does not see are marked hidden.
+
+    Visibility, which an element inside may set again, is told apart from what is not rendered at all.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -90,8 +108,13 @@ class TreeBuilder(HTMLParser):
             self._close(*IMPLIED[tag])
         own = dict(attrs)
         node = Node(tag, hidden=bool(tag in HIDDEN or "hidden" in own or (tag == "input" and own.get("type") == "hidden") or UNSEEN.search(own.get("style") or "")))
-        if tag == "ol" and re.fullmatch(r"-?\d{1,9}", own.get("start") or ""):
-            node.start = int(own["start"])
+        said = VISIBILITY.findall(own.get("style") or "")
+        node.seen = said[-1].lower() == "visible" if said else self.open[-1].seen
+        if tag in ("ol", "li"):
+            node.start = integer(own.get("start" if tag == "ol" else "value"))
+            node.reverse = "reversed" in own
+        if tag in ("td", "th"):
+            node.span = min(max(integer(own.get("colspan")) or 1, 1), 1000)
         if tag == "img":
             node.children.append(own.get("alt") or "")
         self.open[-1].children.append(node)
@@ -106,7 +129,7 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.in_title = False
         if tag == "p" and not any(n.tag == "p" for n in self.open):
-            self.open[-1].children.append(Node("p"))
+            self.open[-1].children.append(Node("p", seen=self.open[-1].seen))
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
@@ -139,9 +162,10 @@ class Renderer:
         self.gap = 0
         self.indent = ""
         self.marker = ""
+        self.seen = True
 
     def text(self, data: str, pre: bool) -> None:
-        if pre:
+        if pre and self.seen:
             parts = data.split("\n")
             for k, part in enumerate(parts):
                 if k:
@@ -153,7 +177,7 @@ class Renderer:
     def put(self, data: str, pre: bool) -> None:
         if not pre and (not self.line or self.line.endswith(" ")):
             data = data.lstrip(" ")
-        if not data:
+        if not data or not self.seen:
             return
         if not self.line and self.gap > 1 and self.lines and self.lines[-1]:
             self.lines.append("")
@@ -178,7 +202,10 @@ class Renderer:
 
 
 def render(node: Node, out: Renderer, pre: bool = False, depth: int = 0) -> None:
-    number = node.start
+    number, step = 1 if node.start is None else node.start, -1 if node.reverse else 1
+    if node.reverse and node.start is None:
+        number = sum(isinstance(c, Node) and c.tag == "li" and not c.hidden for c in node.children)
+    outer, out.seen = out.seen, node.seen
     for child in node.children:
         if isinstance(child, str):
             out.text(child, pre)
@@ -186,6 +213,8 @@ def render(node: Node, out: Renderer, pre: bool = False, depth: int = 0) -> None
         if child.hidden:
             continue
         tag = child.tag
+        if tag in ("br", "hr") and not child.seen:
+            continue
         if tag == "br":
             out.flush(True)
         elif tag == "hr":
@@ -202,8 +231,9 @@ def render(node: Node, out: Renderer, pre: bool = False, depth: int = 0) -> None
             out.block(depth == 0)
         elif tag == "li":
             out.block(False)
+            number = number if child.start is None else child.start
             out.marker = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            number += step
             render(child, out, pre, depth)
             out.block(False)
             out.marker = ""
@@ -216,6 +246,7 @@ def render(node: Node, out: Renderer, pre: bool = False, depth: int = 0) -> None
             out.indent = before
         else:
             render(child, out, pre or tag == "textarea", depth)
+    out.seen = outer
 
 
 def cells(node: Node) -> Iterator[Node]:
@@ -226,7 +257,7 @@ def cells(node: Node) -> Iterator[Node]:
             continue
         if isinstance(child, Node) and child.tag in ("tr", "thead", "tbody", "tfoot"):
             if loose:
-                yield Node("tr", loose)
+                yield Node("tr", loose, seen=node.seen)
                 loose = []
             if child.tag == "tr":
                 yield child
@@ -235,46 +266,53 @@ def cells(node: Node) -> Iterator[Node]:
         elif node.tag != "table" and not (isinstance(child, str) and not child.strip()):
             loose.append(child)
     if loose:
-        yield Node("tr", loose)
+        yield Node("tr", loose, seen=node.seen)
 
 
 def table(node: Node, out: Renderer) -> None:
-    """Cells padded to the width of their column; a cell's own lines are joined by spaces.
+    """Cells padded to the width of their column, ``WIDEST`` at most; a cell's own lines are joined by spaces.
 
-    A table of one column is laid out as blocks. Text beside the rows, as captions are, comes first.
+    A cell that spans columns takes their width and what would part them. Cells that span rows
+    stand in their first row alone. A table of one column is laid out as blocks. Text beside the
+    rows, as captions are, comes first.
     """
-    grid = []
+    grid: list[list[tuple[int, int, str]]] = []  # column, span and text
     for tr in cells(node):
-        row = []
+        row, at = [], 0
         for cell in tr.children:
-            if isinstance(cell, Node) and cell.hidden:
+            if isinstance(cell, Node) and cell.hidden or isinstance(cell, str) and not cell.strip():
                 continue
-            if isinstance(cell, Node) and cell.tag in ("td", "th"):
-                own = Renderer()
-                render(cell, own)
-                row.append(own.done())
-            elif not isinstance(cell, str) or cell.strip():
-                own = Renderer()
-                render(Node("td", [cell]), own)
-                row.append(own.done())
+            if not isinstance(cell, Node) or cell.tag not in ("td", "th"):
+                cell = Node("td", [cell], seen=tr.seen)
+            own = Renderer()
+            render(cell, own)
+            row.append((at, cell.span, own.done()))
+            at += cell.span
         grid.append(row)
     out.block(True)
     for child in node.children:
         if isinstance(child, str) or child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            render(Node("div", [child]), out)
+            render(Node("div", [child], seen=node.seen), out)
             out.block(False)
-    columns = max(map(len, grid), default=0)
-    if columns <= 1:
+    if max(map(len, grid), default=0) <= 1:
         for row in grid:
-            for line in (row[0].split("\n") if row else []):
+            for line in (row[0][2].split("\n") if row else []):
                 out.put(line, False)
                 out.block(False)
     else:
-        flat = [[SPACE.sub(" ", c) for c in row] for row in grid]
-        wide = [max((width(row[k]) for row in flat if len(row) > k), default=0) for k in range(columns)]
+        flat = [[(at, span, SPACE.sub(" ", c)) for at, span, c in row] for row in grid]
+        wide: dict[int, int] = {}
+        for at, span, c in (cell for row in flat for cell in row):
+            if span == 1:
+                wide[at] = max(wide.get(at, 0), min(width(c), WIDEST))
+
+        def room(at: int, span: int) -> int:
+            # What parts the columns alone fills the limit of a cell that spans many.
+            return min(3 * (span - 1) + sum(wide.get(k, 0) for k in range(at, at + min(span, WIDEST))), WIDEST)
+
         for row in flat:
-            if any(row):
-                out.put(" | ".join(c + " " * (wide[k] - width(c)) for k, c in enumerate(row)).rstrip(), True)
+            if any(c for _, _, c in row):
+                out.put(" | ".join(c + " " * (room(at, span) - width(c)) for at, span, c in row).rstrip(), True)
                 out.block(False)
     out.block(True)
 
@@ -283,8 +321,9 @@ def extract(html: str | None) -> tuple[str | None, str | None]:
     """(title, visible text) of a page; both null for a null page, empty texts if there is nothing to see."""
     if html is None:
         return None, None
+    cut = UNFINISHED.search(html, html.rfind(">") + 1)
     tree = TreeBuilder()
-    tree.feed(html)
+    tree.feed(html[: cut.start()] if cut else html)
     tree.close()
     out = Renderer()
     render(tree.root, out)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -515,3 +516,26 @@ def test_columns_named_like_the_operators_own_come_back_unchanged(frame):
         got = out.collect()
         assert got and set(inner) <= set(out.columns)
         assert all([r[c] for c in inner] == list(range(100 * r["doc_id"], 100 * r["doc_id"] + len(inner))) for r in got)
+
+
+def test_html_wide_cells_spans_lists_and_visibility():
+    text = lambda h: html_extract.extract(h)[1]
+    assert text("<table><tr><th colspan=2>Head<th>Z<tr><td>a<td>bbbb<td>c</table>") == "Head     | Z\na | bbbb | c"
+    assert text("<table><tr><td colspan=x>a<td colspan=0>b<tr><td>cc<td>d</table>") == "a  | b\ncc | d"
+    wide = text("<table>" + "<tr><td>x<td>y" * 1000 + "<tr><td>" + "z" * 20000 + "<td>y</table>")
+    assert wide.count("x") == 1000 and "z" * 20000 + " | y" in wide and len(wide) < 200_000
+    assert len(text("<table>" + "<tr><td colspan=1000>x<td>y<td>z" * 2000 + "</table>")) < 200_000
+    assert text("<ol reversed><li>a<li>b</ol><ol><li value=5>x<li>y<li value=no>z</ol>") == "2. a\n1. b\n\n5. x\n6. y\n7. z"
+    assert text("<div style='visibility:hidden'>no<p style='visibility: visible'>yes <b>too</b></p>no<br><hr></div>tail") == "yes too\n\ntail"
+    assert text("<div style='display:none'>no<p style='visibility:visible'>no</p></div><table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>").strip(" |") == "yes"
+
+
+@pytest.mark.parametrize("piece", ["<a", "</a", "<!--", '<a b="', "<div>", "<title>", "<table><tr><td>", "</p>", "<script></scrip", "&#"])
+def test_html_time_follows_length(piece):
+    def seconds(n):
+        start = time.process_time()
+        html_extract.extract("seen " + piece * n)
+        return time.process_time() - start
+
+    assert html_extract.extract("seen " + piece * 10)[1].startswith("seen")
+    assert seconds(40_000) < 12 * seconds(10_000) + 0.5
