@@ -539,3 +539,62 @@ def test_html_time_follows_length(piece):
 
     assert html_extract.extract("seen " + piece * 10)[1].startswith("seen")
     assert seconds(40_000) < 12 * seconds(10_000) + 0.5
+
+
+NOTICES = [
+    ("This code is released under the MIT License.", "MIT"), ("Copyright Acme. Released under the MIT License.", "MIT"),
+    ("Copyright 2024 Acme. Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("// Licensed under the Apache\n// License, Version 2.0 (the", "Apache-2.0"),
+    ("Copyright 2024 Acme Inc. All rights reserved.", "Proprietary"), ("This text is licensed under CC BY 4.0.", "CC-BY-4.0"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("x\n# SPDX-License-Identifier: MIT OR Zlib\ny", "MIT OR Zlib"), ("licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("MIT License\n\nCopyright (c) 2020 X\n\n" + license_scan.TEMPLATES["MIT"][1].replace(" or ", "\nor "), "MIT"), ("the license of this software is under review by MIT", None), ("nothing to see", None), ("", None),
+    ("one two " * 40_000 + "Released under the MIT License. " + "three four " * 40_000, "MIT"),
+]
+
+
+def notice_files(frame, copies):
+    rng = random.Random(8)
+    plain = "the of to and is in this by a work code use any text version people copy".split()
+    rows = [(k, None, t) for k, (t, _) in enumerate(NOTICES)] + [(50, None, None)]
+    rows += [(100 + k, f"d/{k}", " ".join(rng.choice(plain) if rng.random() < 0.3 else f"w{rng.random()}" for _ in range(60))) for k in range(150 * copies)]
+    return frame(rows, "id long, path string, text string")
+
+
+@pytest.mark.parametrize("copies", [1, 6])
+def test_license_scan_headers_do_not_depend_on_table_size(frame, copies):
+    got = {r["id"]: r["licence"] for r in license_scan.scan(notice_files(frame, copies)).collect()}
+    assert [got[k] for k in range(len(NOTICES))] == [want for _, want in NOTICES]
+    assert got[50] is None and all(got[k] is None for k in got if k >= 100)
+
+
+def test_license_statements_equal_brute_force(frame):
+    files = notice_files(frame, 1)
+    split = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+    texts = {r["id"]: split(r["text"] or "") for r in files.collect()}
+    all_terms = {t for own in license_scan.TEMPLATES.values() for s in own for t in split(s)}
+    idf = {t: min(np.log((1 + len(texts)) / (1 + sum(t in set(x) for x in texts.values()))) + 1, 8) for t in all_terms}
+    want = {}
+    for name, own in license_scan.TEMPLATES.items():
+        for s in own:
+            s = split(s)
+            vector = {t: s.count(t) * idf[t] for t in s}
+            norm = np.sqrt(sum(w * w for w in vector.values()))
+            heavy, share = [], 0
+            for t in sorted(vector, key=lambda t: (-vector[t] / norm, t)):
+                if share <= 1 - 0.75**2 + 1e-12:
+                    heavy.append(t)
+                share += (vector[t] / norm) ** 2
+            more = 1 + len(s) // 4
+            for k, words in texts.items():
+                for i, t in enumerate(words):
+                    if t in heavy:
+                        first = i - s.index(t) - more
+                        window = [x for x in words[max(first, 0) : first + len(s) + 2 * more] if x in idf]
+                        there = {x: window.count(x) * idf[x] for x in window}
+                        score = sum(w * vector.get(x, 0) for x, w in there.items()) / norm / np.sqrt(sum(w * w for w in there.values()))
+                        if score >= 0.75:
+                            want[k, max(first, 0), name] = max(score, want.get((k, max(first, 0), name), 0))
+    got = {}
+    for r in license_scan.statements(files, "id").where("place >= 0").collect():
+        at = r["id"], r["place"], r["licence"]
+        got[at] = max(r["score"], got.get(at, 0))
+    assert len(want) > 15 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
