@@ -21,15 +21,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.llm.base import text_batches
-from rippleframe.llm.fim import _slices as slices
 from rippleframe.llm.packing import worker_cache
 
 #: Pieces kept by a worker, and the longest piece that is kept, in bytes.
-CACHE, CACHE_BYTES = 300_000, 64
+CACHE, CACHE_BYTES = 200_000, 64
+#: Bytes of text handled at once; work arrays take a multiple of it.
+SLICE_BYTES = 1 << 20
 #: Longer pieces, in bytes, are merged with a queue, in time that stays almost linear.
 SHORT_PIECE = 128
 #: Columns of a block scan.
@@ -207,18 +209,29 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, number) of rows whose ``sizes`` add up to about SLICE_BYTES; a larger row stands alone."""
+    end, start = np.cumsum(sizes), 0
+    while start < len(end):
+        past = (end[start - 1] if start else 0) + SLICE_BYTES
+        stop = max(start + 1, int(np.searchsorted(end, past, side="right")))
+        yield start, stop - start
+        start = stop
+
+
 class Vocabulary:
-    """Ranks of a file, the bytes of every id, and the pieces merged so far."""
+    """The bytes of every id of a file and, with ``runs``, its ranks and the pieces merged so far."""
 
     def __init__(self, path: str, runs: tuple[np.ndarray, np.ndarray] | None = None):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
         self.table = None if runs is None else class_table(runs)
-        by_id = {i: token for token, i in self.ranks.items()}
+        by_id = {i: token for token, i in ranks.items()}
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.length = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.ranks = {} if runs is None else ranks  # decoding needs none
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, piece: bytes) -> bytes:
@@ -251,7 +264,9 @@ class Vocabulary:
         """The bytes of tokens that are placed at the offsets ``at``, without gaps."""
         length = self.length[ids]
         total = int(at[-1] + length[-1]) if len(ids) else 0
-        return self.bytes[np.repeat(self.start[ids] - at, length) + np.arange(total)]
+        place = np.repeat(self.start[ids] - at, length)
+        place += np.arange(total)
+        return self.bytes[place]
 
 
 def _vocabulary(path: str, runs: tuple[np.ndarray, np.ndarray] | None) -> Vocabulary:
@@ -272,7 +287,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, runs)
         for batch in batches:
-            for start, rows in slices(batch.column(1)):
+            for start, rows in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)):
                 part = batch.slice(start, rows)
                 raw = [v or b"" for v in part.column(1).cast(pa.binary()).to_pylist()]
                 ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=rows))
@@ -297,14 +312,17 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, None)
         for batch in batches:
-            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            at = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            upto = np.cumsum(sizes)
-            spelled = np.append(0, np.cumsum(vocabulary.length[ids]))[np.append(0, upto)]
-            out = vocabulary.decode(ids, at + np.repeat(spelled[:-1], sizes))
-            binary = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(spelled.astype(np.int32)), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary], names=["k", "ids", "decoded"])
+            counts = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            length = vocabulary.length[batch.column(1).flatten().to_numpy(zero_copy_only=False)]
+            whole = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(counts))]
+            for start, rows in slices(np.diff(whole)):
+                part, sizes = batch.slice(start, rows), counts[start : start + rows]
+                ids = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                at = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                spelled = whole[start : start + rows + 1] - whole[start]
+                out = vocabulary.decode(ids, at + np.repeat(spelled[:-1], sizes))
+                binary = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(spelled.astype(np.int32)), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binary], names=["k", "ids", "decoded"])
 
     rows = text_batches(encoded).select(F.col(key).alias("k"), "ids", "at")
     return rows.mapInArrow(run, f"k {encoded.schema[key].dataType.simpleString()}, ids array<int>, decoded binary").withColumnRenamed("k", key)

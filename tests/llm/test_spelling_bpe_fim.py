@@ -54,6 +54,12 @@ def test_bpe_equals_the_library_and_decodes_to_the_text(docs, library):
     assert byte_bpe.decode(byte_bpe.encode(docs.limit(0), PATH), PATH).count() == 0
 
 
+def test_byte_bpe_works_in_small_slices():
+    sizes = np.array([0, byte_bpe.SLICE_BYTES, 5, 3 * byte_bpe.SLICE_BYTES, 0, 7])
+    assert list(byte_bpe.slices(sizes)) == [(0, 2), (2, 1), (3, 1), (4, 2)] and not list(byte_bpe.slices(sizes[:0]))
+    assert byte_bpe.SLICE_BYTES <= 1 << 20 and not byte_bpe.Vocabulary(PATH).ranks
+
+
 def test_bpe_query_gives_digests_of_the_library_ids(spark, library):
     got = {r["doc_id"]: r for r in queries.op12_byte_bpe(spark, "/root/testdata/sf0.001").collect()}
     for r in queries.read(spark, "/root/testdata/sf0.001", "documents").collect():
