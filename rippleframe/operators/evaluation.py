@@ -20,12 +20,14 @@ KEYPOINT_SIGMAS = [
 def score_keypoints(poses: DataFrame, frame: Sequence[str], joint: str) -> DataFrame:
     """Distance, box-relative correctness and similarity of every visible keypoint.
 
-    ``poses`` has pred_x, pred_y, gt_x, gt_y and visibility.
+    ``poses`` has pred_x, pred_y, gt_x, gt_y and visibility. Lengths are roots of sums of squares, since ``hypot``
+    rounds otherwise and a keypoint at just the allowed share of its box would change sides.
     """
+    length = lambda x, y: F.sqrt(x * x + y * y)
     seen = poses.filter(F.col("visibility") >= 0.5)
-    box = seen.groupBy(*frame).agg(F.hypot(F.max("gt_x") - F.min("gt_x"), F.max("gt_y") - F.min("gt_y")).alias("_b"))
+    box = seen.groupBy(*frame).agg(length(F.max("gt_x") - F.min("gt_x"), F.max("gt_y") - F.min("gt_y")).alias("_b"))
     rows = attach(seen, box.withColumn("_b", F.greatest("_b", F.lit(1e-3))), list(frame))
-    d = F.hypot(F.col("pred_x") - F.col("gt_x"), F.col("pred_y") - F.col("gt_y"))
+    d = length(F.col("pred_x") - F.col("gt_x"), F.col("pred_y") - F.col("gt_y"))
     sigma = F.coalesce(F.get(F.array(*[F.lit(s) for s in KEYPOINT_SIGMAS]), F.col(joint).cast("int")), F.lit(0.07))
     rows = rows.withColumn("distance", d)
     oks = F.exp(-F.col("distance") * F.col("distance") / (2 * F.pow(F.col("_b"), 2) * sigma * sigma + 1e-12))

@@ -259,11 +259,12 @@ kp AS (SELECT frame, joint, sqrt((px - gx)^2 + (py - gy)^2) AS d, b, s FROM po J
 
 
 def _poses(spark, sf_dir):
+    """Places in whole hundredths: a step of 31 hundredths times a whole number is divided once, so equal distances stay equal."""
     li = Tables(spark, sf_dir).lineitem
     y = F.col("l_discount") * 100
     poses = li.select(
         F.col("l_orderkey").alias("frame"), (F.col("l_linenumber") - 1).alias("joint"), F.col("l_quantity").alias("pred_x"), y.alias("pred_y"),
-        (F.col("l_quantity") + (F.col("l_tax") - 0.04) * 37).alias("gt_x"), (y + (F.col("l_partkey") % 7 - 3) * 0.31).alias("gt_y"),
+        (F.col("l_quantity") + (F.col("l_tax") - 0.04) * 37).alias("gt_x"), (y + (F.col("l_partkey") % 7 - 3) * 31 / 100).alias("gt_y"),
         F.when(F.col("l_returnflag") == "R", 0.0).otherwise(1.0).alias("visibility"),
     )
     return ev.score_keypoints(poses, ["frame"], "joint")

@@ -2,9 +2,11 @@ import math
 import random
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from rippleframe.plans import REGISTRY
 from rippleframe.functions import triage as tr
 from rippleframe.operators import calibration as cal
 from rippleframe.operators import evaluation as ev
@@ -167,3 +169,15 @@ def test_heatmap_round_trip_and_losses(spark):
     v = np.array([0.2, -1.0, 3.0])
     got = spark.range(1).select(ev.cross_entropy(F.array(*[F.lit(float(x)) for x in v]), F.lit(0)).alias("x"), ev.smooth_l1(F.lit(-3.0)).alias("s")).first()
     assert got.x == pytest.approx(-np.log(np.exp(v[0]) / np.exp(v).sum())) and got.s == 2.5
+
+
+def test_keypoints_at_the_allowed_share_of_their_box_are_hits(spark, tmp_path):
+    # Errors of -0.93 to 0.62 in y make a box of 1.55, a fifth of which is just the smallest error.
+    rows = [(1, k + 1, part, 5.0, 0.03, 0.04, "N") for k, part in enumerate([0, 1, 2, 3, 4, 5])]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = REGISTRY["pck_oks"].build(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(REGISTRY["pck_oks"].sql).fetchall()
+    assert [tuple(r) for r in got] == want and got[0].pck_02 == 0.5
