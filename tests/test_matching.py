@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rippleframe.operators import fusion, matching, templates
+from rippleframe.operators import nearest as near
 from rippleframe.operators import sequence as S
 from rippleframe.operators.nearest import nearest
 from rippleframe.streaming import steps
@@ -197,3 +198,45 @@ def test_every_open_exit_within_the_gap_is_seen(frame):
     out = {(r["k"], r["i"]): r for r in matching.entry_candidates(seq, ["k"], F.col("x"), "room", "t", "i", "v", 600).collect()}
     assert (out[1, 500]["candidates"], out[1, 500]["exit_id"], out[1, 500]["similarity"]) == (500, 0, 1.0)
     assert [(out[k]["candidates"], out[k]["exit_id"]) for k in ((1, 2000), (2, 3), (1, 501))] == [(0, None)] * 3
+
+
+def test_nearest_by_tiles_is_brute_force_and_meets_few_rows(frame):
+    # Copies, an outlier and a crowded spot; a tile holds 16 rows, so all pairs of blocks would be 400 * 25.
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.uniform(0, 50, (300, 2)), np.full((60, 2), 7.0), np.repeat(rng.uniform(0, 50, (13, 2)), 3, axis=0), [[1e6, -1e6]]])
+    df = frame([(i, x.tolist()) for i, x in enumerate(v)], "i long, v array<double>")
+    got = {}
+    for r in nearest(df, df, "i", "i", "v", 3, "euclidean", skip_self=True, block=16).collect():
+        got.setdefault(r.i, {})[r["rank"]] = r.near_i
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    for i in range(len(v)):
+        order = sorted((d[i, j], j) for j in range(len(v)) if j != i)[:3]
+        assert [got[i][k] for k in (1, 2, 3)] == [j for _, j in order]
+    met = near._by_distance(near._sized(df, "v"), near._sized(df, "v"), "i", "i", 3, True, 16)[0].count()
+    assert met < 3 * 6 * len(v)
+
+
+def test_copies_of_a_vector_tie_by_id(frame):
+    rng = np.random.default_rng(6)
+    v = np.tile(rng.normal(size=(7, 33)), (40, 1))
+    df = frame([(i, x.tolist()) for i, x in enumerate(v)], "i long, v array<double>")
+    got = nearest(df, df, "i", "i", "v", 3, "cosine", skip_self=True, block=19).collect()
+    for r in got:
+        same = [j for j in range(r.i % 7, len(v), 7) if j != r.i]
+        assert r.near_i == same[r["rank"] - 1]
+
+
+def test_no_pair_of_entry_and_exit_leaves_a_task(frame):
+    rng = random.Random(9)
+    rows = [("s", t // 3, t, rng.random() < 0.5, rng.randrange(3), [math.cos(a), math.sin(a)]) for t in range(300) for a in [rng.uniform(0, 6)]]
+    seq = S.sequence(frame(rows, "k string, t long, i long, x boolean, room int, v array<double>"), ["k"], ["t", "i"])
+    for size in (7, 64, None):
+        out = matching.entry_candidates(seq, ["k"], F.col("x"), "room", "t", "i", "v", 25, size=size)
+        got = {r.i: (r.candidates, r.exit_id) for r in out.collect()}
+        for _, t, i, is_exit, room, v in rows:
+            if not is_exit:
+                open_exits = [(-(w[0] * v[0] + w[1] * v[1]), j) for _, u, j, x, other, w in rows if x and j < i and t - u <= 25 and other != room]
+                best = min(((round(n, 12), j) for n, j in open_exits), default=(0, None))
+                assert got[i] == (len(open_exits), best[1] if -best[0] >= 0.8 else None)
+    entry, exits = ([0, 1], [0, 0], [5, 6], [[1.0, 0.0]] * 2), ([-3, -2, -1], [7, 8, 9], [1, 1, 1], [1, 2, 3], [[0.0, 1.0], [1.0, 0.0], [1.0, 0.0]])
+    assert matching._best_exits(*entry, *exits, 3) == [(0, 2, -1.0, -2, 8), (1, 1, -1.0, -1, 9)]
