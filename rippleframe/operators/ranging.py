@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rippleframe.session import durable
+
 # Gate in deviations, step, rounds and tolerance of the descent.
 GATE, STEP, ROUNDS, TOLERANCE = 3.0, 1.0, 200, 1e-4
 SIGMA_FLOOR, DISTANCE_FLOOR = 1e-6, 1e-9
@@ -115,6 +117,9 @@ def associate(constraints: DataFrame, tracks: DataFrame, on: Sequence[str], key:
     for c in on:
         same = same & (asked[c] == there[f"_{c}"])
     off = deviation([F.col(a) for a in AXES], [F.col(c) for c in ("ax", "ay", "az")], F.col("measured"), F.col("sigma"))
-    best = asked.join(there, same).select(key, F.struct(off.alias("off"), F.col("_track").alias("track")).alias("b")).where(F.col("b.off") <= gate)
-    best = best.groupBy(F.col(key).alias("_key")).agg(F.min("b").alias("b"))
-    return constraints.select(key).join(best, F.col(key) == F.col("_key"), "left").select(key, F.col("b.track").alias(track), F.col("b.off").alias("off"))
+    met = asked.join(there, same).select(F.col(key).alias("_key"), off.alias("_off"), F.col("_track").alias("_track")).where(F.col("_off") <= gate)
+    # Minima of plain numbers are folded where the pairs arise; a minimum of pairs of numbers would have them all sorted first.
+    least = durable(met.groupBy("_key").agg(F.min("_off").alias("_least")), "least")
+    first = least.select(F.col("_key").alias("_k"), "_least")
+    best = met.join(first, (F.col("_key") == F.col("_k")) & (F.col("_off") == F.col("_least"))).groupBy("_key").agg(F.min("_track").alias("_track"), F.min("_off").alias("_off"))
+    return constraints.select(key).join(best, F.col(key) == F.col("_key"), "left").select(key, F.col("_track").alias(track), F.col("_off").alias("off"))

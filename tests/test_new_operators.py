@@ -238,3 +238,14 @@ def test_next_cell_runs_back_and_forth(frame):
     grids = frame([("a", 3, 2), ("b", 3, 2), ("full", 1, 1), ("none", 0, 0)], "g string, width int, height int")
     seen = frame([("a", 0, 0), ("a", 1, 0), ("a", 2, 0), ("a", 2, 1), ("a", 0, 1), ("a", 9, 9), ("full", 0, 0), ("full", 0, 0), ("other", 0, 0)], "g string, x int, y int")
     assert {r["g"]: (r["x"], r["y"]) for r in shared_grids.next_cell(seen, grids, ["g"]).collect()} == {"a": (1, 1), "b": (0, 0), "full": (None, None), "none": (None, None)}
+
+
+def test_associated_pairs_are_not_sorted(frame, capsys):
+    from rippleframe.operators import ranging
+
+    asked = frame([(1, i, 0.0, 0.0, 0.0, 5.0, 0.5) for i in range(4)], "g int, id int, ax double, ay double, az double, measured double, sigma double")
+    tracks = frame([(1, t, 3.0, 4.0, 0.0) for t in (9, 7, 8)] + [(1, 1, 30.0, 4.0, 0.0)], "g int, track int, x double, y double, z double")
+    out = ranging.associate(asked, tracks, ["g"], "id", "track")
+    assert sorted(tuple(r) for r in out.collect()) == [(i, 7, 0.0) for i in range(4)]
+    out.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
