@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +21,17 @@ from rippleframe.session import checkpoint_root
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a key that an update sees at once.
+SLICE_ROWS = 32_768
+
+
+def _are_vectors(column: pd.Series) -> bool:
+    """Whether a column holds number arrays of one length and none is null."""
+    if column.dtype != object or not len(column) or not all(isinstance(v, np.ndarray) for v in column):
+        return False
+    return len({len(v) for v in column}) == 1 and all(v.dtype == np.float64 for v in column)
+
+
 class UpdateProcessor(StatefulProcessor):
     """Applies an update to the rows of a key in a micro-batch, with one typed state value per key."""
 
@@ -32,15 +44,35 @@ class UpdateProcessor(StatefulProcessor):
         self._last = handle.getValueState("last", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self._order, ignore_index=True)
+        parts, vectors = [], {}
+        for part in rows:
+            for name in [c for c in part.columns if _are_vectors(part[c])]:
+                vectors.setdefault(name, {})[len(parts)] = np.stack(part.pop(name).to_numpy())
+            parts.append(part)
+        # A column of equal vectors is one matrix; where only some parts are such, all become lists again.
+        for name in list(vectors):
+            if len(vectors[name]) < len(parts) or len({m.shape[1] for m in vectors[name].values()}) > 1:
+                for k, m in vectors.pop(name).items():
+                    parts[k][name] = list(m)
+        vectors = {name: np.concatenate([by_part[k] for k in range(len(parts))]) for name, by_part in vectors.items()}
+        batch = pd.concat(parts, ignore_index=True)
+        del parts
+        batch = batch.sort_values(self._order)
+        at = batch.index.to_numpy()
         first, last = int(batch[self._order[0]].iloc[0]), int(batch[self._order[0]].iloc[-1])
         if self._last.exists() and first < self._last.get()[0]:
             raise ValueError(f"key {key}: {self._order[0]} {first} comes after {self._last.get()[0]}; feed files in event order")
-        state, out = self._update(tuple(self._value.get()) if self._value.exists() else None, batch)
+        state = tuple(self._value.get()) if self._value.exists() else None
+        # The update sees a bounded number of rows, as if they came in several micro-batches.
+        for start in range(0, len(batch), SLICE_ROWS):
+            some = batch.iloc[start : start + SLICE_ROWS].reset_index(drop=True)
+            for name, matrix in vectors.items():
+                some[name] = list(matrix[at[start : start + SLICE_ROWS]])
+            state, out = self._update(state, some)
+            out = out.assign(**dict(zip(self._key, key)))
+            yield out[[*self._key, *self._columns]]
         self._value.update(state)
         self._last.update((last,))
-        out = out.assign(**dict(zip(self._key, key)))
-        yield out[[*self._key, *self._columns]]
 
     def close(self) -> None:
         pass

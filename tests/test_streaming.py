@@ -48,3 +48,39 @@ def test_a_batch_behind_an_earlier_one_is_refused(spark, folder, tmp_path):
     schema = "user_id long, event_id long, state boolean"
     with pytest.raises(Exception, match="feed files in event order"):
         run_available(apply_update(stream, ["user_id"], steps.debounce, steps.DEBOUNCE_STATE, ["event_id"], schema), "t")
+
+
+def test_an_update_sees_slices_of_a_key_in_event_order(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from rippleframe.streaming import processors
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    def update(state, rows):
+        assert len(rows) <= 4 and all(v[0] == at for v, at in zip(rows["v"], rows["at"]))
+        n = state[0] if state else 0
+        return (n + len(rows),), pd.DataFrame({"at": rows["at"], "n": n + 1 + np.arange(len(rows))})
+
+    monkeypatch.setattr(processors, "SLICE_ROWS", 4)
+    processor = processors.UpdateProcessor(update, "n bigint", ["at"], ["at", "n"], ["k"])
+    processor.init(Handle())
+    order = np.random.default_rng(1).permutation(11)
+    parts = [pd.DataFrame({"at": order[a:b], "v": [np.array([float(x), 1.0]) for x in order[a:b]]}) for a, b in ((0, 5), (5, 11))]
+    out = list(processor.handleInputRows((3,), iter(parts), None))
+    assert len(out) == 3 and pd.concat(out)["at"].tolist() == list(range(11)) and pd.concat(out)["n"].tolist() == list(range(1, 12))
