@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -30,6 +31,25 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return memory that the Python worker has freed to the system; it serves other tasks or waits, beside a JVM with a full heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library keeps freed memory this long
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a task, with ``give_back`` at its end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Let a table have columns whose names start with two underscores, as those inside the operators do.
 

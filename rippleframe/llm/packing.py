@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rippleframe.llm.base import text_batches
+from rippleframe.llm.base import lean, text_batches
 from rippleframe.session import durable
 
 CAPACITY = 2048
@@ -78,6 +78,7 @@ def worker_cache() -> dict:
 
 
 def _pieces(path: str, capacity: int):
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
         encoder = cache.get(path) or cache.setdefault(path, Encoder(path))
@@ -96,7 +97,6 @@ def _pieces(path: str, capacity: int):
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "__task", "__rank"],
             )
         encoder.known.clear()  # the worker goes on to other tasks; only the tokenizer is kept
-        pa.default_memory_pool().release_unused()
 
     return run
 

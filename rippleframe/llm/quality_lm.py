@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rippleframe.llm.base import attach_small, keeps_names, text_batches
+from rippleframe.llm.base import attach_small, give_back, keeps_names, lean, text_batches
 from rippleframe.session import durable
 
 ORDER = 5
@@ -76,6 +76,7 @@ def _tally(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _counter(order: int):
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, parts, size = alphabet(), [], 0
         for batch in batches:
@@ -182,6 +183,7 @@ def _block_keys(order: int):
         keys = np.concatenate([pd.unique(k) for both in _keys(grams, order) for k in both])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, dtype=np.int32)), pa.array(keys)], names=["__block", "key"])
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = alphabet(), {}, {}
         for batch in batches:
@@ -226,6 +228,8 @@ def _score_block(names: Sequence[str], order: int):
         if parts:
             settle()
         step = pa.array(steps, pa.float64(), from_pandas=True).cast(pa.int64())
+        del keys, at, values, parts
+        give_back()
         return docs.select([*names, "__trusted"]).append_column("__step", step)
 
     return run

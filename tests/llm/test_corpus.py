@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -598,3 +599,25 @@ def test_license_statements_equal_brute_force(frame):
         at = r["id"], r["place"], r["licence"]
         got[at] = max(r["score"], got.get(at, 0))
     assert len(want) > 15 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    """Idle workers of earlier stages stand beside the executor's heap while later stages run."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(2000)]
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+    start = held()
+    parts = [[np.frombuffer(t.encode() * 30, np.uint8).copy(), bytes(100)] for t in texts]
+    full = held()
+    parts = [p[1] for p in parts]  # small objects stay between those that are freed
+    base.give_back()
+    assert full - start > 100 and held() - start < (full - start) / 4, len(parts)
+    calls = []
+    monkeypatch.setattr(base, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts[:3])], names=["text"])
+    entries = [(quality_lm._counter(5), batch), (shingle_dedup._entries(np.empty(0, np.uint64), 5, 0.8), batch)]
+    entries.append((quality_lm._block_keys(5), batch.append_column("__block", pa.array([0, 0, 1], pa.int32()))))
+    entries.append((shingle_dedup._met, next(entries[1][0](iter([batch])))))
+    entries.append((shingle_dedup._sets(5), pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), batch.column(0)], names=["node", "text"])))
+    for run, rows in entries:
+        calls.clear()
+        assert list(run(iter([rows]))) and len(calls) == 1, run
