@@ -32,6 +32,13 @@ def _are_vectors(column: pd.Series) -> bool:
     return len({len(v) for v in column}) == 1 and all(v.dtype == np.float64 for v in column)
 
 
+def _order(batch: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Places of the rows in the order of ``columns``."""
+    if all(batch[c].dtype.kind in "iuf" for c in columns):
+        return np.lexsort([batch[c].to_numpy() for c in reversed(columns)])
+    return batch[columns].reset_index(drop=True).sort_values(columns).index.to_numpy()
+
+
 class UpdateProcessor(StatefulProcessor):
     """Applies an update to the rows of a key in a micro-batch, with one typed state value per key."""
 
@@ -57,20 +64,20 @@ class UpdateProcessor(StatefulProcessor):
         vectors = {name: np.concatenate([by_part[k] for k in range(len(parts))]) for name, by_part in vectors.items()}
         batch = pd.concat(parts, ignore_index=True)
         del parts
-        batch = batch.sort_values(self._order)
+        batch = batch.iloc[_order(batch, self._order)]
         at = batch.index.to_numpy()
         first, last = int(batch[self._order[0]].iloc[0]), int(batch[self._order[0]].iloc[-1])
-        if self._last.exists() and first < self._last.get()[0]:
-            raise ValueError(f"key {key}: {self._order[0]} {first} comes after {self._last.get()[0]}; feed files in event order")
-        state = tuple(self._value.get()) if self._value.exists() else None
+        before, state = self._last.get(), self._value.get()  # None at first; each call goes to the JVM and back
+        if before is not None and first < before[0]:
+            raise ValueError(f"key {key}: {self._order[0]} {first} comes after {before[0]}; feed files in event order")
+        state = None if state is None else tuple(state)
         # The update sees a bounded number of rows, as if they came in several micro-batches.
         for start in range(0, len(batch), SLICE_ROWS):
             some = batch.iloc[start : start + SLICE_ROWS].reset_index(drop=True)
             for name, matrix in vectors.items():
                 some[name] = list(matrix[at[start : start + SLICE_ROWS]])
             state, out = self._update(state, some)
-            out = out.assign(**dict(zip(self._key, key)))
-            yield out[[*self._key, *self._columns]]
+            yield pd.DataFrame({**dict(zip(self._key, key)), **{c: out[c] for c in self._columns}}, index=out.index)
         self._value.update(state)
         self._last.update((last,))
 

@@ -8,6 +8,11 @@ exits that can still be linked, or the live tracks.
 
 from __future__ import annotations
 
+import math
+import struct
+import sys
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
@@ -120,16 +125,51 @@ TENTATIVE, ACTIVE, LOST, TERMINATED = range(4)
 #: Weight and scale of a fingerprint's parts: breathing, amplitude, place, heart (which may be missing).
 PRINT_WEIGHT, PRINT_SCALE = np.array([0.40, 0.25, 0.15, 0.20]), np.array([30.0, 1.0, 20.0, 80.0])
 
-#: ``var`` is the variance of a coordinate, its covariance with the speed, and the variance of the
-#: speed. Motion and noise treat the three axes alike and apart, so these three numbers are the whole covariance.
-TRACK = np.dtype([("id", "i8"), ("place", "f8", 3), ("speed", "f8", 3), ("var", "f8", 3), ("hits", "i8"), ("misses", "i8"), ("lost", "f8"), ("phase", "i8"), ("mark", "f8", 6)])
+#: A stored track: number, place, speed, var, hits, misses, seconds lost, phase, fingerprint.
+STORED = "=q3d3d3d2qdq6d"
+#: Pairs of tracks and detections from which on their costs are computed as one array.
+MANY_PAIRS = 256
+
+
+@dataclass(slots=True)
+class Track:
+    """Scans hold a few tracks, so these are plain numbers: an array operation costs more than a whole scan.
+
+    ``var`` is the variance of a coordinate, its covariance with the speed, and the variance of the
+    speed. Motion and noise treat the three axes alike and apart, so these three numbers are the whole covariance.
+    """
+
+    id: int
+    place: list[float]
+    speed: list[float]
+    var: list[float]
+    hits: int
+    misses: int
+    lost: float
+    phase: int
+    mark: list[float]
+
+
+def _live(stored: bytes) -> list[Track]:
+    return [Track(v[0], [*v[1:4]], [*v[4:7]], [*v[7:10]], *v[10:14], [*v[14:]]) for v in struct.iter_unpack(STORED, stored)]
 
 
-def _mark(p: dict | None) -> np.ndarray:
+def _stored(tracks: list[Track]) -> bytes:
+    return b"".join(struct.pack(STORED, t.id, *t.place, *t.speed, *t.var, t.hits, t.misses, t.lost, t.phase, *t.mark) for t in tracks)
+
+
+def _number(x: float | None) -> float:
+    return math.nan if x is None else float(x)
+
+
+def _finite(x: float) -> float:
+    """0 for NaN, the largest number for an infinite one."""
+    return 0.0 if math.isnan(x) else max(-sys.float_info.max, min(x, sys.float_info.max))
+
+
+def _mark(p: dict | None) -> list[float]:
     """A fingerprint as breathing, amplitude, x, y, z, heart; NaN where missing."""
-    if p is None:
-        return np.full(6, np.nan)
-    return np.array([p["b"], p["a"], *p["l"], np.nan if p.get("h") is None else p["h"]], dtype=np.float64)
+    return [math.nan] * 6 if p is None else [_number(x) for x in (p["b"], p["a"], *p["l"], p.get("h"))]
 
 
 def _mark_distance(marks: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -140,68 +180,89 @@ def _mark_distance(marks: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(gap[:, 0]), np.inf, np.nansum(parts * weight, axis=1) / np.maximum(weight.sum(axis=1), 1e-300))
 
 
-def _advance(t: np.ndarray, dt: float) -> None:
+def _advance(tracks: list[Track], dt: float) -> None:
     """Constant speed for ``dt`` seconds under white acceleration."""
-    t["place"] += dt * t["speed"]
-    var, cov, speed = t["var"].T
-    noise = PROCESS_VAR * np.array([dt**4 / 4, dt**3 / 2, dt**2])
-    t["var"] = np.stack([var + dt * (2 * cov + dt * speed), cov + dt * speed, speed], axis=1) + noise
-
-
-def _observe(t: np.ndarray, at: np.ndarray, seen: np.ndarray, marks: np.ndarray) -> None:
-    """Correct the tracks at ``at`` by places ``seen`` and blend ``marks`` in; NaN leaves a value as it is."""
-    own = t[at]
-    var, cov, _ = own["var"].T
-    known = ~np.isnan(seen).any(axis=1)
-    share = np.where(known, 1 / (var + OBS_VAR), 0.0)  # without a place nothing is learned
-    miss = np.where(known[:, None], seen - own["place"], 0.0)
-    own["place"] += (share * var)[:, None] * miss
-    own["speed"] += (share * cov)[:, None] * miss
-    own["var"] -= share[:, None] * np.stack([var * var, var * cov, cov * cov], axis=1)
-    old = np.where(np.isnan(own["mark"]), marks, own["mark"])
-    own["mark"] = np.where(np.isnan(marks), old, old + BLEND * (marks - old))
-    own["hits"] += 1
-    own["misses"], own["lost"] = 0, 0.0
-    own["phase"] = np.where(own["hits"] >= BIRTH_HITS, ACTIVE, own["phase"])
-    t[at] = own
-
-
-def _miss(t: np.ndarray, at: np.ndarray, dt: float) -> None:
-    """Age the unseen tracks at ``at``: a tentative one ends, an active one gets lost, a lost one ends in time."""
-    own = t[at]
-    phase = own["phase"].copy()
-    own["misses"] += phase == ACTIVE
-    own["lost"] += np.where(phase == LOST, max(dt, 0.0), 0.0)
-    gone = (phase == TENTATIVE) | ((phase == LOST) & (own["lost"] > MAX_LOST_S))
-    own["phase"] = np.select([gone, (phase == ACTIVE) & (own["misses"] >= MAX_MISSES)], [TERMINATED, LOST], phase)
-    t[at] = own
-
-
-def _owners(t: np.ndarray, seen: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Track of each detection, or -1, and whether it was found by fingerprint.
+    noise = PROCESS_VAR * (dt**4 / 4), PROCESS_VAR * (dt**3 / 2), PROCESS_VAR * dt**2
+    for t in tracks:
+        t.place = [x + dt * v for x, v in zip(t.place, t.speed)]
+        var, cov, speed = t.var
+        t.var = [var + dt * (2 * cov + dt * speed) + noise[0], cov + dt * speed + noise[1], speed + noise[2]]
+
+
+def _observe(t: Track, seen: list[float], mark: list[float]) -> None:
+    """Correct a track by the place ``seen`` and blend ``mark`` in; NaN leaves a value as it is."""
+    var, cov, speed = t.var
+    known = not any(map(math.isnan, seen))
+    share = 1 / (var + OBS_VAR) if known else 0.0  # without a place nothing is learned
+    miss = [a - b for a, b in zip(seen, t.place)] if known else [0.0] * 3
+    t.place = [x + share * var * m for x, m in zip(t.place, miss)]
+    t.speed = [v + share * cov * m for v, m in zip(t.speed, miss)]
+    t.var = [var - share * (var * var), cov - share * (var * cov), speed - share * (cov * cov)]
+    old = [m if math.isnan(o) else o for o, m in zip(t.mark, mark)]
+    t.mark = [o if math.isnan(m) else o + BLEND * (m - o) for o, m in zip(old, mark)]
+    t.hits += 1
+    t.misses, t.lost = 0, 0.0
+    if t.hits >= BIRTH_HITS:
+        t.phase = ACTIVE
+
+
+def _miss(t: Track, dt: float) -> None:
+    """Age an unseen track: a tentative one ends, an active one gets lost, a lost one ends in time."""
+    if t.phase == ACTIVE:
+        t.misses += 1
+        if t.misses >= MAX_MISSES:
+            t.phase = LOST
+    elif t.phase == LOST:
+        t.lost += max(dt, 0.0)
+        if t.lost > MAX_LOST_S:
+            t.phase = TERMINATED
+    elif t.phase == TENTATIVE:
+        t.phase = TERMINATED
+
+
+def _gated(tracks: list[Track], seen: list[list[float]]) -> list[tuple[float, int, int]]:
+    """(cost, track, detection) of the pairs within the gate, nearest first; an unknown place gates nothing."""
+    if len(tracks) * len(seen) < MANY_PAIRS:
+        pairs = []
+        for i, t in enumerate(tracks):
+            if t.phase <= ACTIVE:
+                (x, y, z), spread = t.place, t.var[0] + OBS_VAR
+                for j, (a, b, c) in enumerate(seen):
+                    cost = ((a - x) * (a - x) + (b - y) * (b - y) + (c - z) * (c - z)) / spread
+                    if cost <= GATE:
+                        pairs.append((cost, i, j))
+        return sorted(pairs)
+    place, spread, sight = np.array([t.place for t in tracks]), np.array([[t.var[0]] for t in tracks]) + OBS_VAR, np.array([[t.phase <= ACTIVE] for t in tracks])
+    gap = np.array(seen)[None] - place[:, None]
+    square = gap * gap
+    cost = (square[:, :, 0] + square[:, :, 1] + square[:, :, 2]) / spread
+    i, j = np.nonzero(sight & (cost <= GATE))
+    return sorted(zip(cost[i, j].tolist(), i.tolist(), j.tolist()))
+
+
+def _owners(tracks: list[Track], seen: list[list[float]], marks: list[list[float]]) -> tuple[list[int], set[int]]:
+    """Track of each detection, or -1, and the detections whose track was found by fingerprint.
 
     Tracks in sight take the nearest gated pairs first; lost ones are then found by their fingerprint.
     """
-    owner, by_mark = np.full(len(seen), -1), np.zeros(len(seen), dtype=bool)
-    if not len(t) or not len(seen):
-        return owner, by_mark
-    sight = t["phase"] <= ACTIVE
-    cost = ((seen[None] - t["place"][:, None]) ** 2).sum(axis=2) / (t["var"][:, :1] + OBS_VAR)
-    cost = np.where(sight[:, None] & (cost <= GATE), cost, np.inf)  # an unknown place gates nothing
-    while np.isfinite(cost.min()):
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        owner[j] = i
-        cost[i], cost[:, j] = np.inf, np.inf
-    free = t["phase"] == LOST
-    for j in np.flatnonzero((owner < 0) & ~np.isnan(marks[:, 0])):
-        distance = np.where(free, _mark_distance(t["mark"], marks[j]), np.inf)
-        i = int(distance.argmin())
-        if distance[i] < REID:
-            owner[j], by_mark[j], free[i] = i, True, False
+    owner, taken = [-1] * len(seen), set()
+    for _, i, j in _gated(tracks, seen):
+        if owner[j] < 0 and i not in taken:
+            owner[j] = i
+            taken.add(i)
+    by_mark: set[int] = set()
+    free = [t.phase == LOST for t in tracks]
+    for j, mark in enumerate(marks):
+        if owner[j] < 0 and not math.isnan(mark[0]) and any(free):
+            distance = np.where(free, _mark_distance(np.array([t.mark for t in tracks]), np.array(mark)), np.inf)
+            i = int(distance.argmin())
+            if distance[i] < REID:
+                owner[j], free[i] = i, False
+                by_mark.add(j)
     return owner, by_mark
 
 
-def track_scan(born: int, t: np.ndarray, dt: float, points: list) -> tuple[int, np.ndarray, list[tuple]]:
+def track_scan(born: int, tracks: list[Track], dt: float, points: list) -> tuple[int, list[Track], list[tuple]]:
     """One scan: advance, assign, re-identify, give birth, age, drop.
 
     ``points`` holds [x, y, z] or dicts with ``pos`` and ``print`` (a fingerprint), either of
@@ -209,39 +270,38 @@ def track_scan(born: int, t: np.ndarray, dt: float, points: list) -> tuple[int,
     origin. Returns (track_id, change, state, x, y) rows: detections first, then aged tracks.
     """
     points = [p if isinstance(p, dict) else {"pos": p, "print": None} for p in points]
-    seen = np.array([np.full(3, np.nan) if p["pos"] is None else p["pos"] for p in points], dtype=np.float64).reshape(-1, 3)
-    marks = np.array([_mark(p.get("print")) for p in points]).reshape(-1, 6)
-    _advance(t, dt)
-    owner, by_mark = _owners(t, seen, marks)
-    held, new = np.flatnonzero(owner >= 0), np.flatnonzero(owner < 0)
-    _observe(t, owner[held], seen[held], marks[held])
-    fresh = np.zeros(len(new), dtype=TRACK)
-    fresh["id"] = born + 1 + np.arange(len(new))
-    fresh["place"] = np.nan_to_num(seen[new])
-    fresh["var"] = [FIRST_VAR, 0.0, FIRST_VAR]
-    fresh["hits"], fresh["phase"], fresh["mark"] = 1, ACTIVE if BIRTH_HITS <= 1 else TENTATIVE, marks[new]
-    unseen = np.setdiff1d(np.arange(len(t)), owner[held])
-    owner[new] = len(t) + np.arange(len(new))
-    t = np.concatenate([t, fresh])
-    before = t["phase"].copy()
-    _miss(t, unseen, dt)
-    change = np.where(by_mark, "reidentified", "matched").astype(object)
-    change[new] = "born"
-    moved = np.flatnonzero(t["phase"] != before)
-    at = np.append(owner, moved).astype(int)
-    state = [PHASES[p] for p in t["phase"][at]]
-    out = list(zip(t["id"][at].tolist(), [*change, *state[len(owner) :]], state, *t["place"][at, :2].T.tolist()))
-    return born + len(new), t[t["phase"] != TERMINATED], out
+    seen = [[math.nan] * 3 if p["pos"] is None else [_number(x) for x in p["pos"]] for p in points]
+    marks = [_mark(p.get("print")) for p in points]
+    _advance(tracks, dt)
+    owner, by_mark = _owners(tracks, seen, marks)
+    unseen, change = set(range(len(tracks))).difference(owner), []
+    tracks = list(tracks)
+    for j, i in enumerate(owner):
+        if i >= 0:
+            _observe(tracks[i], seen[j], marks[j])
+            change.append("reidentified" if j in by_mark else "matched")
+        else:
+            born, owner[j] = born + 1, len(tracks)
+            tracks.append(Track(born, [_finite(x) for x in seen[j]], [0.0] * 3, [FIRST_VAR, 0.0, FIRST_VAR], 1, 0, 0.0, ACTIVE if BIRTH_HITS <= 1 else TENTATIVE, marks[j]))
+            change.append("born")
+    for i in sorted(unseen):
+        before = tracks[i].phase
+        _miss(tracks[i], dt)
+        if tracks[i].phase != before:
+            owner.append(i)
+            change.append(PHASES[tracks[i].phase])
+    out = [(t.id, how, PHASES[t.phase], t.place[0], t.place[1]) for t, how in zip((tracks[i] for i in owner), change)]
+    return born, [t for t in tracks if t.phase != TERMINATED], out
 
 
 def track(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
     """Tracks over scans: ``rows`` has ``scan``, ``dt`` and ``points`` (see ``track_scan``)."""
-    born, t = (state[0], np.frombuffer(bytes(state[1]), dtype=TRACK).copy()) if state else (0, np.empty(0, dtype=TRACK))
+    born, tracks = (int(state[0]), _live(bytes(state[1]))) if state else (0, [])
     out = []
     for scan, dt, points in zip(rows["scan"], rows["dt"], rows["points"]):
-        born, t, changes = track_scan(born, t, float(dt), list(points))
+        born, tracks, changes = track_scan(born, tracks, float(dt), list(points))
         out += [(scan, *c) for c in changes]
-    return (int(born), t.tobytes()), pd.DataFrame(out, columns=["scan", "track_id", "change", "state", "x", "y"])
+    return (born, _stored(tracks)), pd.DataFrame(out, columns=["scan", "track_id", "change", "state", "x", "y"])
 
 
 def upsert_survivor(state: tuple | None, rows: pd.DataFrame, radius: float = 2.0) -> tuple[tuple, pd.DataFrame]:

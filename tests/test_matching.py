@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -240,3 +241,30 @@ def test_no_pair_of_entry_and_exit_leaves_a_task(frame):
                 assert got[i] == (len(open_exits), best[1] if -best[0] >= 0.8 else None)
     entry, exits = ([0, 1], [0, 0], [5, 6], [[1.0, 0.0]] * 2), ([-3, -2, -1], [7, 8, 9], [1, 1, 1], [1, 2, 3], [[0.0, 1.0], [1.0, 0.0], [1.0, 0.0]])
     assert matching._best_exits(*entry, *exits, 3) == [(0, 2, -1.0, -2, 8), (1, 1, -1.0, -1, 9)]
+
+
+def test_a_scan_of_a_few_detections_costs_a_few_array_operations():
+    rng = np.random.default_rng(2)
+    scans = pd.DataFrame({"scan": range(1000), "dt": 1.0, "points": [rng.normal(0, 9, (2, 3)).tolist() for _ in range(1000)]})
+    x = np.ones(2)
+
+    def best(run):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            run()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert best(lambda: steps.track(None, scans)) < 120 * best(lambda: [x.sum() for _ in range(1000)])
+
+
+def test_tracks_do_not_depend_on_how_costs_are_computed(monkeypatch):
+    rng = np.random.default_rng(4)
+    scans = pd.DataFrame({"scan": range(60), "dt": 1.0, "points": [[None if rng.random() < 0.1 else p.tolist() for p in rng.normal(0, 12, (rng.integers(0, 9), 3))] for _ in range(60)]})
+    results = []
+    for many in (1, 10**9):
+        monkeypatch.setattr(steps, "MANY_PAIRS", many)
+        results.append(steps.track(None, scans))
+    assert results[0][0] == results[1][0]
+    pd.testing.assert_frame_equal(results[0][1], results[1][1], check_exact=True)
