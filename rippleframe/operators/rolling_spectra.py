@@ -21,6 +21,7 @@ from rippleframe.operators import sequence as seqs
 from rippleframe.operators import spectral as spec
 from rippleframe.operators.sequence import CHUNK, CORE, POS, chunked
 from rippleframe.operators.windows import median_of
+from rippleframe.session import durable
 
 CHUNK_SAMPLES = 65_536
 #: Estimates of a key over which a rate is smoothed.
@@ -79,6 +80,7 @@ def rolling_rates(
     status = F.when(F.col("bpm").isNull(), F.lit("unavailable")).otherwise(sc.confidence_status(F.col("confidence")))
     out = out.withColumn("status", status)
     out = out.withColumn("bpm", F.when(F.col("status") != "unavailable", F.col("bpm")))
+    out = durable(out, "rates")  # read twice below; the transforms run once
     there = seqs.sequence(out.where(F.col("bpm").isNotNull()).withColumnRenamed(POS, "at"), key, ["at"])
     last = seqs.framed(there, key, {"_last": lambda w: F.collect_list("bpm").over(w.rowsBetween(1 - SMOOTHED, 0))}, before=SMOOTHED - 1)
     smooth = last.select(*key, F.col("at").alias(POS), median_of(F.col("_last")).alias("smoothed_bpm"))

@@ -249,3 +249,12 @@ def test_associated_pairs_are_not_sorted(frame, capsys):
     assert sorted(tuple(r) for r in out.collect()) == [(i, 7, 0.0) for i in range(4)]
     out.explain()
     assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_rolling_rates_transform_each_window_once(frame):
+    rows = [("a", k, math.sin(k)) for k in range(70)]
+    out = rolling_spectra.rolling_rates(S.sequence(frame(rows, "node string, k long, v double"), ["node"], ["k"]), ["node"], "v", 2.0, 0.1, 0.5, 60, 4, 20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Rates are read twice, for themselves and for smoothing; both read what is stored.
+    assert plan.count("InArrow") + plan.count("EvalPython") == 0, plan
+    assert out.count() == 13
