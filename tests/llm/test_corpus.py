@@ -493,6 +493,46 @@ def test_a_large_group_of_near_copies_costs_pairs_in_proportion(frame, monkeypat
     assert sum(compared) < 5 * 600
 
 
+def edited_copies(rng, count, edits, word):
+    """Texts of 150 words, each with one to ``edits`` words replaced; few of them are 0.8 alike."""
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    texts = []
+    for _ in range(count):
+        own = list(words)
+        for k in rng.sample(range(150), rng.randint(1, edits)):
+            own[k] = word()
+        texts.append(" ".join(own[: rng.choice([70, 150])]))
+    return texts
+
+
+def test_a_large_group_of_copies_that_are_not_alike_costs_pairs_in_proportion(frame, monkeypatch):
+    rng = random.Random(5)
+    texts = edited_copies(rng, 800, 8, lambda: "".join(rng.choice("uvwxyz") for _ in range(9)))
+    docs = frame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    compared = []
+    plain = shingle_dedup.verified
+    monkeypatch.setattr(shingle_dedup, "verified", lambda pairs, *rest: (compared.append(pairs.count()), plain(pairs, *rest))[1])
+    rows = {r["doc_id"]: r["root"] for r in shingle_dedup.rooted(docs).collect()}
+    sets = [five_words(t) for t in texts]
+    want = brute_roots(len(texts), lambda a, b: len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4)
+    assert len({(rows[k], want[k]) for k in rows}) == len(set(rows.values())) == len(set(want)) > 100
+    assert sum(compared) < 10 * 800
+
+
+@pytest.mark.parametrize("direct, voters, similarity", [(0, 31, 0.8), (5, 5, 0.6)])
+def test_families_find_every_link_whatever_their_centre(frame, monkeypatch, direct, voters, similarity):
+    monkeypatch.setattr(shingle_dedup, "DIRECT", direct)
+    monkeypatch.setattr(shingle_dedup, "VOTERS", voters)
+    rng = random.Random(direct)
+    # Few words stand in, so copies also share what the text they stem from has not.
+    texts = [t for edits in (3, 9, 14) for t in edited_copies(rng, 45, edits, lambda: rng.choice(["one", "two"]))]
+    docs = frame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r["root"] for r in shingle_dedup.rooted(docs, min_similarity=similarity).collect()}
+    sets = [five_words(t) for t in texts]
+    want = brute_roots(len(texts), lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+    assert len({(rows[k], want[k]) for k in rows}) == len(set(rows.values())) == len(set(want))
+
+
 def test_met_entries_do_not_depend_on_batches():
     import pyarrow as pa
 
