@@ -533,6 +533,60 @@ def test_families_find_every_link_whatever_their_centre(frame, monkeypatch, dire
     assert len({(rows[k], want[k]) for k in rows}) == len(set(rows.values())) == len(set(want))
 
 
+def test_texts_that_share_only_a_passage_are_not_a_family(frame, monkeypatch):
+    """A family costs the whole set of each member, so cells of few pairs a text are searched by places."""
+    monkeypatch.setattr(shingle_dedup, "HOT_TEXTS", 10**6)  # the passage is not frequent in the sample
+    members, found = [], shingle_dedup._in_families
+    monkeypatch.setattr(shingle_dedup, "_in_families", lambda rows, *rest: (members.append(rows.count()), found(rows, *rest))[1])
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(14)], []
+    for k in range(150):
+        own = [word() for _ in range(round(20 * 30 ** rng.random()))]
+        texts.append(" ".join(own + passage))
+        if k % 10 == 0:
+            own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own + passage))
+    docs = frame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r["root"] for r in shingle_dedup.rooted(docs).collect()}
+    sets = [five_words(t) for t in texts]
+    want = brute_roots(len(texts), lambda a, b: len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4)
+    assert len({(rows[k], want[k]) for k in rows}) == len(set(rows.values())) == len(set(want)) < len(texts)
+    assert sum(members) < len(texts) / 3
+
+
+def test_the_sample_for_the_order_grows_with_the_texts(frame, monkeypatch):
+    monkeypatch.setattr(shingle_dedup, "SAMPLE", 10)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(9))
+    texts = [" ".join(word() for _ in range(12)) + (f" {passage}" if k % 10 == 0 else "") for k in range(2000)]
+    docs = frame([(t,) for t in texts], "text string")
+    inside = set(shingle_dedup.shingle_set(passage)[1].tolist())
+    assert len(inside) == 5 and set(shingle_dedup.frequent(docs).tolist()) == inside
+    monkeypatch.setattr(shingle_dedup, "HOT_SHINGLES", 4)  # all five are equally frequent
+    assert len(shingle_dedup.frequent(docs)) == 0
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from rippleframe.session import CLEANUP_CONF, durable
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, conf = shuffles(), spark.conf.get(CLEANUP_CONF, None)
+    out = durable(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count().repartition(3, "k"), "grouped")
+    for _ in range(50):  # files are removed beside the driver's next steps
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert out.count() == 100 and spark.conf.get(CLEANUP_CONF, None) == conf
+
+
 def test_met_entries_do_not_depend_on_batches():
     import pyarrow as pa
 
